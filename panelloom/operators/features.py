@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions import calendar as C
 from ..functions.scalars import normal_quantile
 from . import crosssection as X
-from .panel import BY_ID, excess_returns
+from .panel import by_id, excess_returns
 
 TARGETS = ("ret", "ret_std", "ret_norm", "ret_rank_norm", "ret_pctl")
 WEIGHTS = ("ew", "ewpm", "ewpmvw")
@@ -25,7 +25,7 @@ def feature_names(lookback: int = K.LOOKBACK_MONTHS) -> list[str]:
 def _month_returns(lookback: int, ret: str) -> list[Column]:
     """Return of each of the last ``lookback`` months, newest first; NULL where one is missing."""
     return [
-        F.when(F.lag("mi", j).over(BY_ID) == F.col("mi") - j, F.lag(ret, j).over(BY_ID)) if j else F.col(ret)
+        F.when(F.lag("mi", j).over(by_id()) == F.col("mi") - j, F.lag(ret, j).over(by_id())) if j else F.col(ret)
         for j in range(lookback)
     ]
 

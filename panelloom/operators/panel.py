@@ -16,7 +16,9 @@ from .. import constants as K
 from ..functions import calendar as C
 from ..functions.scalars import ordinary_share
 
-BY_ID = Window.partitionBy("id").orderBy("mi")
+def by_id():
+    """Rows of one security in month order."""
+    return Window.partitionBy("id").orderBy("mi")
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: str = "last") -> DataFrame:
@@ -43,9 +45,9 @@ def month_end_close(daily: DataFrame) -> DataFrame:
     )
 
 
-def previous(value: str, months: int = 1, window=BY_ID) -> Column:
+def previous(value: str, months: int = 1) -> Column:
     """Value ``months`` calendar months ago; NULL when that month has no row."""
-    return F.when(F.lag("mi", months).over(window) == F.col("mi") - months, F.lag(value, months).over(window))
+    return F.when(F.lag("mi", months).over(by_id()) == F.col("mi") - months, F.lag(value, months).over(by_id()))
 
 
 def simple_returns(panel: DataFrame, price: str = "price", ret: str = "ret") -> DataFrame:
@@ -68,7 +70,7 @@ def forward_fill(panel: DataFrame, price: str = "price") -> DataFrame:
     months = panel.select("mi").distinct()
     end = panel.agg(F.max("mi").alias("mi")).scalar()
     priced = panel.filter(F.col(price).isNotNull()).select("id", "mi", price)
-    until = F.coalesce(F.lead("mi").over(BY_ID) - 1, F.col("_end"))
+    until = F.coalesce(F.lead("mi").over(by_id()) - 1, F.col("_end"))
     return (
         priced.withColumn("_end", end)
         .withColumn("_until", until)
@@ -153,7 +155,7 @@ def eligibility(panel: DataFrame, lookback: int = K.LOOKBACK_MONTHS, ret: str =
     """
     months = panel.select("mi").distinct()
     valid = panel.filter(F.col(ret).isNotNull()).select("id", "mi").distinct()
-    full = F.lag("mi", lookback - 1).over(BY_ID) == F.col("mi") - (lookback - 1)
+    full = F.lag("mi", lookback - 1).over(by_id()) == F.col("mi") - (lookback - 1)
     return (
         valid.withColumn("_full", full)
         .filter("_full")
@@ -176,14 +178,14 @@ def candidates(panel: DataFrame, lookback: int = K.LOOKBACK_MONTHS) -> DataFrame
     (id, mi); one shuffle by id, or none when the panel is bucketed by id.
     """
     counted = Window.partitionBy("id").orderBy("mi").rangeBetween(-(lookback - 1), 0)
-    nxt = F.lead("mi").over(BY_ID) == F.col("mi") + 1
+    nxt = F.lead("mi").over(by_id()) == F.col("mi") + 1
     return panel.select(
         "id",
         (F.col("mi") + 1).alias("mi"),
         F.when(F.col("mcap") > 0, F.col("mcap")).alias("cap_prev"),
         (F.count("ret").over(counted) == lookback).alias("eligible"),
-        F.when(nxt, F.lead("ret").over(BY_ID)).alias("ret"),
-        F.when(nxt, F.lead("exch").over(BY_ID)).alias("exch"),
+        F.when(nxt, F.lead("ret").over(by_id())).alias("ret"),
+        F.when(nxt, F.lead("exch").over(by_id())).alias("exch"),
         F.coalesce(nxt, F.lit(False)).alias("listed"),
     )
 

@@ -47,7 +47,7 @@ def drawdowns(series: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Distance below the running maximum; the first value is its own maximum."""
     _, _, upto = _windows(keys)
     peak = F.max("value").over(upto)
-    return equity_curve(series, keys).select(*keys, "mi", "value", ((F.col("value") - peak) / peak).alias("drawdown"))
+    return equity_curve(series, keys).select(*keys, "mi", "value", F.try_divide(F.col("value") - peak, peak).alias("drawdown"))
 
 
 def _prepared(series: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:
@@ -61,7 +61,7 @@ def _prepared(series: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:
     )
     peak = F.max("_cum").over(upto)
     lagged = [(F.col("_d") * F.lag("_d", l).over(ordered)).alias(f"_g{l}") for l in range(1, lags + 1)]
-    return curve.select(*keys, "mi", "ret", "_d", ((F.col("_cum") - peak) / peak).alias("_dd"), *lagged)
+    return curve.select(*keys, "mi", "ret", "_d", F.try_divide(F.col("_cum") - peak, peak).alias("_dd"), *lagged)
 
 
 def _newey_west_variance(n: Column, lags: int) -> Column:
@@ -87,12 +87,13 @@ def performance(series: DataFrame, keys: Sequence[str] = SERIES, lags: int = K.N
     """
     n = F.count(F.lit(1))
     std = F.stddev_pop("ret")
+    growth = F.product(1 + F.col("ret"))  # below zero there is no yearly rate
     stats = _prepared(series, keys, lags).groupBy(*keys).agg(
         F.avg("ret").alias("mean_return"),
         std.alias("std_dev"),
         F.when(std > 0, F.avg("ret") / std * ROOT12).otherwise(0.0).alias("sharpe_ratio"),
         _t_stat(lags).alias("t_statistic"),
-        (F.pow(F.product(1 + F.col("ret")), 12 / n) - 1).alias("annualized_return"),
+        (F.pow(F.when(growth >= 0, growth), 12 / n) - 1).alias("annualized_return"),
         F.min("_dd").alias("max_drawdown"),
         n.alias("n_months"),
     )

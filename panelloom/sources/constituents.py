@@ -72,6 +72,7 @@ def read_days(
             date.alias("date"),
             to_ticker(F.col("wind_code")).alias("id"),
             nan_to_null(F.col(market["close"]).try_cast(T.DoubleType())).alias("close"),
+            "_file_date",
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
         )
@@ -79,7 +80,7 @@ def read_days(
     )
     if not market["date"]:
         rows = rows.filter(F.col("close").isNotNull())
-    return keep_one(rows, ["date", "id"], ["_block", "_row"], keep="last").select("date", "id", "close")
+    return keep_one(rows, ["date", "id"], ["_file_date", "_block", "_row"], keep="last").select("date", "id", "close")
 
 
 def monthly_prices(daily: DataFrame, start: str | dt.date, end: str | dt.date) -> DataFrame:
@@ -135,9 +136,10 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path).drop("year")
 
 
-def wide_prices(prices: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Export: one column per listed security."""
-    return prices.groupBy("date").pivot("id", list(ids)).agg(F.first("price"))
+def wide_prices(prices: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
+    """Export: one column per security. Without a list Spark's own pivot limit applies."""
+    grouped = prices.groupBy("date")
+    return (grouped.pivot("id", list(ids)) if ids else grouped.pivot("id")).agg(F.first("price"))
 
 
 def long_prices(wide: DataFrame) -> DataFrame:

@@ -26,8 +26,10 @@ def long_forecasts(wide: DataFrame, model: str = "score") -> DataFrame:
     )
 
 
-def wide_forecasts(scores: DataFrame, ids: Sequence) -> DataFrame:
-    return scores.groupBy("mi").pivot("id", list(ids)).agg(F.first("score")).withColumn("date", C.month_end("mi")).drop("mi")
+def wide_forecasts(scores: DataFrame, ids: Sequence | None = None) -> DataFrame:
+    """Export of one model: a date and one column per security."""
+    grouped = scores.groupBy(C.month_end("mi").alias("date"))
+    return (grouped.pivot("id", list(ids)) if ids else grouped.pivot("id")).agg(F.first("score"))
 
 
 def read_windows(spark: SparkSession, path: str | None = None) -> DataFrame:

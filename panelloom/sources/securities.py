@@ -13,7 +13,15 @@ from ..functions import calendar as C
 from ..functions.scalars import compound_delisting, delisting_return, nan_to_null, tokens_to_null
 from ..operators.panel import common_shares, integer_ids, keep_one
 
-RAW_SCHEMA = T.StructType.fromDDL(
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "date": T.DateType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def schema_of(text: str) -> T.StructType:
+    """'name kind, name kind' to a schema, without a session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in text.split(","))])
+
+
+RAW_SCHEMA = schema_of(
     "PERMNO long, YYYYMM int, MthCalDt date, MthPrc double, MthRet double, MthCap double, PrimaryExch string, "
     "USIncFlg string, SecurityType string, ShareType string, SecuritySubType string, MthDelFlg string, DelReasonType string"
 )
