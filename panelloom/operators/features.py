@@ -22,12 +22,17 @@ def feature_names(lookback: int = K.LOOKBACK_MONTHS) -> list[str]:
     return [f"cr{k}" for k in range(1, lookback + 1)]
 
 
-def _month_returns(lookback: int, ret: str) -> list[Column]:
-    """Return of each of the last ``lookback`` months, newest first; NULL where one is missing."""
-    return [
-        F.when(F.lag("mi", j).over(by_id()) == F.col("mi") - j, F.lag(ret, j).over(by_id())) if j else F.col(ret)
-        for j in range(lookback)
-    ]
+def _month_returns(lookback: int, ret: str, anchor: str) -> list[Column]:
+    """Return of each of the last ``lookback`` months, newest first; NULL where one is missing.
+
+    A product over the newest months is NULL after any gap, so the row j places back will do. A
+    product over the oldest months may skip a gap, so it asks for the month itself.
+    """
+    if anchor == "trailing":
+        at = lambda j: F.when(F.lag("mi", j).over(by_id()) == F.col("mi") - j, F.lag(ret, j).over(by_id()))
+    else:
+        at = lambda j: F.max(ret).over(by_id().rangeBetween(-j, -j))
+    return [at(j) if j else F.col(ret) for j in range(lookback)]
 
 
 def cumulative_returns(
@@ -36,12 +41,12 @@ def cumulative_returns(
     """Compounded return over 1..lookback months ending at ``mi``.
 
     ``anchor='trailing'``: ``crk`` covers the k newest months. ``anchor='oldest'``: the k oldest
-    of the lookback. A missing month makes the value NULL. All frames are single-row offsets over
-    one sort by id, and the products are plain generated arithmetic.
+    of the lookback. A missing month makes the value NULL. All frames are single rows over one sort
+    by id, and the products are plain generated arithmetic.
     """
     if anchor not in ("trailing", "oldest"):
         raise ValueError(f"unknown anchor {anchor!r}")
-    monthly = _month_returns(lookback, ret)
+    monthly = _month_returns(lookback, ret, anchor)
     names = [f"_r{j}" for j in range(lookback)]
     wide = panel.select("id", "mi", *[c.alias(n) for c, n in zip(monthly, names)])
     order = names if anchor == "trailing" else names[::-1]

@@ -44,6 +44,14 @@ def ppf(p: str) -> str:
     return f"CASE WHEN abs({q}) <= 0.425 THEN {centre} ELSE {tail} END"
 
 
+def significant(x: str, digits: int = 9) -> str:
+    k = f"least({digits} - ceil(log10(abs({x}))), 22)"
+    return (
+        f"CASE WHEN {x} = 0 THEN 0.0 WHEN {k} >= 0 THEN round({x} * pow(10.0::DOUBLE, {k})) / pow(10.0::DOUBLE, {k}) "
+        f"ELSE round({x} / pow(10.0::DOUBLE, -{k})) * pow(10.0::DOUBLE, -{k}) END"
+    )
+
+
 def avg_rank(over: str, value: str) -> str:
     by = f"PARTITION BY {over}" if over else ""
     comma = "," if over else ""

@@ -545,8 +545,7 @@ def _(t: Tables):
 
 @query("cumulative_returns_from_oldest", "W3", f"SELECT id, mi, {O.cr_oldest()} FROM panel", "panel", CR, 7)
 def _(t: Tables):
-    full = FT.cumulative_returns(t.panel, anchor="oldest")
-    return full
+    return FT.cumulative_returns(t.panel, anchor="oldest")
 
 
 @query("lagged_features", "W4 J2", f"SELECT id, mi, {CR_LIST} FROM feat", "feat", CR, 7)
@@ -943,9 +942,9 @@ def _(t: Tables):
 
 @query(
     "net_equity_curves", "A20 W9",
-    """SELECT model, portfolio, row_number() OVER w AS period, mi,
+    f"""SELECT * REPLACE ({O.significant('value')} AS value) FROM (SELECT model, portfolio, row_number() OVER w AS period, mi,
          product(1 + coalesce(ret - CASE WHEN portfolio = 'long_short' THEN 2 ELSE 1 END * 0.2 * 0.001, 0)) OVER w AS value
-       FROM series WINDOW w AS (PARTITION BY model, portfolio ORDER BY mi)""",
+       FROM series WINDOW w AS (PARTITION BY model, portfolio ORDER BY mi))""",
     "series",
 )
 def _(t: Tables):
@@ -955,14 +954,15 @@ def _(t: Tables):
 def _significant(df, column: str, digits: int = 9):
     """Round to significant digits: compounded values span many magnitudes."""
     x = F.col(column)
-    scale = F.pow(F.lit(10.0), digits - F.ceil(F.log10(F.abs(x))))
-    return df.withColumn(column, F.when(x == 0, 0.0).otherwise(F.round(x * scale) / scale))
+    k = F.least(digits - F.ceil(F.log10(F.abs(x))), F.lit(22))
+    up, down = F.pow(F.lit(10.0), k), F.pow(F.lit(10.0), -k)
+    return df.withColumn(column, F.when(x == 0, 0.0).when(k >= 0, F.round(x * up) / up).otherwise(F.round(x / down) * down))
 
 
 @query(
     "equity_curve_with_start", "W9",
-    """SELECT model, portfolio, 0 AS period, NULL::INTEGER AS mi, 100.0::DOUBLE AS value FROM (SELECT DISTINCT model, portfolio FROM series)
-       UNION ALL SELECT model, portfolio, row_number() OVER w, mi, 100 * product(1 + coalesce(ret, 0)) OVER w FROM series WHERE portfolio = '5' WINDOW w AS (PARTITION BY model, portfolio ORDER BY mi)""",
+    f"""SELECT * REPLACE ({O.significant('value')} AS value) FROM (SELECT model, portfolio, 0 AS period, NULL::INTEGER AS mi, 100.0::DOUBLE AS value FROM (SELECT DISTINCT model, portfolio FROM series)
+       UNION ALL SELECT model, portfolio, row_number() OVER w, mi, 100 * product(1 + coalesce(ret, 0)) OVER w FROM series WHERE portfolio = '5' WINDOW w AS (PARTITION BY model, portfolio ORDER BY mi))""",
     "series",
 )
 def _(t: Tables):
@@ -1007,7 +1007,7 @@ def _(t: Tables):
 
 @query(
     "tail_risk", "A22 A23",
-    f"""SELECT model, portfolio, max(v) AS var_historical, avg(ret) + stddev_pop(ret) * {O.ppf('0.05')} AS var_parametric, avg(ret) FILTER (WHERE ret <= v) AS cvar
+    f"""SELECT model, portfolio, max(v) AS var_historical, avg(ret) + stddev_pop(ret) * {O.ppf('0.05::DOUBLE')} AS var_parametric, avg(ret) FILTER (WHERE ret <= v) AS cvar
        FROM (SELECT *, quantile_cont(ret, 0.05) OVER (PARTITION BY model, portfolio) AS v FROM held) GROUP BY 1, 2""",
     "held", "var_historical var_parametric cvar",
 )
