@@ -39,6 +39,16 @@ def value_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value) * _SCALE) * _BUCKETS_PER_E_FOLD)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation of the rows that have both; NULL when a side does not vary.
+
+    The built-in one raises on a constant side under ANSI arithmetic.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def group_table(df: DataFrame, by: Sequence[str], label: str, **aggregates: Column) -> DataFrame:
     """One row per group, written, so that a later join sees its true size."""
     return written(df.groupBy(*by).agg(*[c.alias(k) for k, c in aggregates.items()]), label)
@@ -134,6 +144,7 @@ def _quantiles_exact(df, by, value, fractions):
     return df.groupBy(*by).agg(
         F.percentile(value, [float(f) for f in fractions]).alias("breakpoints"),
         F.count(value).alias("n_values"),
+        F.count(F.lit(1)).alias("n_rows"),
     )
 
 
@@ -199,17 +210,31 @@ def quantiles(
     value: str,
     fractions: Sequence[float],
     window_limit: int | None = None,
+    values: str = "n_values",
+    rows: str | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group as an array, and the number of values."""
-    limit = WINDOW_LIMIT if window_limit is None else window_limit
-    df = df.select(*by, value).filter(F.col(value).isNotNull())
-    if largest_group(df, by) <= limit:
-        return _quantiles_exact(df, by, value, fractions)
-    return _quantiles_by_buckets(df, by, value, fractions)
-
+    """Linearly interpolated quantiles per group as the array ``breakpoints``.
 
-def breakpoints(df, by, value, n_parts: int, window_limit: int | None = None) -> DataFrame:
-    return quantiles(df, by, value, [k / n_parts for k in range(1, n_parts)], window_limit)
+    Also the number of values, and on request the number of rows (missing values included; a
+    group without any value then keeps its row). ``df`` should be written data.
+    """
+    limit = WINDOW_LIMIT if window_limit is None else window_limit
+    src = df.select(*by, value)
+    present = src.filter(F.col(value).isNotNull())
+    bounded = largest_group(src, by) <= limit
+    if bounded:
+        out = _quantiles_exact(src if rows else present, by, value, fractions)
+    else:
+        out = _quantiles_by_buckets(present, by, value, fractions)
+        if rows:
+            counts = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
+            out = counts.join(out, list(by), "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
+    keep = [*by, "breakpoints", F.col("n_values").alias(values)]
+    return out.select(*keep, F.col("n_rows").alias(rows)) if rows else out.select(*keep)
+
+
+def breakpoints(df, by, value, n_parts: int, window_limit: int | None = None, **names) -> DataFrame:
+    return quantiles(df, by, value, [k / n_parts for k in range(1, n_parts)], window_limit, **names)
 
 
 def quantile_of(value: Column | str, bps: Column | str) -> Column:

@@ -30,10 +30,9 @@ def rank_correlation(
     rows = written(rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).dropna(subset=["_x", "_y"]), "pairs")
     ranked = X.average_rank(rows, by, "_x", "_rx", "_n", window_limit).drop("_n")
     ranked = X.average_rank(ranked, by, "_y", "_ry", "_n", window_limit)
-    corr = F.when((F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry"))
     return (
         ranked.groupBy(*by)
-        .agg(corr.alias("correlation"), F.count(F.lit(1)).alias("n"))
+        .agg(X.correlation("_rx", "_ry").alias("correlation"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_rows)
     )
 
@@ -63,7 +62,7 @@ def pooled_evaluation(
     rank = rank_correlation(rows, keys, x, y, 2, window_limit).select(*keys, F.col("correlation").alias("spearman"))
     gap = F.col(x) - F.col(y)
     rest = rows.groupBy(*keys).agg(
-        F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("pearson"),
+        X.correlation(x, y).alias("pearson"),
         F.avg(gap * gap).alias("mse"),
         F.avg(F.abs(gap)).alias("mae"),
         F.count(F.lit(1)).alias("n_observations"),

@@ -55,23 +55,29 @@ def capm(series: DataFrame, factors: DataFrame, market: str = "MKT-RF", keys: Se
     rows = series.join(factors.select("mi", F.col(f"`{market}`").alias("_m")), "mi").dropna(subset=["ret", "_m"])
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy("mi")
-    u = F.col("ret") - F.regr_intercept("ret", "_m").over(whole) - F.regr_slope("ret", "_m").over(whole) * m
+    slope = F.try_divide(F.covar_pop("ret", "_m").over(whole), F.var_pop("_m").over(whole))
+    u = F.col("ret") - F.avg("ret").over(whole) - slope * (m - F.avg("_m").over(whole))
     # influence of each month on alpha: first row of (X'X)^-1 x u
-    a = (F.avg(m * m).over(whole) - F.avg("_m").over(whole) * m) * F.col("_u") / (F.count("_m").over(whole) * F.var_pop("_m").over(whole))
+    a = F.try_divide(
+        (F.avg(m * m).over(whole) - F.avg("_m").over(whole) * m) * F.col("_u"),
+        F.count("_m").over(whole) * F.var_pop("_m").over(whole),
+    )
     rows = rows.withColumn("_u", u).withColumn("_a", a)
     lagged = [(F.col("_a") * F.lag("_a", l).over(ordered)).alias(f"_g{l}") for l in range(1, lags + 1)]
     var = F.sum(F.col("_a") * F.col("_a"))
     for l in range(1, lags + 1):
         var = var + 2 * (1 - l / (lags + 1)) * F.coalesce(F.sum(f"_g{l}"), F.lit(0.0))
     n = F.count(F.lit(1))
-    r2 = F.regr_r2("ret", "_m")
+    loading = F.try_divide(F.covar_pop("ret", "_m"), F.var_pop("_m"))
+    alpha = F.avg("ret") - loading * F.avg("_m")
+    r2 = X.correlation("ret", "_m") * X.correlation("ret", "_m")
     return (
         rows.select(*keys, "ret", "_m", "_a", *lagged)
         .groupBy(*keys)
         .agg(
-            F.regr_intercept("ret", "_m").alias("alpha"),
-            F.regr_slope("ret", "_m").alias("loading"),
-            F.try_divide(F.regr_intercept("ret", "_m"), F.sqrt(F.when(var > 0, var))).alias("t_alpha"),
+            alpha.alias("alpha"),
+            loading.alias("loading"),
+            F.try_divide(alpha, F.sqrt(F.when(var > 0, var))).alias("t_alpha"),
             (1 - (1 - r2) * F.try_divide((n - 1).cast("double"), (n - 2).cast("double"))).alias("adj_r2"),
             n.alias("n_months"),
         )

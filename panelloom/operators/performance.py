@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import calendar as C
 from ..functions.scalars import normal_quantile
+from .crosssection import correlation
 from .store import written
 
 SERIES = ("model", "portfolio")
@@ -227,7 +228,7 @@ def correlation_matrix(series: DataFrame, portfolios: Sequence[str]) -> DataFram
     at = lambda p: F.max(F.when(F.col("portfolio") == p, F.col("ret")))
     wide = series.groupBy("model", "mi").agg(*[at(p).alias(f"_{i}") for i, p in enumerate(names)])
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    corr = wide.groupBy("model").agg(*[F.corr(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    corr = wide.groupBy("model").agg(*[correlation(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i, j in pairs])
     cells = []
     for i, j in pairs:
         for a, b in {(i, j), (j, i)}:

@@ -87,17 +87,21 @@ def quantile_sort(
         keep = keep & C.in_period("mi", *period)
     if exclude:
         keep = keep & ~C.in_any_period("mi", exclude)
-    universe = cands.filter(keep)
-    n_eligible = cands.filter("eligible").groupBy("mi").agg(F.count(F.lit(1)).alias("n_eligible"))
-    if top is not None:
-        universe = largest_names(universe, top)
+    is_eligible = F.count(F.when(F.col("eligible"), 1)).alias("n_eligible")
+    if top is None:
+        universe = cands.filter(keep)
+        sizes = cands.groupBy("mi").agg(
+            is_eligible, F.count(F.when(keep, 1)).alias("n_universe"), F.count(F.when(keep, F.col("ret"))).alias("_returns")
+        )
+    else:
+        universe = largest_names(cands.filter(keep), top)
+        sizes = (
+            universe.groupBy("mi")
+            .agg(F.count(F.lit(1)).alias("n_universe"), F.count("ret").alias("_returns"))
+            .join(cands.groupBy("mi").agg(is_eligible), "mi")
+        )
+    sizes = sizes.filter((F.col("n_universe") >= n) & (F.col("_returns") > 0)).drop("_returns")
     universe = universe.select("mi", "id", "cap_prev", "ret", "exch")
-    big_enough = (
-        universe.groupBy("mi")
-        .agg(F.count(F.lit(1)).alias("n_universe"), F.count("ret").alias("_returns"))
-        .filter((F.col("n_universe") >= n) & (F.col("_returns") > 0))
-        .drop("_returns")
-    )
 
     scores = clean_scores(scores)
     in_bp = F.col("exch") == exchange_breakpoints if exchange_breakpoints else F.lit(True)
@@ -107,20 +111,18 @@ def quantile_sort(
         .select("model", "mi", "id", "score", "cap_prev", "ret", F.when(in_bp, F.col("score")).alias("bp_score")),
         "pool",
     )
-    counts = pool.groupBy(*MONTH).agg(F.count(F.lit(1)).alias("n_pool"), F.count("bp_score").alias("n_bp"))
-    bps = X.breakpoints(pool, MONTH, "bp_score", n, window_limit).select(*MONTH, "breakpoints")
-    enough = (F.col("n_pool") >= n) & (F.col("n_bp") >= n)
+    bps = X.breakpoints(pool, MONTH, "bp_score", n, window_limit, rows="n_pool", values="n_bp")
+    n_pool, n_bp = F.coalesce("n_pool", F.lit(0)), F.coalesce("n_bp", F.lit(0))
+    enough = (n_pool >= n) & (n_bp >= n)
     months = written(
         scores.select(*MONTH)
         .distinct()
-        .join(big_enough, "mi")
-        .join(n_eligible, "mi", "left")
-        .join(counts, MONTH, "left")
+        .join(sizes, "mi")
         .join(bps, MONTH, "left")
-        .withColumn("n_pool", F.coalesce("n_pool", F.lit(0)))
-        .withColumn("n_bp", F.coalesce("n_bp", F.lit(0)))
-        .withColumn("empty", ~enough)
-        .withColumn("breakpoints", F.when(enough, F.col("breakpoints"))),
+        .select(
+            *MONTH, "n_eligible", "n_universe", n_pool.alias("n_pool"), n_bp.alias("n_bp"),
+            (~enough).alias("empty"), F.when(enough, F.col("breakpoints")).alias("breakpoints"),
+        ),
         "sort_months",
     )
     assigned = (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import calendar as C
+from .crosssection import correlation
 from .evaluate import rank_correlation
 from .panel import keep_one
 from .performance import performance
@@ -141,7 +142,7 @@ def return_similarity(series: DataFrame, models: Sequence[str], fits: Fits = (),
         _pair_rows(wide, models, cell)
         .dropna(subset=["x", "y"])
         .groupBy("model_a", "model_b")
-        .agg(F.corr("x", "y").alias("return_correlation"), F.count(F.lit(1)).alias("n_months"))
+        .agg(correlation("x", "y").alias("return_correlation"), F.count(F.lit(1)).alias("n_months"))
         .filter(F.col("n_months") >= min_months)
     )
 

@@ -65,13 +65,15 @@ class Tables:
         return self.once(f"path:{name}", lambda: new_path(self.spark, name))
 
     @property
-    def prices(self) -> DataFrame:
-        """Monthly prices and market values; bucketed by security."""
-        return self.once("prices", lambda: written_by_key(build_panel(self.spark, self.sf), "prices", "id", "mi"))
+    def panel(self) -> DataFrame:
+        """Prices, market values and returns; bucketed by security, so windows by id need no shuffle."""
+        return self.once(
+            "panel", lambda: written_by_key(P.simple_returns(build_panel(self.spark, self.sf)), "panel", "id", "mi")
+        )
 
     @property
-    def panel(self) -> DataFrame:
-        return self.once("panel", lambda: written_by_key(P.simple_returns(self.prices), "panel", "id", "mi"))
+    def prices(self) -> DataFrame:
+        return self.panel.drop("ret")
 
     @property
     def risk_free(self) -> DataFrame:
@@ -91,7 +93,8 @@ class Tables:
 
     @property
     def candidates(self) -> DataFrame:
-        return self.once("candidates", lambda: written(P.candidates(self.panel), "candidates"))
+        """One window per security over the bucketed panel: cheap enough to derive where needed."""
+        return P.candidates(self.panel)
 
     @property
     def scores(self) -> DataFrame:
@@ -102,9 +105,7 @@ class Tables:
                 F.struct(F.lit("reversal").alias("model"), (-F.col("cr1")).alias("score")),
             )
         )
-        return self.once(
-            "scores", lambda: written(self.features.select("mi", "id", models).select("model", "mi", "id", "score"), "scores")
-        )
+        return self.features.select("mi", "id", models).select("model", "mi", "id", "score")
 
     @property
     def sort(self) -> S.QuantileSort:
