@@ -3,7 +3,8 @@
 A group can be arbitrarily large, so nothing here relies on a group fitting one task unless
 that was measured first. Moments use partial aggregation. Ranks and quantiles measure the
 largest group: up to ``WINDOW_LIMIT`` rows they use one window or one exact percentile, and
-beyond it an exact two-step count over value buckets, which spreads one group over many tasks.
+beyond it exact running counts over range-partitioned chunks, which spread one group over many
+tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from .store import written
 
 WINDOW_LIMIT = 1_000_000
 SALTS = 64
-_BUCKETS_PER_E_FOLD = 512
-_SCALE = float(2**40)
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -30,15 +29,6 @@ def salt_of(*keys: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(salts))
 
 
-def value_bucket(value: Column) -> Column:
-    """A number that never decreases when the value grows: equal values share a bucket.
-
-    Buckets are even on a logarithmic scale around zero, so they need no pass over the data
-    and give the same answer in every task and on every retry.
-    """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * _SCALE) * _BUCKETS_PER_E_FOLD)
-
-
 def correlation(x: str, y: str) -> Column:
     """Pearson correlation of the rows that have both; NULL when a side does not vary.
 
@@ -63,18 +53,29 @@ def with_moments(df: DataFrame, by: Sequence[str], value: str, mean="mean", std=
 # ---------------------------------------------------------------- ranks
 
 
-def _bucket_offsets(df: DataFrame, by: Sequence[str], bucket: str) -> DataFrame:
-    """Rows of the group in lower buckets, and rows of the bucket."""
-    counts = df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_in"))
-    lower = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    return counts.select(
+def _chunks(counts: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Counted values in value order, cut into chunks of about equal size, and chunk totals.
+
+    ``counts`` has one row (or one per salt) for each group and value, with its count ``_c``.
+    Range partitioning balances the chunks whatever the distribution, and keeps equal values
+    together. The chunk number is written with the rows, so every later stage and every retry
+    sees the same cut. The totals have at most one row per group and chunk.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(
+        counts.repartitionByRange(parts, *by, value).withColumn("_part", F.spark_partition_id()), "chunks"
+    )
+    group = Window.partitionBy(*by)
+    lower = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_in"))
+    offsets = totals.select(
         *by,
-        bucket,
+        "_part",
         "_in",
         F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_before"),
-        F.sum("_in").over(whole).alias("_total"),
+        F.sum("_in").over(group).alias("_total"),
     )
+    return placed, written(offsets, "offsets")
 
 
 def _rank_by_window(df, by, value, rank, n):
@@ -85,27 +86,21 @@ def _rank_by_window(df, by, value, rank, n):
     ).withColumn(n, F.count(F.lit(1)).over(w))
 
 
-def _rank_by_buckets(df, by, value, rank, n, salts):
+def _rank_by_chunks(df, by, value, rank, n, salts):
     """Exact average rank without a task that holds a whole group.
 
-    Distinct values are counted first (with a salt, so that a value that fills a third of the
-    rows is joined back from many tasks), the counts are accumulated inside each value bucket,
-    and the buckets are accumulated per group.
+    Distinct values are counted first, with a salt, so that a value that fills a third of the
+    rows is counted and joined back by many tasks. The counts are then accumulated inside each
+    chunk, and the chunks per group.
     """
-    spread = Window.partitionBy(*[F.col(c) for c in by], F.col("_bucket"))
-    keyed = written(
-        df.withColumn("_bucket", value_bucket(F.col(value))).withColumn(
-            "_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-        ),
-        "ranked",
-    )
-    offsets = written(_bucket_offsets(keyed, by, "_bucket"), "offsets")
-    distinct = (
-        keyed.groupBy(*by, "_bucket", value, "_salt")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(spread.orderBy(value)))
-        .withColumn("_equal", F.sum("_c").over(spread.partitionBy(*by, "_bucket", value)))
-        .join(offsets, [*by, "_bucket"])
+    keyed = written(df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))), "ranked")
+    counts = keyed.groupBy(*by, value, "_salt").agg(F.count(F.lit(1)).alias("_c"))
+    placed, offsets = _chunks(counts, by, value)
+    chunk = Window.partitionBy(*by, "_part")
+    ranks = (
+        placed.join(offsets, [*by, "_part"])
+        .withColumn("_upto", F.sum("_c").over(chunk.orderBy(value)))
+        .withColumn("_equal", F.sum("_c").over(Window.partitionBy(*by, "_part", value)))
         .select(
             *by,
             value,
@@ -114,7 +109,7 @@ def _rank_by_buckets(df, by, value, rank, n, salts):
             F.col("_total").alias(n),
         )
     )
-    return keyed.drop("_bucket").join(distinct, [*by, value, "_salt"]).select(*df.columns, rank, n)
+    return keyed.join(ranks, [*by, value, "_salt"]).select(*df.columns, rank, n)
 
 
 def average_rank(
@@ -125,16 +120,17 @@ def average_rank(
     n: str = "n",
     window_limit: int | None = None,
     salts: int = SALTS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Rank from 1, ties share the mean rank, and the group size. NULL values are dropped.
 
-    ``value`` should come from written data: the wide path reads it twice.
+    ``largest``: size of the largest group when it is known already.
     """
     limit = WINDOW_LIMIT if window_limit is None else window_limit
     df = df.filter(F.col(value).isNotNull())
-    if largest_group(df, by) <= limit:
+    if (largest_group(df, by) if largest is None else largest) <= limit:
         return _rank_by_window(df, by, value, rank, n)
-    return _rank_by_buckets(df, by, value, rank, n, salts)
+    return _rank_by_chunks(df, by, value, rank, n, salts)
 
 
 # ---------------------------------------------------------------- quantiles
@@ -148,51 +144,38 @@ def _quantiles_exact(df, by, value, fractions):
     )
 
 
-def _quantiles_by_buckets(df, by, value, fractions):
-    """Exact order statistics: count value buckets, then look only inside the buckets hit."""
-    keyed = df.select(*by, F.col(value).alias("_v"), value_bucket(F.col(value)).alias("_bucket"))
-    offsets = _bucket_offsets(keyed, by, "_bucket")
+def _quantiles_by_chunks(df, by, value, fractions):
+    """Exact order statistics: count the values per chunk, then look only inside the chunks hit."""
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed, offsets = _chunks(counts, by, "_v")
 
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("f")) for i, f in enumerate(fractions)])
     # every fraction needs the order statistics just below and just above its position
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("f")) for i, f in enumerate(fractions)])
+    last = F.col("_total") - 1
     targets = F.flatten(
         F.transform(
             wanted,
             lambda s: F.array(
-                F.struct(s["i"].alias("i"), F.lit(0).alias("side"), F.floor(s["f"] * (F.col("_total") - 1)).alias("pos")),
-                F.struct(s["i"].alias("i"), F.lit(1).alias("side"), F.ceil(s["f"] * (F.col("_total") - 1)).alias("pos")),
+                F.struct(s["i"].alias("i"), F.lit(0).alias("side"), F.floor(s["f"] * last).alias("pos")),
+                F.struct(s["i"].alias("i"), F.lit(1).alias("side"), F.ceil(s["f"] * last).alias("pos")),
             ),
         )
     )
-    hit = F.filter(
-        targets, lambda t: (t["pos"] >= F.col("_before")) & (t["pos"] < F.col("_before") + F.col("_in"))
-    )
-    needed = written(
-        offsets.withColumn("_hit", hit).filter(F.size("_hit") > 0), "quantile_buckets"
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
-    values = (
-        keyed.join(needed.select(*by, "_bucket"), [*by, "_bucket"], "left_semi")
-        .groupBy(*by, "_bucket", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(inside))
-        .join(needed, [*by, "_bucket"])
-    )
-    picked = values.withColumn(
-        "_t",
-        F.explode(
-            F.filter(
-                F.col("_hit"),
-                lambda t: (t["pos"] - F.col("_before") < F.col("_upto"))
-                & (t["pos"] - F.col("_before") >= F.col("_upto") - F.col("_c")),
-            )
-        ),
+    inside = lambda t, lo, hi: (t["pos"] >= lo) & (t["pos"] < hi)
+    needed = offsets.withColumn(
+        "_hit", F.filter(targets, lambda t: inside(t, F.col("_before"), F.col("_before") + F.col("_in")))
+    ).filter(F.size("_hit") > 0)
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    picked = (
+        placed.join(needed, [*by, "_part"])
+        .withColumn("_upto", upto)
+        .withColumn("_t", F.explode(F.filter("_hit", lambda t: inside(t, F.col("_upto") - F.col("_c"), F.col("_upto")))))
     )
-    frac = F.element_at(F.array(*[F.lit(float(f)) for f in fractions]), F.col("_t.i") + 1) * (F.col("_total") - 1)
+    at = F.element_at(F.array(*[F.lit(float(f)) for f in fractions]), F.col("_t.i") + 1) * last
     per_fraction = picked.groupBy(*by, F.col("_t.i").alias("_i")).agg(
         F.max(F.when(F.col("_t.side") == 0, F.col("_v"))).alias("_low"),
         F.max(F.when(F.col("_t.side") == 1, F.col("_v"))).alias("_high"),
-        F.max(frac - F.floor(frac)).alias("_w"),
+        F.max(at - F.floor(at)).alias("_w"),
         F.max("_total").alias("_total"),
     )
     value_at = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_w")
@@ -225,7 +208,7 @@ def quantiles(
     if bounded:
         out = _quantiles_exact(src if rows else present, by, value, fractions)
     else:
-        out = _quantiles_by_buckets(present, by, value, fractions)
+        out = _quantiles_by_chunks(present, by, value, fractions)
         if rows:
             counts = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
             out = counts.join(out, list(by), "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))

@@ -28,8 +28,9 @@ def rank_correlation(
     Groups below ``min_rows`` are left out; a constant side gives NULL.
     """
     rows = written(rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).dropna(subset=["_x", "_y"]), "pairs")
-    ranked = X.average_rank(rows, by, "_x", "_rx", "_n", window_limit).drop("_n")
-    ranked = X.average_rank(ranked, by, "_y", "_ry", "_n", window_limit)
+    largest = X.largest_group(rows, by)
+    ranked = X.average_rank(rows, by, "_x", "_rx", "_n", window_limit, largest=largest).drop("_n")
+    ranked = X.average_rank(ranked, by, "_y", "_ry", "_n", window_limit, largest=largest)
     return (
         ranked.groupBy(*by)
         .agg(X.correlation("_rx", "_ry").alias("correlation"), F.count(F.lit(1)).alias("n"))

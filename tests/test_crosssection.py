@@ -56,12 +56,14 @@ def test_rank_of_everything_without_groups(skewed):
     assert sorted(r["rank"] for r in out.collect()) == sorted(ranks(v))
 
 
-def test_buckets_never_decrease(spark):
-    rng = np.random.default_rng(1)
-    v = sorted([0.0, 1e-300, -1e-300, 1e300, -1e300, *(rng.standard_cauchy(2000) * 10.0 ** rng.integers(-8, 8, 2000))])
-    rows = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", X.value_bucket(F.col("v")).alias("b")).collect()
-    b = [r.b for r in sorted(rows, key=lambda r: r.v)]
-    assert all(x <= y for x, y in zip(b, b[1:]))
+def test_chunks_split_one_group_evenly(spark):
+    # one group, values in a narrow range: no chunk holds more than a share of it
+    df = spark.range(4000).selectExpr("1 AS g", "100 + id * 1e-9 AS v", "1L AS _c")
+    placed, offsets = X._chunks(df, ["g"], "v")
+    sizes = [r["_in"] for r in offsets.orderBy("_part").collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * 4000 / len(sizes)
+    assert [r["_before"] for r in offsets.orderBy("_part").collect()] == [sum(sizes[:i]) for i in range(len(sizes))]
+    assert placed.count() == 4000
 
 
 def test_value_on_a_breakpoint_belongs_below(make):
