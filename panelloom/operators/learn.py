@@ -75,7 +75,7 @@ class Ensemble:
 
     def _member_scores(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         scaled = self.scaler.transform(df)
-        out = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="skip").transform(scaled)
+        out = VectorAssembler(inputCols=self.features, outputCol="_x").transform(scaled)
         names = []
         for i, m in enumerate(self.members):
             name = f"_p{i}"

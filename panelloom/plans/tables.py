@@ -85,7 +85,7 @@ class Tables:
 
     @property
     def features(self) -> DataFrame:
-        return self.once("features", lambda: written(FT.lagged_features(self.panel), "features"))
+        return self.once("features", lambda: written_by_key(FT.lagged_features(self.panel), "features", "id", "mi"))
 
     @property
     def samples(self) -> DataFrame:

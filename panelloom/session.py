@@ -1,4 +1,9 @@
-"""Session settings for local runs; a cluster brings its own session."""
+"""Session settings for local runs; a cluster brings its own session.
+
+Worth setting on a cluster too: ``spark.sql.requireAllClusterKeysForCoPartition=false`` lets
+tables bucketed by security join on (security, month) without a shuffle. It is safe there,
+because a security has at most one row per month.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,7 @@ def local_session(cpus: int | str | None = None, app: str = "panelloom") -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
