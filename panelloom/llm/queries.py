@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import written
 
-from . import chat, exact_dedup, langid, packing, quality
+from . import chat, exact_dedup, langid, licenses, packing, quality
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, path)
     found = langid.predict(docs, model, path)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
