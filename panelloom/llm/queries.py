@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import new_path, written
 
-from . import chat, exact_dedup, langid, licenses, packing, quality, warc
+from . import chat, exact_dedup, langid, licenses, packing, quality, spotsigs, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_spot_signatures")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
