@@ -1,11 +1,12 @@
 """Document fingerprints by spot signatures.
 
 Wherever a common word (an anchor) stands, the anchor and the next ``CHAIN`` content words form a
-spot signature; content words are all words that are no anchors. A fingerprint is the set of a
-text's signatures, 32-bit hashes in ascending order. A text with fewer than ``FEW_SPOTS``
-signatures also counts every word as an anchor, and a text without words is one signature of
-itself, so that equal texts have equal, and different texts comparable, fingerprints. Likeness
-is the Jaccard similarity of two sets; two empty sets (empty texts) are alike.
+spot signature; content words are all words that are no anchors. The first ``HEAD_WORDS`` words of a
+text and words ``FAR_FROM_ANCHOR`` or more behind the last anchor are anchors too, so that short
+texts and texts without common words are covered; that is decided locally, so an edit changes
+signatures near it only. A fingerprint is the set of a text's signatures, 32-bit hashes in
+ascending order; a text without words is one signature of itself. Likeness is the Jaccard
+similarity of two sets; two empty sets (empty texts) are alike.
 
 Sets are compared through pruned Jaccard: the ratio of their lengths bounds their likeness, so a
 pair in partitions of set length too far apart for ``floor`` is 0 without looking at the members.
@@ -26,7 +27,8 @@ from panelloom.operators.store import written
 from .common import whole_text
 
 CHAIN = 2
-FEW_SPOTS = 12
+HEAD_WORDS = 24
+FAR_FROM_ANCHOR = 6
 EDIT_SHARE = 4
 
 # Common words of English, German, French and Spanish.
@@ -42,31 +44,31 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _chain(anchor: Column, content: Column, at: Column) -> Column:
-    return F.hash(anchor, *[F.get(content, at + k) for k in range(CHAIN)])
-
-
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the ascending array<int> of spot signatures of ``text``.
 
-    The anchor number j (from 0) at word p has p - j content words before it, which is where its
-    chain starts among the content words; no running count is needed.
+    Anchors cut the words into stretches. In stretch j (from -1, before the first anchor) the word
+    s has s - j - 1 content words before it if it is content itself, s - j if it is the anchor:
+    either way its chain starts at content word s - j, and no running count is needed.
     """
-    w, anchors, content, spots = (f"{out}_{x}" for x in ("words", "anchors", "content", "spots"))
+    w, cuts, content = (f"{out}_{x}" for x in ("words", "cuts", "content"))
     df = df.withColumn(w, words(F.col(text)))
+    anchors = F.filter(F.transform(w, lambda x, i: F.when(x.isin(ANCHORS), i)), lambda i: i.isNotNull())
     df = df.withColumns({
-        anchors: F.filter(F.transform(w, lambda x, i: F.when(x.isin(ANCHORS), i)), lambda i: i.isNotNull()),
+        cuts: F.concat(F.array(F.lit(-1)), anchors, F.array(F.size(w))),
         content: F.filter(w, lambda x: ~x.isin(ANCHORS)),
     })
-    complete = lambda p, j: p - j + CHAIN <= F.size(content)
-    df = df.withColumn(spots, F.transform(
-        F.filter(F.col(anchors), lambda p, j: complete(p, j)),
-        lambda p, j: _chain(F.get(F.col(w), p), F.col(content), p - j),
-    ))
-    every = F.transform(w, lambda x, i: F.hash(x, *[F.get(F.col(w), i + k) for k in range(1, CHAIN + 1)]))
-    few = F.when(F.size(w) == 0, F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))).otherwise(F.concat(spots, every))
-    whole = F.when(F.size(spots) >= FEW_SPOTS, F.col(spots)).otherwise(few)
-    return df.withColumn(out, F.sort_array(F.array_distinct(whole))).drop(w, anchors, content, spots)
+
+    def stretch(p: Column, k: Column) -> Column:
+        start, stop = F.greatest(p, F.lit(0)), F.get(F.col(cuts), k + 1)
+        spots = F.filter(F.sequence(start, stop - 1), lambda s: (s == p) | (s >= p + FAR_FROM_ANCHOR) | (s < HEAD_WORDS))
+        chain = lambda s: F.hash(F.get(F.col(w), s), *[F.get(F.col(content), s - k + 1 + c) for c in range(CHAIN)])
+        return F.when(stop > start, F.transform(spots, chain)).otherwise(F.array().cast("array<int>"))
+
+    signed = F.flatten(F.transform(F.slice(cuts, 1, F.size(cuts) - 1), stretch))
+    wordless = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))
+    whole = F.when(F.size(w) == 0, wordless).otherwise(signed)
+    return df.withColumn(out, F.sort_array(F.array_distinct(whole))).drop(w, cuts, content)
 
 
 def length_partition(size: Column, floor: float) -> Column:
