@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import new_path, written
 
-from . import chat, exact_dedup, langid, licenses, packing, quality, spotsigs, warc
+from . import chat, exact_dedup, langid, licenses, mixing, packing, quality, spotsigs, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_spot_signatures")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
