@@ -22,6 +22,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where the optimizer copies the expression into a filter."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept for evaluation; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

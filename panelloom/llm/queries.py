@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import new_path, written
 
-from . import chat, exact_dedup, langid, licenses, mixing, packing, quality, spotsigs, warc
+from . import chat, exact_dedup, langid, licenses, mixing, packing, quality, setjoin, spotsigs, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.classes(table(spark, sf_dir, "documents"), setjoin.Rule(n=3, num=9, den=10))
