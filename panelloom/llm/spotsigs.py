@@ -126,19 +126,20 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     next document. Texts are shuffled once by id; a document sends the one before it only the
     head that one needs, and its signatures.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    rows = rows.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.xxhash64("text").alias("h"), "text",
-        F.length("text").alias("n"),
+    rows = docs.select(
+        F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).alias("key"), F.xxhash64(whole_text(text)).alias("h"),
+        whole_text(text).alias("text"), F.length(whole_text(text)).alias("n"),
     )
-    linked = rows.join(predecessors(rows.drop("text")), ["key", "h"])
+    ids = rows.select(F.col("key").try_cast("long").alias("doc_id"), "key", "h", "n")
+    # Both readers of ``linked`` use the same four columns of the texts' side, so Spark shuffles it once.
+    linked = rows.join(predecessors(ids), ["key", "h"])
     heads = with_signatures(linked.dropDuplicates(["key", "h"]), "text", "next_spots").select(
         F.col("prev.key").alias("key"), F.col("prev.h").alias("h"),
-        F.col("text").substr(F.lit(1), F.floor(F.col("prev.n") / EDIT_SHARE).cast("int")).alias("head"), "next_spots",
+        F.col("text").substr(F.lit(1), F.least(F.floor(F.col("prev.n") / EDIT_SHARE).cast("int"), F.col("n"))).alias("head"), "next_spots",
     )
     cut = F.floor(F.col("n") / EDIT_SHARE).cast("int")
     both = linked.drop("prev").join(heads, ["key", "h"]).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("n") - cut), "head"))
-    both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), "text", "edited", "next_spots")
+    both = both.select(F.col("key").try_cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", "edited", "next_spots")
     signed = with_signatures(with_signatures(both, "text", "spots"), "edited", "edited_spots")
     return signed.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
