@@ -11,9 +11,10 @@ leave too few shingles behind them.
 
 Inside a block answers are derived from a similar set's answers. In each round every block names
 one pivot; sets are compared with the pivots of their blocks only, and a set that links with a
-pivot takes over its component, so it needs no comparison with other members. Members of
+pivot takes over its component, so it needs no comparison with other members. Of the pivots that bucket counts
+allow, a set is compared with the likeliest. Members of
 one component are never compared, so a group of near copies costs a comparison per copy and
-round instead of one per pair. Rounds go on while they find links and many pairs of different
+round instead of one per pair. Rounds go on while they link many sets and many pairs of different
 components remain; then all remaining pairs of different components in a block are compared.
 Every pair that could link is thus compared or already connected: no link is lost.
 
@@ -27,8 +28,10 @@ Rows that share a doc_id are one document. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +40,19 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import written
 
-from .common import fresh, let, lower_ascii, salted_left_join, whole_text
+from .common import fresh, lower_ascii, salted_left_join, whole_text
 
 #: Counters of the frequency sketch and bits of the filters: fixed sizes, whatever the input.
 SKETCH = 1 << 18
 FILTER_BITS = 1 << 25
 BITMAP_BITS = 32_768
+#: Counts of a set's shingles by bucket bound what two sets can share.
+BUCKETS = 32
 MAX_ROUNDS = 24
 #: Rounds of pivots go on while more pairs than this per index entry are open.
-OPEN_PAIRS = 4
+OPEN_PAIRS = 8
+#: and only while a round links at least one set in this many.
+WORTHWHILE = 50
 
 
 @dataclass(frozen=True)
@@ -71,28 +78,72 @@ class Rule:
         return F.least(m_a - p_a, m_b - p_b) * F.lit(self.num + self.den) >= (m_a + m_b) * F.lit(self.num)
 
 
-def with_set(df: DataFrame, rule: Rule, text: str, out: str) -> DataFrame:
-    """``df`` with the ascending distinct shingle hashes of ``text``."""
-
-    def tokens(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - rule.n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(rule.n)]))
-        few = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-        return F.sort_array(F.array_distinct(F.when(F.size(w) >= rule.n, grams).otherwise(few)))
-
-    words = F.filter(F.split(lower_ascii(whole_text(text)), r"[ \t-\r]+"), lambda x: x != "")
-    return df.withColumn(out, let(words, tokens))
-
-
-def _sid(tokens: Column) -> Column:
-    return F.when(F.size(tokens) > 0, F.xxhash64(tokens))
-
-
-def frequency_levels(sets: DataFrame) -> np.ndarray:
+def word_hashes(text: str = "text") -> Column:
+    """64-bit hashes of the words of a text, in order."""
+    words = F.split(lower_ascii(whole_text(text)), r"[ \t-\r]+")
+    return F.transform(F.filter(words, lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_sets(words: pa.ListArray, n: int) -> list[np.ndarray]:
+    """The ascending distinct shingle hashes of each row of word hashes."""
+    words = words.fill_null([]) if words.null_count else words
+    ends = words.offsets.to_numpy().astype(np.int64)
+    h = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    size = len(h) - n + 1
+    grams = np.zeros(max(0, size), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            grams = _mixed(grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + size]) if size > 0 else grams
+        out = []
+        for s, e in zip(ends[:-1], ends[1:]):
+            if e - s >= n:
+                out.append(np.unique(grams[s : e - n + 1].view(np.int64)))
+            else:
+                whole = np.zeros(1, np.uint64)
+                for k in range(s, e):
+                    whole = _mixed(whole * np.uint64(0x9E3779B97F4A7C15) + h[k])
+                out.append(whole.view(np.int64) if e > s else np.zeros(0, np.int64))
+    return out
+
+
+def set_id(tokens: np.ndarray) -> int:
+    """64-bit name of a set."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row its set's name, size and bucket counts; at the end of a task its counters (kind 1: doc_id is the cell, m the count)."""
+    total = np.zeros(SKETCH, np.int64)
+    for b in words:
+        sets = shingle_sets(b.column("words"), rule.n)
+        buckets = [np.bincount((t >> np.int64(40)) & (BUCKETS - 1), minlength=BUCKETS) for t in sets]
+        for t in sets:
+            np.add.at(total, t & (SKETCH - 1), 1)
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
+            pa.array([len(t) for t in sets], pa.int64()),
+            pa.array([x.astype(np.int32) for x in buckets], pa.list_(pa.int32())), pa.array(np.zeros(len(sets), np.int32)),
+        ], names=["doc_id", "sid", "m", "buckets", "kind"])
+    cells = np.nonzero(total)[0]
+    for at in range(0, len(cells), 65_536):
+        part = cells[at : at + 65_536]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(total[part]), pa.nulls(len(part), pa.list_(pa.int32())),
+            pa.array(np.ones(len(part), np.int32)),
+        ], names=["doc_id", "sid", "m", "buckets", "kind"])
+
+
+def frequency_levels(cells: DataFrame) -> np.ndarray:
     """Level of each sketch counter: 0 up to twice the mean, then quarter octaves. 256 kB, whatever the input."""
-    counts = sets.select(F.explode_outer("tokens").alias("t")).groupBy(F.pmod("t", F.lit(SKETCH)).cast("int").alias("cell")).count()
     total = np.zeros(SKETCH)
-    rows = counts.where("cell is not null").toPandas()  # one row per counter at most
-    total[rows["cell"].to_numpy(int)] = rows["count"].to_numpy(float)
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # one row per counter at most
+        total[r["cell"]] = r["n"]
     mean = max(1.0, total.mean())
     return np.clip(np.floor(4 * np.log2(np.maximum(total / mean, 1e-9) / 2)) + 1, 0, 255).astype(np.uint8)
 
@@ -100,28 +151,29 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
 INDEX = "token long, sid long, m int, pos int"
 
 
-def index_entries(sets: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
+def index_entries(docs: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
     """(token, sid, m, pos) of the rarest shingles of each set."""
     num, den = rule.num, rule.den
     schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("m", pa.int32()), ("pos", pa.int32())])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sids = b.column("sid").to_numpy(zero_copy_only=False)
-            lists = b.column("tokens")
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            size = np.diff(ends)
-            take = np.where(size > 0, size + (-num * size // den) + 1, 0)
-            cell = levels[values & (SKETCH - 1)]
-            token = [values[s + np.argsort(cell[s : s + n], kind="stable")[:k]] for s, n, k in zip(ends[:-1], size, take)]
-            pos = [np.arange(k, dtype=np.int32) for k in take]
+            token, sid, m, pos = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
+            for t in shingle_sets(b.column("words"), rule.n):
+                if not len(t):
+                    continue
+                k = len(t) + (-num * len(t) // den) + 1
+                token.append(t[np.argsort(levels[t & (SKETCH - 1)], kind="stable")[:k]])
+                pos.append(np.arange(k, dtype=np.int32))
+                sid.append(set_id(t))
+                m.append(len(t))
+            each = [len(x) for x in pos[1:]]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)),
-                pa.array(np.repeat(sids, take)), pa.array(np.repeat(size, take).astype(np.int32)),
-                pa.array(np.concatenate(pos) if pos else np.zeros(0, np.int32)),
+                pa.array(np.concatenate(token)), pa.array(np.repeat(np.array(sid, np.int64), each)),
+                pa.array(np.repeat(np.array(m, np.int32), each)), pa.array(np.concatenate(pos)),
             ], schema=schema)
 
-    return sets.select("sid", "tokens").mapInArrow(entries, INDEX)
+    return docs.select(word_hashes().alias("words")).mapInArrow(entries, INDEX)
 
 
 def keep_listed(df: DataFrame, column: str, listed: DataFrame, key: str) -> DataFrame:
@@ -140,28 +192,49 @@ def keep_listed(df: DataFrame, column: str, listed: DataFrame, key: str) -> Data
     return df.withColumn(cell, F.floor(h(F.col(column)) / BITMAP_BITS)).join(F.broadcast(maps), cell).where(hit).drop(cell, bits)
 
 
-def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of sets that link. ``reps``: (sid, rep), a document of each set."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid")
+def may_link(pairs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose bucket counts allow a link, with the bound on what they share.
+
+    Two sets share at most the sum over buckets of the smaller count.
+    """
+    left = pairs.join(sizes.select(F.col("sid").alias("a"), F.col("m").alias("m_a"), F.col("buckets").alias("n_a")), "a")
+    both = left.join(sizes.select(F.col("sid").alias("b"), F.col("m").alias("m_b"), F.col("buckets").alias("n_b")), "b")
+    bound = F.aggregate(F.zip_with("n_a", "n_b", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    rows = both.select("a", "b", bound.alias("bound"), (F.col("m_a") + F.col("m_b")).alias("sum"))
+    return rows.where(F.col("bound") * (rule.num + rule.den) >= F.col("sum") * rule.num).withColumn("bound", F.col("bound") / F.col("sum")).drop("sum")
+
+
+def compare(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of sets that link. ``sizes`` names a document of each set."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sizes.select("sid", "rep"), "sid")
     needed = written(needed, "join-needed")
-    texts = keep_listed(docs.select("doc_id", "text"), "doc_id", needed, "rep")
+    texts = keep_listed(docs, "doc_id", needed, "rep")
     texts = texts.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id").select("sid", "text")
-    left = pairs.join(texts.withColumnsRenamed({"sid": "a", "text": "text_a"}), "a")
+    left = pairs.select("a", "b").join(texts.withColumnsRenamed({"sid": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"sid": "b", "text": "text_b"}), "b")
-    sets = with_set(with_set(both, rule, "text_a", "set_a"), rule, "text_b", "set_b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    # Rows that share a doc_id may bring another text; the set must be the one that was indexed.
-    real = (_sid(F.col("set_a")) == F.col("a")) & (_sid(F.col("set_b")) == F.col("b"))
-    counted = sets.select("a", "b", real.alias("real"), shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-    link = F.col("real") & (F.col("shared") * rule.den >= (F.col("sum") - F.col("shared")) * rule.num)
-    # Filtered behind the grouping, so that no filter computes the sets again.
-    return counted.groupBy("a", "b").agg(F.max(link).alias("link")).where("link").select("a", "b")
+    words = both.select("a", "b", word_hashes("text_a").alias("words_a"), word_hashes("text_b").alias("words_b"))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for a, b, x, y in zip(
+                batch.column("a").to_pylist(), batch.column("b").to_pylist(),
+                shingle_sets(batch.column("words_a"), rule.n), shingle_sets(batch.column("words_b"), rule.n),
+            ):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                # Rows that share a doc_id may bring another text; the set must be the one that was indexed.
+                if rule.den * shared >= rule.num * (len(x) + len(y) - shared) and set_id(x) == a and set_id(y) == b:
+                    hit.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hit], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return words.mapInArrow(links, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(sid, comp): the smallest sid connected, by minimum labels and pointer jumping; ``labels`` is a start."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "join-edges")
-    now = both.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("near")).select("sid", F.least("sid", "near").alias("comp"))
+    # A set keeps its former label to begin with: through it the label's other owners hear of new links.
+    now = both.select(F.col("a").alias("sid"), F.col("a").alias("comp")).distinct()
     if labels is not None:
         now = now.union(labels).groupBy("sid").agg(F.min("comp").alias("comp"))
     now = written(now, "join-labels")
@@ -181,16 +254,22 @@ def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, m) of every row, and (sid, comp) of every set that links with another set."""
-    sets = with_set(docs.select("doc_id", "text"), rule, "text", "tokens").select("doc_id", _sid(F.col("tokens")).alias("sid"), "tokens")
-    keys = written(sets.select("doc_id", "sid", F.size("tokens").cast("long").alias("m")), "join-keys")
-    named = sets.where("doc_id is not null")
-    reps = written(keys.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")), "join-reps")
-    entries = index_entries(named, rule, frequency_levels(named))
+    first = docs.select("doc_id", word_hashes().alias("words")).mapInArrow(
+        partial(sketch_rows, rule), "doc_id long, sid long, m long, buckets array<int>, kind int"
+    )
+    first = written(first, "join-keys")
+    keys = first.where("kind = 0").select("doc_id", "sid", "m")
+    levels = frequency_levels(first.where("kind = 1").select(F.col("doc_id").cast("int").alias("cell"), F.col("m").alias("n")))
+    named = docs.where("doc_id is not null")
+    entries = written(index_entries(named, rule, levels), "join-entries")
     shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
     shared = written(shared, "join-shared")
     index = keep_listed(entries, "token", shared, "token").join(shared, "token", "left_semi").distinct()
     index = written(index.withColumn("c", rule.size_class(F.col("m"))), "join-index")
     size = index.count()
+    sizes = first.where("kind = 0 and sid is not null and doc_id is not null").join(index.select("sid").distinct(), "sid", "left_semi")
+    sizes = written(sizes.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("m").alias("m"), F.min("buckets").alias("buckets")), "join-sizes")
+    named_sets = sizes.count()
     labels, tested, last = None, None, False
     for k in range(MAX_ROUNDS + 1):
         now = index.withColumn("comp", F.col("sid")) if labels is None else (
@@ -203,14 +282,20 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         pairs = _all_pairs(now, rule) if last else _pivot_pairs(now, rule, k)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "join-pairs")
-        links = written(compare(pairs, docs, reps, rule), "join-links")
+        pairs = may_link(pairs, sizes, rule)
+        if not last:
+            # One partner per set and round, the likeliest: its component's answers are then the set's own.
+            sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("s"), "bound")
+            best = sides.groupBy("s.x").agg(F.max(F.struct("bound", "s.y")).alias("best")).select("x", "best.y")
+            pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs.select("a", "b"), "join-pairs")
+        links = written(compare(pairs, docs, sizes, rule), "join-links")
         found = links.count()
         if found:
             labels = components(links, labels)
         if last:
             break
-        last = not found
+        last = found * WORTHWHILE < named_sets
         tested = pairs if tested is None else tested.union(pairs)
     return keys, labels if labels is not None else docs.sparkSession.createDataFrame([], "sid long, comp long")
 
