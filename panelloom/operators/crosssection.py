@@ -1,10 +1,9 @@
 """Statistics of a group (usually a month) brought back to its rows.
 
-A group can be arbitrarily large, so nothing here relies on a group fitting one task unless
-that was measured first. Moments use partial aggregation. Ranks and quantiles measure the
-largest group: up to ``WINDOW_LIMIT`` rows they use one window or one exact percentile, and
-beyond it exact running counts over range-partitioned chunks, which spread one group over many
-tasks.
+A group can be arbitrarily large, so nothing here relies on a group fitting one task. Moments
+use partial aggregation. Ranks and quantiles of groups of any size use exact running counts over
+range-partitioned chunks, which spread one group over many tasks. Inputs should be written data,
+since they are read twice.
 """
 
 from __future__ import annotations
@@ -16,15 +15,9 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-WINDOW_LIMIT = 1_000_000
 SALTS = 64
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def salt_of(*keys: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(salts))
 
@@ -75,25 +68,18 @@ def _chunks(counts: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame
         F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_before"),
         F.sum("_in").over(group).alias("_total"),
     )
-    return placed, written(offsets, "offsets")
-
+    return placed, offsets
 
-def _rank_by_window(df, by, value, rank, n):
-    w = Window.partitionBy(*by)
-    return df.withColumn(
-        rank,
-        F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2,
-    ).withColumn(n, F.count(F.lit(1)).over(w))
 
-
-def _rank_by_chunks(df, by, value, rank, n, salts):
-    """Exact average rank without a task that holds a whole group.
+def average_rank(df: DataFrame, by: Sequence[str], value: str, rank: str = "rank", n: str = "n", salts: int = SALTS) -> DataFrame:
+    """Rank from 1, ties share the mean rank, and the group size. NULL values are dropped.
 
     Distinct values are counted first, with a salt, so that a value that fills a third of the
     rows is counted and joined back by many tasks. The counts are then accumulated inside each
-    chunk, and the chunks per group.
+    chunk, and the chunks per group. The salt is a hash of the whole row: keep a column that
+    tells equal values apart, such as an id.
     """
-    keyed = written(df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))), "ranked")
+    keyed = df.filter(F.col(value).isNotNull()).withColumn("_salt", salt_of(*df.columns, salts=salts))
     counts = keyed.groupBy(*by, value, "_salt").agg(F.count(F.lit(1)).alias("_c"))
     placed, offsets = _chunks(counts, by, value)
     chunk = Window.partitionBy(*by, "_part")
@@ -112,38 +98,9 @@ def _rank_by_chunks(df, by, value, rank, n, salts):
     return keyed.join(ranks, [*by, value, "_salt"]).select(*df.columns, rank, n)
 
 
-def average_rank(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    rank: str = "rank",
-    n: str = "n",
-    window_limit: int | None = None,
-    salts: int = SALTS,
-    largest: int | None = None,
-) -> DataFrame:
-    """Rank from 1, ties share the mean rank, and the group size. NULL values are dropped.
-
-    ``largest``: size of the largest group when it is known already.
-    """
-    limit = WINDOW_LIMIT if window_limit is None else window_limit
-    df = df.filter(F.col(value).isNotNull())
-    if (largest_group(df, by) if largest is None else largest) <= limit:
-        return _rank_by_window(df, by, value, rank, n)
-    return _rank_by_chunks(df, by, value, rank, n, salts)
-
-
 # ---------------------------------------------------------------- quantiles
 
 
-def _quantiles_exact(df, by, value, fractions):
-    return df.groupBy(*by).agg(
-        F.percentile(value, [float(f) for f in fractions]).alias("breakpoints"),
-        F.count(value).alias("n_values"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-
-
 def _quantiles_by_chunks(df, by, value, fractions):
     """Exact order statistics: count the values per chunk, then look only inside the chunks hit."""
     counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
@@ -188,36 +145,25 @@ def _quantiles_by_chunks(df, by, value, fractions):
 
 
 def quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    fractions: Sequence[float],
-    window_limit: int | None = None,
-    values: str = "n_values",
-    rows: str | None = None,
+    df: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float], values: str = "n_values", rows: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles per group as the array ``breakpoints``.
 
     Also the number of values, and on request the number of rows (missing values included; a
     group without any value then keeps its row). ``df`` should be written data.
     """
-    limit = WINDOW_LIMIT if window_limit is None else window_limit
     src = df.select(*by, value)
-    present = src.filter(F.col(value).isNotNull())
-    bounded = largest_group(src, by) <= limit
-    if bounded:
-        out = _quantiles_exact(src if rows else present, by, value, fractions)
-    else:
-        out = _quantiles_by_chunks(present, by, value, fractions)
-        if rows:
-            counts = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
-            out = counts.join(out, list(by), "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
+    out = _quantiles_by_chunks(src.filter(F.col(value).isNotNull()), by, value, fractions)
     keep = [*by, "breakpoints", F.col("n_values").alias(values)]
-    return out.select(*keep, F.col("n_rows").alias(rows)) if rows else out.select(*keep)
+    if not rows:
+        return out.select(*keep)
+    counts = src.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
+    out = counts.join(out, list(by), "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
+    return out.select(*keep, F.col("n_rows").alias(rows))
 
 
-def breakpoints(df, by, value, n_parts: int, window_limit: int | None = None, **names) -> DataFrame:
-    return quantiles(df, by, value, [k / n_parts for k in range(1, n_parts)], window_limit, **names)
+def breakpoints(df, by, value, n_parts: int, **names) -> DataFrame:
+    return quantiles(df, by, value, [k / n_parts for k in range(1, n_parts)], **names)
 
 
 def quantile_of(value: Column | str, bps: Column | str) -> Column:

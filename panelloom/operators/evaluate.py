@@ -20,17 +20,17 @@ def matched(scores: DataFrame, returns: DataFrame) -> DataFrame:
     return clean_scores(scores).join(r, ["mi", "id"])
 
 
-def rank_correlation(
-    rows: DataFrame, by: Sequence[str], x: str, y: str, min_rows: int = 2, window_limit: int | None = None
-) -> DataFrame:
+def rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y: str, min_rows: int = 2) -> DataFrame:
     """Spearman correlation per group with average ranks: (by, correlation, n).
 
-    Groups below ``min_rows`` are left out; a constant side gives NULL.
+    Groups below ``min_rows`` are left out; a constant side gives NULL. Every row is numbered when
+    the pairs are written, so that equal pairs (zero returns under a constant score) are told apart
+    and spread over tasks.
     """
-    rows = written(rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).dropna(subset=["_x", "_y"]), "pairs")
-    largest = X.largest_group(rows, by)
-    ranked = X.average_rank(rows, by, "_x", "_rx", "_n", window_limit, largest=largest).drop("_n")
-    ranked = X.average_rank(ranked, by, "_y", "_ry", "_n", window_limit, largest=largest)
+    pairs = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).dropna(subset=["_x", "_y"])
+    pairs = written(pairs.withColumn("_row", F.monotonically_increasing_id()), "pairs")
+    ranked = X.average_rank(pairs, by, "_x", "_rx", "_n").drop("_n")
+    ranked = X.average_rank(written(ranked, "ranked"), by, "_y", "_ry", "_n")
     return (
         ranked.groupBy(*by)
         .agg(X.correlation("_rx", "_ry").alias("correlation"), F.count(F.lit(1)).alias("n"))
@@ -38,8 +38,8 @@ def rank_correlation(
     )
 
 
-def monthly_spearman(scores: DataFrame, returns: DataFrame, min_names: int = K.MIN_NAMES, window_limit=None) -> DataFrame:
-    out = rank_correlation(matched(scores, returns), MONTH, "score", "ret", min_names, window_limit)
+def monthly_spearman(scores: DataFrame, returns: DataFrame, min_names: int = K.MIN_NAMES) -> DataFrame:
+    out = rank_correlation(matched(scores, returns), MONTH, "score", "ret", min_names)
     return out.select(*MONTH, C.month_end("mi").alias("date"), "correlation", "n")
 
 
@@ -56,11 +56,11 @@ def ic_summary(monthly: DataFrame, keys: Sequence[str] = ("model",)) -> DataFram
 
 
 def pooled_evaluation(
-    rows: DataFrame, keys: Sequence[str] = ("model",), x: str = "score", y: str = "ret", window_limit=None
+    rows: DataFrame, keys: Sequence[str] = ("model",), x: str = "score", y: str = "ret"
 ) -> DataFrame:
     """Spearman, Pearson, mean squared and absolute error over all observations of a key."""
     rows = written(rows.select(*keys, x, y).dropna(), "pooled")
-    rank = rank_correlation(rows, keys, x, y, 2, window_limit).select(*keys, F.col("correlation").alias("spearman"))
+    rank = rank_correlation(rows, keys, x, y, 2).select(*keys, F.col("correlation").alias("spearman"))
     gap = F.col(x) - F.col(y)
     rest = rows.groupBy(*keys).agg(
         X.correlation(x, y).alias("pearson"),

@@ -20,19 +20,20 @@ def factor_models_table(df: DataFrame, models: Mapping[str, Sequence[str]] = K.F
     return df.sparkSession.createDataFrame(rows, "factor_model string, position int, factor string")
 
 
-def characteristic_spreads(pool: DataFrame, characteristics: Mapping[str, str], window_limit: int | None = None) -> DataFrame:
-    """Factor returns: value-weighted upper minus lower half of each characteristic, per month.
+def characteristic_spreads(pool: DataFrame, characteristics: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Factor returns: value-weighted difference of the two halves of each characteristic, per month.
 
-    ``characteristics`` maps a factor name to a column of ``pool`` (mi, ret, cap_prev, ...).
+    ``characteristics`` maps a factor name to a column of ``pool`` (mi, ret, cap_prev, ...) and a
+    sign: 1 for the upper minus the lower half, -1 for the lower minus the upper half (small minus
+    big, losers minus winners). All medians come from one pass over the written pool.
     """
-    names = list(characteristics)
-    medians = None
-    for f in names:
-        m = X.quantiles(pool, ["mi"], characteristics[f], [0.5], window_limit).select(
-            "mi", F.col("breakpoints")[0].alias(f"_med_{f}")
-        )
-        medians = m if medians is None else medians.join(m, "mi", "outer")
-    rows = pool.join(written(medians, "medians"), "mi").filter(F.col("ret").isNotNull())
+    columns = sorted({c for c, _ in characteristics.values()})
+    pool = written(pool.filter(F.col("ret").isNotNull()).select("mi", "ret", *{"cap_prev", *columns}), "factor_pool")
+    long = pool.select("mi", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s"))
+    medians = X.quantiles(long.select("mi", "s.c", "s.v"), ["mi", "c"], "v", [0.5]).groupBy("mi").agg(
+        *[F.max(F.when(F.col("c") == c, F.col("breakpoints")[0])).alias(f"_med_{c}") for c in columns]
+    )
+    rows = pool.join(written(medians, "medians"), "mi")
 
     def side(cond: Column) -> Column:
         w = F.when(cond, F.col("cap_prev"))
@@ -40,12 +41,24 @@ def characteristic_spreads(pool: DataFrame, characteristics: Mapping[str, str],
 
     return rows.groupBy("mi").agg(
         *[
-            (side(F.col(c) > F.col(f"_med_{f}")) - side(F.col(c) <= F.col(f"_med_{f}"))).alias(f)
-            for f, c in characteristics.items()
+            ((side(F.col(c) > F.col(f"_med_{c}")) - side(F.col(c) <= F.col(f"_med_{c}"))) * sign).alias(f)
+            for f, (c, sign) in characteristics.items()
         ]
     )
 
 
+def in_excess(series: DataFrame, rf: DataFrame, self_financing: Sequence[str] = ("long_short",)) -> DataFrame:
+    """Portfolio series minus the rate of their month; a self-financing leg needs none."""
+    rate = F.when(F.col("portfolio").isin(*self_financing), 0.0).otherwise(F.coalesce("rate", F.lit(0.0)))
+    return series.join(rf.select("mi", "rate"), "mi", "left").withColumn("ret", F.col("ret") - rate).drop("rate")
+
+
+def market_excess(market: DataFrame, rf: DataFrame) -> DataFrame:
+    """(mi, MKT-RF) from the market's return."""
+    rows = market.join(rf.select("mi", "rate"), "mi", "left")
+    return rows.select("mi", (F.col("ret") - F.coalesce("rate", F.lit(0.0))).alias("MKT-RF"))
+
+
 def capm(series: DataFrame, factors: DataFrame, market: str = "MKT-RF", keys: Sequence[str] = SERIES, lags: int = K.NEWEY_WEST_LAGS) -> DataFrame:
     """One-factor regression with HAC(lags) t of the alpha, entirely in built-in aggregates.
 

@@ -73,7 +73,7 @@ def lagged_features(
     return out.withColumn("mi", F.col("mi") + 1).filter(F.col(f"cr{lookback}").isNotNull())
 
 
-def target(returns: DataFrame, kind: str = "ret_norm", ret: str = "ret", out: str = "target", window_limit=None) -> DataFrame:
+def target(returns: DataFrame, kind: str = "ret_norm", ret: str = "ret", out: str = "target") -> DataFrame:
     """Cross-sectional transform of the month's return.
 
     ret: as is. ret_std: r / std. ret_norm: (r - mean) / std. ret_rank_norm: normal quantile of
@@ -91,7 +91,7 @@ def target(returns: DataFrame, kind: str = "ret_norm", ret: str = "ret", out: st
             .withColumn(out, (F.col(ret) - centre) / std)
             .drop("_mean", "_std")
         )
-    ranked = X.average_rank(returns, ["mi"], ret, "_rank", "_n", window_limit)
+    ranked = X.average_rank(returns, ["mi"], ret, "_rank", "_n")
     if kind == "ret_rank_norm":
         value = normal_quantile(F.col("_rank") / (F.col("_n") + 1))
     else:
@@ -107,7 +107,6 @@ def feature_samples(
     rf: DataFrame | None = None,
     eligible: DataFrame | None = None,
     rank_eligible_only: bool = False,
-    window_limit: int | None = None,
 ) -> DataFrame:
     """Training samples: features at ``mi - 1``, target and return at ``mi``, cap at ``mi - 1``.
 
@@ -120,7 +119,7 @@ def feature_samples(
     returns = base.filter(F.col("ret").isNotNull()).select("id", "mi", "date", "ret")
     if eligible is not None and rank_eligible_only:
         returns = returns.join(eligible.select("mi", "id"), ["mi", "id"], "left_semi")
-    targets = target(returns, kind, window_limit=window_limit).withColumnRenamed("ret", "excess_ret")
+    targets = target(returns, kind).withColumnRenamed("ret", "excess_ret")
     feats = lagged_features(base, lookback, anchor=anchor)
     caps = panel.select("id", (F.col("mi") + 1).alias("mi"), F.when(F.col("mcap") > 0, F.col("mcap")).alias("cap_prev"))
     out = (

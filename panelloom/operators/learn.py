@@ -176,26 +176,26 @@ def combine_members(scores: DataFrame) -> DataFrame:
     return scores.groupBy("mi", "id").agg(F.avg("score").alias("score"), F.stddev_pop("score").alias("uncertainty"))
 
 
-def split_report(ensemble: Ensemble, samples: DataFrame, window_limit: int | None = None) -> DataFrame:
+def split_report(ensemble: Ensemble, samples: DataFrame) -> DataFrame:
     """Spearman and mean squared error on the training and validation rows of one fixed split."""
     c = ensemble.config
     pool = fitting_flags(samples, *c["period"], c["fitting_months_only"]).filter("in_pool")
     rows = with_split(pool.select("id", "mi", "target", *ensemble.features), 0, c["validation"], c["seed"])
     label = F.when(F.col("is_validation"), "validation").otherwise("train")
     scored = ensemble.predict(rows.withColumn("split", label))
-    return pooled_evaluation(scored, ["split"], "score", "target", window_limit).select(
+    return pooled_evaluation(scored, ["split"], "score", "target").select(
         "split", "spearman", "mse", F.col("n_observations").alias("n_rows")
     )
 
 
-def held_out_report(ensemble: Ensemble, samples: DataFrame, min_names: int = K.MIN_NAMES, window_limit: int | None = None) -> DataFrame:
+def held_out_report(ensemble: Ensemble, samples: DataFrame, min_names: int = K.MIN_NAMES) -> DataFrame:
     """Mean monthly rank correlation on the period's non-fitting months, against target and return."""
     c = ensemble.config
     rows = fitting_flags(samples, *c["period"], c["fitting_months_only"]).filter("in_evaluation")
     scored = written(ensemble.predict(rows.select("id", "mi", "target", "excess_ret", *ensemble.features)), "held_out")
     parts = []
     for versus in ("excess_ret", "target"):
-        monthly = rank_correlation(scored, ["mi"], "score", versus, min_names, window_limit)
+        monthly = rank_correlation(scored, ["mi"], "score", versus, min_names)
         parts.append(
             monthly.filter(F.col("correlation").isNotNull()).agg(
                 F.lit(versus).alias("versus"), F.avg("correlation").alias("spearman"),
@@ -233,7 +233,7 @@ def subperiod_forecasts(
     return out
 
 
-def cross_validate(samples: DataFrame, n_folds: int = 5, learner: str = "linear", scaling: str = "standard", window_limit=None, **params) -> DataFrame:
+def cross_validate(samples: DataFrame, n_folds: int = 5, learner: str = "linear", scaling: str = "standard", **params) -> DataFrame:
     """Expanding-window folds: one unweighted learner each, pooled Spearman on the next block."""
     from .features import cv_folds
 
@@ -254,7 +254,7 @@ def cross_validate(samples: DataFrame, n_folds: int = 5, learner: str = "linear"
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return pooled_evaluation(out, ["fold"], "score", "target", window_limit).select(
+    return pooled_evaluation(out, ["fold"], "score", "target").select(
         "fold", F.col("spearman").alias("spearman_corr"), F.col("n_observations").alias("val_size")
     )
 

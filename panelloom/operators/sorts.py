@@ -41,10 +41,10 @@ def largest_names(cands: DataFrame, n: int = K.TOP_N) -> DataFrame:
     )
 
 
-def size_screen(cands: DataFrame, percentile: float, exchange: str = K.NYSE, window_limit=None) -> DataFrame:
+def size_screen(cands: DataFrame, percentile: float, exchange: str = K.NYSE) -> DataFrame:
     """Securities whose prior market value exceeds a percentile of the exchange's names."""
-    known = cands.filter(F.col("cap_prev").isNotNull())
-    cut = X.quantiles(known.filter(F.col("exch") == exchange), ["mi"], "cap_prev", [percentile], window_limit)
+    known = written(cands.filter(F.col("cap_prev").isNotNull()), "size_known")
+    cut = X.quantiles(known.filter(F.col("exch") == exchange), ["mi"], "cap_prev", [percentile])
     cut = written(cut.select("mi", F.col("breakpoints")[0].alias("_cut")), "size_cut")
     return known.join(cut, "mi").filter(F.col("cap_prev") > F.col("_cut")).drop("_cut")
 
@@ -70,7 +70,6 @@ def quantile_sort(
     top: int | None = None,
     exchange_breakpoints: str | None = None,
     eligible_only: bool = True,
-    window_limit: int | None = None,
 ) -> QuantileSort:
     """Sort the eligible securities of each month into ``n`` portfolios by score.
 
@@ -111,7 +110,7 @@ def quantile_sort(
         .select("model", "mi", "id", "score", "cap_prev", "ret", F.when(in_bp, F.col("score")).alias("bp_score")),
         "pool",
     )
-    bps = X.breakpoints(pool, MONTH, "bp_score", n, window_limit, rows="n_pool", values="n_bp")
+    bps = X.breakpoints(pool, MONTH, "bp_score", n, rows="n_pool", values="n_bp")
     n_pool, n_bp = F.coalesce("n_pool", F.lit(0)), F.coalesce("n_bp", F.lit(0))
     enough = (n_pool >= n) & (n_bp >= n)
     months = written(
@@ -267,7 +266,6 @@ def simple_sort(
     n: int = K.N_PORTFOLIOS,
     weighting: str = "equal",
     exchange_breakpoints: str | None = None,
-    window_limit: int | None = None,
 ) -> DataFrame:
     """Quantile portfolios from scores and returns alone.
 
@@ -284,7 +282,7 @@ def simple_sort(
     rows = scores.join(months, "mi", "left_semi").join(returns.select("mi", "id", *have), ["mi", "id"], "left")
     in_bp = F.col("exch") == exchange_breakpoints if exchange_breakpoints else F.lit(True)
     rows = written(rows.withColumn("bp_score", F.when(in_bp, F.col("score"))), "simple_pool")
-    bps = written(X.breakpoints(rows, MONTH, "bp_score", n, window_limit).filter(F.col("n_values") >= n), "simple_bps")
+    bps = written(X.breakpoints(rows, MONTH, "bp_score", n).filter(F.col("n_values") >= n), "simple_bps")
     assigned = rows.join(bps.select(*MONTH, "breakpoints"), MONTH).withColumn(
         "q", X.quantile_of("score", "breakpoints")
     )
@@ -307,7 +305,6 @@ def nested_sort(
     pool: DataFrame,
     levels: Sequence[tuple[str, int]],
     weighting: str = "value",
-    window_limit: int | None = None,
 ) -> DataFrame:
     """Dependent sorts: by the first column, then by the second inside each group, and so on.
 
@@ -320,7 +317,7 @@ def nested_sort(
     rows = written(pool.dropna(subset=[c for c, _ in levels] + ["ret"]), "nested_pool")
     for i, (column, parts) in enumerate(levels, start=1):
         by = [*MONTH, *cells]
-        bps = X.breakpoints(rows, by, column, parts, window_limit).filter(F.col("n_values") >= parts)
+        bps = X.breakpoints(rows, by, column, parts).filter(F.col("n_values") >= parts)
         bps = written(bps.select(*by, "breakpoints"), f"nested_bps{i}")
         rows = rows.join(bps, by).withColumn(f"q{i}", X.quantile_of(column, "breakpoints")).drop("breakpoints")
         if i < len(levels):

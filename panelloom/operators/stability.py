@@ -77,7 +77,6 @@ def forecast_similarity(
     fits: Fits = (),
     period: tuple[str, str] | None = None,
     min_names: int = K.MIN_NAMES,
-    window_limit: int | None = None,
 ) -> DataFrame:
     """Mean monthly rank correlation of the forecasts of each pair of models."""
     s = clean_scores(scores)
@@ -94,7 +93,7 @@ def forecast_similarity(
             )
         ),
     )
-    monthly = rank_correlation(rows, ["model_a", "model_b", "mi"], "x", "y", min_names, window_limit)
+    monthly = rank_correlation(rows, ["model_a", "model_b", "mi"], "x", "y", min_names)
     return (
         monthly.filter(F.col("correlation").isNotNull())
         .groupBy("model_a", "model_b")

@@ -60,6 +60,14 @@ def avg_rank(over: str, value: str) -> str:
     )
 
 
+def _excess_samples(universe: str) -> str:
+    """Samples of features, target and return in excess of the rate."""
+    return f"""SELECT f.*, q.date, {ppf('r / (n + 1)')} AS target, q.ret AS excess_ret, CASE WHEN c.mcap > 0 THEN c.mcap END AS cap_prev
+        FROM xfeat f JOIN (SELECT *, {avg_rank('mi', 'ret')} AS r, count(*) OVER (PARTITION BY mi) AS n
+                           FROM expanel WHERE ret IS NOT NULL{universe}) q USING (id, mi)
+        LEFT JOIN panel c ON c.id = f.id AND c.mi = f.mi - 1"""
+
+
 PARTS: dict[str, tuple[str, str]] = {
     "monthly": (
         "",
@@ -173,6 +181,10 @@ PARTS: dict[str, tuple[str, str]] = {
                               FROM panel WHERE ret IS NOT NULL) p USING (id, mi)
             LEFT JOIN panel c ON c.id = f.id AND c.mi = f.mi - 1""",
     ),
+    "xcr": ("expanel", f"SELECT id, mi, {_CR} FROM expanel WINDOW {_CR_FRAMES}"),
+    "xfeat": ("xcr", "SELECT * REPLACE ((mi + 1)::INTEGER AS mi) FROM xcr WHERE cr12 IS NOT NULL"),
+    "xsamples": ("xfeat expanel panel", _excess_samples("")),
+    "xsamples_elig": ("xfeat expanel panel elig", _excess_samples(" AND (mi, id) IN (SELECT (mi, id) FROM elig)")),
     "s": ("samples", "SELECT id, mi, CASE WHEN (id + mi) % 9 <> 0 AND mi % 20 <> 7 THEN cap_prev END AS cap FROM samples"),
     "g": ("prices", "SELECT id, mi, price FROM prices WHERE id % 3 <> 0 OR mi % 4 <> 0"),
     "raw": (

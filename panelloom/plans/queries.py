@@ -241,11 +241,10 @@ def _(t: Tables):
 
 @query(
     "text_to_parquet", "S2",
-    "SELECT PERMNO, YYYYMM, MthCalDt, MthRet, DelReasonType FROM rawdup", "rawdup", "MthRet",
+    "SELECT * EXCLUDE (mi) FROM rawdup", "rawdup", "MthPrc MthRet MthCap", 4,
 )
 def _(t: Tables):
-    df = SE.convert(t.spark, t.raw_csv, new_path(t.spark, "converted"))
-    return df.select("PERMNO", "YYYYMM", "MthCalDt", "MthRet", "DelReasonType")
+    return SE.convert(t.spark, t.raw_csv, new_path(t.spark, "converted"))
 
 
 @query(
@@ -361,13 +360,13 @@ def _(t: Tables):
 
 @query("wide_prices_round_trip", "A3 A4 S11", "SELECT id::VARCHAR AS id, mi, date, price FROM panel", "panel", "price", 7)
 def _(t: Tables):
-    return CO.long_prices(CO.wide_prices(t.prices))
+    return CO.long_prices(CO.wide_prices(t.prices, CO.column_ids(t.prices)))
 
 
 @query("wide_forecasts_round_trip", "S18 A3 A4", "SELECT model, mi, id::VARCHAR AS id, score FROM scores WHERE model = 'momentum'", "scores", "score")
 def _(t: Tables):
     one = t.scores.filter(F.col("model") == "momentum")
-    return RS.long_forecasts(RS.wide_forecasts(one), "momentum")
+    return RS.long_forecasts(RS.wide_forecasts(one, CO.column_ids(one)), "momentum")
 
 
 @query("dataset_store", "S13 F2", "SELECT id, mi, ret FROM panel WHERE exch = 'N'", "panel", "ret")
@@ -567,7 +566,7 @@ def _(t: Tables):
 def _(t: Tables):
     # the path for groups too large for one task, here with many ties
     d = t.panel.filter(F.col("ret").isNotNull()).select("id", "mi", F.floor(F.col("ret") * 10).cast("double").alias("cents"))
-    return XS.average_rank(d, ["mi"], "cents", window_limit=0).drop("cents")
+    return XS.average_rank(d, ["mi"], "cents").drop("cents")
 
 
 _R = O.avg_rank("mi", "ret")
@@ -591,6 +590,22 @@ def _(t: Tables):
     return t.samples
 
 
+# the same in excess of the risk-free rate: features, targets and returns
+@query("excess_lagged_features", "W4 J2", f"SELECT id, mi, {CR_LIST} FROM xfeat", "xfeat", CR, 7)
+def _(t: Tables):
+    return FT.lagged_features(P.excess_returns(t.panel, t.risk_free))
+
+
+@query("excess_feature_samples", "W4 W7 P12 J3", f"SELECT id, mi, date, {CR_LIST}, target, excess_ret, cap_prev FROM xsamples", "xsamples", f"{CR} target excess_ret cap_prev", 6)
+def _(t: Tables):
+    return FT.feature_samples(t.panel, "ret_rank_norm", rf=t.risk_free)
+
+
+@query("eligible_ranked_samples", "W4 W5 W7 J3", f"SELECT id, mi, date, {CR_LIST}, target, excess_ret, cap_prev FROM xsamples_elig", "xsamples_elig", f"{CR} target excess_ret cap_prev", 6)
+def _(t: Tables):
+    return FT.feature_samples(t.panel, "ret_rank_norm", rf=t.risk_free, eligible=P.eligibility(t.panel), rank_eligible_only=True)
+
+
 @query("cross_section_moments", "A5", "SELECT mi, avg(ret) AS mean, stddev_pop(ret) AS std, count(*) AS n FROM panel WHERE ret IS NOT NULL GROUP BY 1", "panel", "mean std")
 def _(t: Tables):
     have = t.panel.filter(F.col("ret").isNotNull())
@@ -703,7 +718,7 @@ def _(t: Tables):
     "panel", "b1 b2 b9",
 )
 def _(t: Tables):
-    q = XS.breakpoints(t.panel, ["mi"], "ret", 10, window_limit=0)
+    q = XS.breakpoints(t.panel, ["mi"], "ret", 10)
     b = F.col("breakpoints")
     return q.select("mi", b[0].alias("b1"), b[1].alias("b2"), b[8].alias("b9"), F.col("n_values").alias("n"))
 
@@ -1245,56 +1260,69 @@ def _(t: Tables):
 # ================================================================ factors
 
 
+# Stand-ins for the published factors: a characteristic and the side that is bought. Size factors buy
+# small and sell big; the reversal factor buys last month's losers.
+_CHARS = {"SMB": ("cap_prev", -1), "HML": ("cr3", 1), "UMD": ("cr12", 1), "STR": ("cr1", -1), "RMW": ("cr6", 1),
+          "CMA": ("cr9", 1), "ME": ("cap_prev", -1), "IA": ("cr4", 1), "ROE": ("cr7", 1)}
+_ALL_FACTORS = ["MKT-RF", *_CHARS]
+
+
 def _factors(t: Tables):
-    """Market return and characteristic spreads standing in for the published factors."""
+    """Market return in excess of the rate and the spreads of the characteristics."""
     pool = t.candidates.filter(F.col("cap_prev").isNotNull() & F.col("ret").isNotNull()).join(t.features, ["mi", "id"])
-    chars = {"SMB": "cap_prev", "HML": "cr3", "UMD": "cr12", "STR": "cr1", "RMW": "cr6", "CMA": "cr9", "ME": "cap_prev", "IA": "cr4", "ROE": "cr7"}
 
     def build():
-        m = PF.market_return(t.candidates).select("mi", F.col("ret").alias("MKT-RF"))
-        return written(FA.characteristic_spreads(pool, chars).join(m, "mi"), "factors")
+        m = FA.market_excess(PF.market_return(t.candidates), t.risk_free)
+        return written(FA.characteristic_spreads(pool, _CHARS).join(m, "mi"), "factors")
 
     return t.once("factors", build)
 
 
+def _half(column: str, side: str) -> str:
+    return f"sum(k.ret * cap_prev) FILTER (WHERE {column} {side} m_{column}) / sum(cap_prev) FILTER (WHERE {column} {side} m_{column})"
+
+
+_SPREADS = ", ".join(
+    f'round({_half(c, ">")} - {_half(c, "<=")}, 8) AS "{f}"' if sign > 0 else f'round({_half(c, "<=")} - {_half(c, ">")}, 8) AS "{f}"'
+    for f, (c, sign) in _CHARS.items()
+)
+
+
 @query(
     "factor_spreads", "S17",
-    """, k AS (SELECT c.mi, c.id, c.ret, c.cap_prev, f.cr3, f.cr12 FROM cand c JOIN feat f USING (mi, id) WHERE c.ret IS NOT NULL AND c.cap_prev IS NOT NULL),
-       m AS (SELECT mi, quantile_cont(cr3, 0.5) AS a, quantile_cont(cr12, 0.5) AS b, quantile_cont(cap_prev, 0.5) AS s FROM k GROUP BY 1)
-       SELECT k.mi, round(mk.ret, 8) AS "MKT-RF",
-         round(sum(k.ret * cap_prev) FILTER (WHERE cap_prev > s) / sum(cap_prev) FILTER (WHERE cap_prev > s) - sum(k.ret * cap_prev) FILTER (WHERE cap_prev <= s) / sum(cap_prev) FILTER (WHERE cap_prev <= s), 8) AS "SMB",
-         round(sum(k.ret * cap_prev) FILTER (WHERE cr3 > a) / sum(cap_prev) FILTER (WHERE cr3 > a) - sum(k.ret * cap_prev) FILTER (WHERE cr3 <= a) / sum(cap_prev) FILTER (WHERE cr3 <= a), 8) AS "HML",
-         round(sum(k.ret * cap_prev) FILTER (WHERE cr12 > b) / sum(cap_prev) FILTER (WHERE cr12 > b) - sum(k.ret * cap_prev) FILTER (WHERE cr12 <= b) / sum(cap_prev) FILTER (WHERE cr12 <= b), 8) AS "UMD"
-       FROM k JOIN m USING (mi) JOIN market mk USING (mi) WHERE k.mi BETWEEN """ + f"{LO} AND {HI} GROUP BY k.mi, mk.ret",
-    "cand feat market",
+    f""", k AS (SELECT c.mi, c.id, c.ret, c.cap_prev, f.* EXCLUDE (mi, id) FROM cand c JOIN feat f USING (mi, id) WHERE c.ret IS NOT NULL AND c.cap_prev IS NOT NULL),
+       m AS (SELECT mi, {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in sorted({c for c, _ in _CHARS.values()}))} FROM k GROUP BY 1)
+       SELECT k.mi, round(mk.ret - rf.rate, 8) AS "MKT-RF", {_SPREADS}
+       FROM k JOIN m USING (mi) JOIN market mk USING (mi) JOIN (SELECT DISTINCT mi, rate FROM rf) rf USING (mi) GROUP BY k.mi, mk.ret, rf.rate""",
+    "cand feat market rf",
 )
 def _(t: Tables):
-    f = R.load_factors(_factors(t), "FFC4", *PERIOD)
-    return f.select("mi", *[F.round(f"`{c}`", 8).alias(c) for c in K.FACTOR_MODELS["FFC4"]])
+    return _factors(t).select("mi", *[F.round(f"`{c}`", 8).alias(c) for c in _ALL_FACTORS])
 
 
 @query(
     "capm_alpha", "A38",
-    """, j AS (SELECT model, portfolio, s.mi, s.ret AS y, m.ret AS x FROM held s JOIN market m USING (mi)),
+    """, j AS (SELECT model, portfolio, s.mi, s.ret - CASE WHEN portfolio = 'long_short' THEN 0 ELSE rate END AS y, m.ret - rate AS x
+             FROM held s JOIN market m USING (mi) JOIN (SELECT DISTINCT mi, rate FROM rf) r USING (mi)),
        f AS (SELECT model, portfolio, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx FROM j GROUP BY 1, 2),
        u AS (SELECT model, portfolio, (sxx - sx * x) / (n * sxx - sx * sx) * (y - a - b * x) AS w, row_number() OVER (PARTITION BY model, portfolio ORDER BY mi) AS i FROM j JOIN f USING (model, portfolio)),
        v AS (SELECT p.model, p.portfolio, sum(CASE WHEN p.i = q.i THEN p.w * q.w ELSE 2 * (1 - (p.i - q.i) / 13.0) * p.w * q.w END) AS v FROM u p JOIN u q ON p.model = q.model AND p.portfolio = q.portfolio AND p.i - q.i BETWEEN 0 AND 12 GROUP BY 1, 2)
        SELECT model, portfolio, round(a, 7) AS alpha, round(b, 7) AS loading, round(CASE WHEN v > 0 THEN a / sqrt(v) END, 5) AS t_alpha, round(1 - (1 - r2) * (n - 1) / (n - 2), 7) AS adj_r2, n AS n_months FROM f JOIN v USING (model, portfolio)""",
-    "held market",
+    "held market rf",
 )
 def _(t: Tables):
-    c = FA.capm(t.series, PF.market_return(t.candidates).select("mi", F.col("ret").alias("MKT-RF")))
+    c = FA.capm(FA.in_excess(t.series, t.risk_free), FA.market_excess(PF.market_return(t.candidates), t.risk_free))
     return c.select("model", "portfolio", F.round("alpha", 7).alias("alpha"), F.round("loading", 7).alias("loading"), F.round("t_alpha", 5).alias("t_alpha"), F.round("adj_r2", 7).alias("adj_r2"), "n_months")
 
 
 @query("factor_alphas", "A38")
 def _(t: Tables):
-    return FA.factor_alpha(t.series, _factors(t))
+    return FA.factor_alpha(FA.in_excess(t.series, t.risk_free), _factors(t))
 
 
 @query("factor_loadings", "A45")
 def _(t: Tables):
-    return FA.loadings(FA.factor_alpha(t.series, _factors(t)))
+    return FA.loadings(FA.factor_alpha(FA.in_excess(t.series, t.risk_free), _factors(t)))
 
 
 # ================================================================ learning (no SQL twin)

@@ -58,7 +58,6 @@ def read_days(
         .option("encoding", "ISO-8859-1")
         .option("escape", '"')
         .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
         .option("pathGlobFilter", "*.csv")
         .csv(year_paths(spark, root, start, end, year_format))
     )
@@ -126,7 +125,9 @@ def build_panel(
 
 
 def save_prices(prices: DataFrame, path: str) -> None:
-    prices.withColumn("year", F.year("date")).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+    # A year of all securities is spread over tasks; each task writes one file per year it holds.
+    rows = prices.withColumns({"year": F.year("date"), "_part": F.pmod(F.xxhash64("id"), F.lit(16))})
+    rows.repartition("year", "_part").drop("_part").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame | None:
@@ -136,10 +137,20 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path).drop("year")
 
 
-def wide_prices(prices: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
-    """Export: one column per security. Without a list Spark's own pivot limit applies."""
-    grouped = prices.groupBy("date")
-    return (grouped.pivot("id", list(ids)) if ids else grouped.pivot("id")).agg(F.first("price"))
+WIDE_COLUMNS = 10_000
+
+
+def column_ids(df: DataFrame, limit: int = WIDE_COLUMNS) -> list:
+    """The ids of a table that is narrow enough to become one column each; otherwise an error."""
+    ids = [r["id"] for r in df.select("id").distinct().limit(limit + 1).collect()]
+    if len(ids) > limit:
+        raise ValueError(f"more than {limit} ids: keep the long form or name the ids to export")
+    return sorted(ids)
+
+
+def wide_prices(prices: DataFrame, ids: Sequence) -> DataFrame:
+    """Export: one column for each of the named securities. The long form is the store."""
+    return prices.groupBy("date").pivot("id", list(ids)).agg(F.first("price"))
 
 
 def long_prices(wide: DataFrame) -> DataFrame:

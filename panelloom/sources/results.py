@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,9 @@ def long_forecasts(wide: DataFrame, model: str = "score") -> DataFrame:
     )
 
 
-def wide_forecasts(scores: DataFrame, ids: Sequence | None = None) -> DataFrame:
-    """Export of one model: a date and one column per security."""
-    grouped = scores.groupBy(C.month_end("mi").alias("date"))
-    return (grouped.pivot("id", list(ids)) if ids else grouped.pivot("id")).agg(F.first("score"))
+def wide_forecasts(scores: DataFrame, ids: Sequence) -> DataFrame:
+    """Export of one model: a date and one column for each of the named securities."""
+    return scores.groupBy(C.month_end("mi").alias("date")).pivot("id", list(ids)).agg(F.first("score"))
 
 
 def read_windows(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -68,8 +68,9 @@ def save_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
 
 
 def dataset_key(source: str, ids: Sequence[str], start: str, end: str) -> str:
-    content = f"{source}_{sorted(str(i) for i in ids)}_{start}_{end}"
-    return hashlib.md5(content.encode()).hexdigest()[:16]
+    """Name of a dataset: a digest of what was asked for, whatever the order of the ids."""
+    asked = json.dumps({"from": start, "to": end, "of": source, "ids": sorted(map(str, ids))}, sort_keys=True)
+    return hashlib.sha256(asked.encode()).hexdigest()[:20]
 
 
 class DatasetStore:

@@ -63,15 +63,33 @@ def scan(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> D
     return spark.read.schema(schema).parquet(path)
 
 
+def file_schema(spark: SparkSession, path: str, lines: int = 100_000) -> T.StructType:
+    """Types of all columns of a text file; unknown columns are judged by the first ``lines``."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+    known = {f.name: f.dataType for f in RAW_SCHEMA.fields} | {c: T.DateType() for c in K.VENDOR_DATE_COLUMNS}
+    unknown = [c for c in raw.columns if c not in known]
+    if unknown:
+        value = lambda c: tokens_to_null(F.col(f"`{c}`"), K.NULL_TOKENS)
+        numeric = lambda c: F.coalesce(F.bool_and(value(c).try_cast("double").isNotNull() | value(c).isNull()) & (F.count(value(c)) > 0), F.lit(False))
+        found = raw.limit(lines).agg(*[numeric(c).alias(str(k)) for k, c in enumerate(unknown)]).head()
+        known |= {c: T.DoubleType() if found[k] else T.StringType() for k, c in enumerate(unknown)}
+    return T.StructType([T.StructField(c, known[c]) for c in raw.columns])
+
+
 def convert(
     spark: SparkSession,
     csv_path: str,
     parquet_path: str,
-    schema: T.StructType = RAW_SCHEMA,
+    schema: T.StructType | None = None,
     compression: str = "zstd",
     row_group_bytes: int = 128 * 1024 * 1024,
 ) -> DataFrame:
-    """Text file to typed Parquet: codes stay text, dates parse leniently."""
+    """Text file to typed Parquet with every column of the file.
+
+    Known columns have their type, the vendor's date columns parse leniently, and other columns
+    become numbers where all values of the first lines are numbers, else they stay text.
+    """
+    schema = schema or file_schema(spark, csv_path)
     (
         scan_text(spark, csv_path, schema, return_tokens=K.NULL_TOKENS)
         .write.mode("overwrite")
@@ -112,7 +130,7 @@ def load_panel(
     """Long panel (id, mi, date, price, ret, mcap, exch) of a period.
 
     Filters act on raw columns, so they reach the file scan. Negative prices are bid/ask
-    averages. Several rows of one security and month are reduced to the last by date.
+    averages. A list of ``ids`` without a whole number selects nothing. Several rows of one security and month are reduced to the last by date.
     """
     lo, hi = C.period_index(start), C.period_index(end)
     to_ym = lambda mi: mi // 12 * 100 + mi % 12 + 1
@@ -120,10 +138,9 @@ def load_panel(
     rows = common_shares(rows, exchanges) if ordinary_only else rows.filter(F.col("PrimaryExch").isin(*exchanges))
     if isinstance(ids, DataFrame):
         rows = rows.join(integer_ids(ids).withColumnRenamed("id", "PERMNO").distinct(), "PERMNO", "left_semi")
-    elif ids:
+    elif ids is not None:
         wanted = [int(i) for i in ids if str(i).strip().lstrip("+-").isdigit()]
-        if wanted:
-            rows = rows.filter(F.col("PERMNO").isin(wanted))
+        rows = rows.filter(F.col("PERMNO").isin(wanted) if wanted else F.lit(False))
     ret = nan_to_null("MthRet")
     if "DlRet" in raw.columns:
         ret = compound_delisting(ret, nan_to_null("DlRet"))

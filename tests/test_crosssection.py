@@ -25,10 +25,9 @@ def skewed(spark):
     return written(df, "skewed"), rows
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_average_rank_both_paths(skewed, limit):
+def test_average_rank(skewed):
     df, rows = skewed
-    got = {r.id: (r["rank"], r.n) for r in X.average_rank(df, ["g"], "v", window_limit=limit, salts=7).collect()}
+    got = {r.id: (r["rank"], r.n) for r in X.average_rank(df, ["g"], "v", salts=7).collect()}
     for g in (1, 2, 3, 4):
         ids = [i for i, r in enumerate(rows) if r[0] == g and r[1] is not None]
         want = ranks([rows[i][1] for i in ids])
@@ -37,11 +36,10 @@ def test_average_rank_both_paths(skewed, limit):
     assert len(got) == len(rows) - 1
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_quantiles_both_paths(skewed, limit):
+def test_quantiles(skewed):
     df, rows = skewed
     fr = [k / 10 for k in range(1, 10)]
-    got = {r.g: r for r in X.quantiles(df, ["g"], "v", fr, window_limit=limit, rows="all").collect()}
+    got = {r.g: r for r in X.quantiles(df, ["g"], "v", fr, rows="all").collect()}
     for g in (1, 2, 3, 4):
         v = [r[1] for r in rows if r[0] == g and r[1] is not None]
         assert got[g].breakpoints == pytest.approx(list(np.percentile(v, [10 * k for k in range(1, 10)])), abs=1e-9)
@@ -51,11 +49,18 @@ def test_quantiles_both_paths(skewed, limit):
 
 def test_rank_of_everything_without_groups(skewed):
     df, rows = skewed
-    out = X.average_rank(df.withColumn("one", F.lit(1)), ["one"], "v", window_limit=0)
+    out = X.average_rank(df.withColumn("one", F.lit(1)), ["one"], "v")
     v = [r[1] for r in rows if r[1] is not None]
     assert sorted(r["rank"] for r in out.collect()) == sorted(ranks(v))
 
 
+def test_equal_pairs_are_spread_over_salts(spark):
+    """Zero returns under a constant score: one value, many keys."""
+    rows = spark.range(640).selectExpr("1 AS g", "0.0D AS v", "id")
+    assert rows.select(X.salt_of(*rows.columns).alias("s")).distinct().count() > 30
+    assert {r["rank"] for r in X.average_rank(written(rows, "equal"), ["g"], "v").collect()} == {320.5}
+
+
 def test_chunks_split_one_group_evenly(spark):
     # one group, values in a narrow range: no chunk holds more than a share of it
     df = spark.range(4000).selectExpr("1 AS g", "100 + id * 1e-9 AS v", "1L AS _c")

@@ -39,7 +39,8 @@ def test_queries_agree_with_sql_on_the_smallest_folder(spark, name):
     want = sorted((tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()), key=key)
     assert len(got) == len(want)
     for a, b in zip(got, want):
-        assert a == pytest.approx(b, abs=1e-6) if all(isinstance(x, float) for x in a) else len(a) == len(b)
+        for c, x, y in zip(cols, a, b):
+            assert x == (pytest.approx(y, abs=1e-6) if isinstance(x, float) else y), (name, c, a, b)
 
 
 def test_panel_windows_need_no_shuffle(spark):

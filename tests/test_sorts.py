@@ -21,11 +21,10 @@ def market():
     return rows, scores
 
 
-@pytest.mark.parametrize("limit", [None, 0])
 @pytest.mark.parametrize("exchange", [None, "N"])
-def test_deciles_match_numpy(make, market, exchange, limit):
+def test_deciles_match_numpy(make, market, exchange):
     rows, scores = market
-    sort = S.quantile_sort(cands(make, rows), make(scores, "model string, mi int, id long, score double"), 5, exchange_breakpoints=exchange, window_limit=limit)
+    sort = S.quantile_sort(cands(make, rows), make(scores, "model string, mi int, id long, score double"), 5, exchange_breakpoints=exchange)
     got = {(r.mi, r.portfolio): r.ret for r in S.portfolio_returns(sort).drop("date").collect()}
     sc = {(m, i): s for _, m, i, s in scores}
     for m in (100, 101):
