@@ -14,8 +14,7 @@ one pivot; sets are compared with the pivots of their blocks only, and a set tha
 pivot takes over its component, so it needs no comparison with other members. Of the pivots that bucket counts
 allow, a set is compared with the likeliest. Members of
 one component are never compared, so a group of near copies costs a comparison per copy and
-round instead of one per pair. Rounds go on while they link many sets and many pairs of different
-components remain; then all remaining pairs of different components in a block are compared.
+round instead of one per pair. Rounds go on while they link many sets; then all remaining pairs of different components in a block are compared.
 Every pair that could link is thus compared or already connected: no link is lost.
 
 Comparisons are exact: both texts meet in one row and their shingle sets are intersected.
@@ -34,6 +33,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +48,10 @@ FILTER_BITS = 1 << 25
 BITMAP_BITS = 32_768
 #: Counts of a set's shingles by bucket bound what two sets can share.
 BUCKETS = 32
+#: Sets per block in which pairs are compared.
+BLOCK_SETS = 48
 MAX_ROUNDS = 24
-#: Rounds of pivots go on while more pairs than this per index entry are open.
-OPEN_PAIRS = 8
-#: and only while a round links at least one set in this many.
+#: Rounds of pivots go on while one links at least one set in this many.
 WORTHWHILE = 50
 
 
@@ -126,17 +126,17 @@ def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for t in sets:
             np.add.at(total, t & (SKETCH - 1), 1)
         yield pa.RecordBatch.from_arrays([
-            b.column("doc_id"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
+            b.column("doc_id"), b.column("h"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
             pa.array([len(t) for t in sets], pa.int64()),
-            pa.array([x.astype(np.int32) for x in buckets], pa.list_(pa.int32())), pa.array(np.zeros(len(sets), np.int32)),
-        ], names=["doc_id", "sid", "m", "buckets", "kind"])
+            pa.array([np.minimum(x, 32_767).astype(np.int16) for x in buckets], pa.list_(pa.int16())), pa.array(np.zeros(len(sets), np.int32)),
+        ], names=["doc_id", "h", "sid", "m", "buckets", "kind"])
     cells = np.nonzero(total)[0]
     for at in range(0, len(cells), 65_536):
         part = cells[at : at + 65_536]
         yield pa.RecordBatch.from_arrays([
-            pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(total[part]), pa.nulls(len(part), pa.list_(pa.int32())),
-            pa.array(np.ones(len(part), np.int32)),
-        ], names=["doc_id", "sid", "m", "buckets", "kind"])
+            pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(total[part]),
+            pa.nulls(len(part), pa.list_(pa.int16())), pa.array(np.ones(len(part), np.int32)),
+        ], names=["doc_id", "h", "sid", "m", "buckets", "kind"])
 
 
 def frequency_levels(cells: DataFrame) -> np.ndarray:
@@ -205,29 +205,43 @@ def may_link(pairs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of sets that link. ``sizes`` names a document of each set."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sizes.select("sid", "rep"), "sid")
-    needed = written(needed, "join-needed")
-    texts = keep_listed(docs, "doc_id", needed, "rep")
-    texts = texts.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id").select("sid", "text")
-    left = pairs.select("a", "b").join(texts.withColumnsRenamed({"sid": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"sid": "b", "text": "text_b"}), "b")
-    words = both.select("a", "b", word_hashes("text_a").alias("words_a"), word_hashes("text_b").alias("words_b"))
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for a, b, x, y in zip(
-                batch.column("a").to_pylist(), batch.column("b").to_pylist(),
-                shingle_sets(batch.column("words_a"), rule.n), shingle_sets(batch.column("words_b"), rule.n),
-            ):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                # Rows that share a doc_id may bring another text; the set must be the one that was indexed.
-                if rule.den * shared >= rule.num * (len(x) + len(y) - shared) and set_id(x) == a and set_id(y) == b:
-                    hit.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hit], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return words.mapInArrow(links, "a long, b long").distinct()
+    """The pairs (a, b) of sets that link. ``sizes`` names a document of each set.
+
+    Pairs are grouped by clusters (sets connected by pairs), and a cluster is cut into blocks of
+    about ``BLOCK_SETS`` sets. One unit of work holds the texts of two blocks and the pairs between
+    them, so a text moves once per block it is compared with, not once per pair, and no unit grows
+    with its cluster.
+    """
+    clusters = components(pairs, None)
+    counts = clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("n"))
+    blocks = salted_left_join(clusters, counts, "comp", F.col("sid"))
+    blocks = written(blocks.select("sid", "comp", F.pmod(F.xxhash64("sid"), F.col("n")).alias("block")), "join-blocks")
+    of = lambda side: blocks.select(F.col("sid").alias(side), "comp", F.col("block").alias(f"block_{side}"))
+    placed = pairs.select("a", "b").join(of("a"), "a").join(of("b").drop("comp"), "b")
+    unit = F.concat_ws(":", "comp", F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
+    placed = written(placed.select(unit.alias("unit"), "a", "b"), "join-units")
+    needed = placed.select("unit", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = written(needed.join(sizes.select("sid", "rep", "h"), "sid"), "join-needed")
+    texts = keep_listed(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", needed, "rep")
+    texts = texts.select("rep", F.xxhash64(whole_text()).alias("h"), whole_text().cast("binary").alias("text"))
+    # Rows that share a doc_id may bring another text; the hash picks the one that was indexed.
+    texts = needed.join(texts.dropDuplicates(["rep", "h"]), ["rep", "h"]).select("unit", "sid", "text")
+
+    def links(unit_pairs: pd.DataFrame, unit_texts: pd.DataFrame) -> pd.DataFrame:
+        words = [t.lower().split() for t in unit_texts["text"]]
+        ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+        # Hashes of one process suffice here, since both sets of a pair are in this unit.
+        flat = np.fromiter((hash(w) for t in words for w in t), np.int64, ends[-1])
+        sets = dict(zip(unit_texts["sid"], shingle_sets(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), rule.n)))
+        hit = []
+        for a, b in zip(unit_pairs["a"], unit_pairs["b"]):
+            x, y = sets[a], sets[b]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if rule.den * shared >= rule.num * (len(x) + len(y) - shared):
+                hit.append((a, b))
+        return pd.DataFrame(hit, columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("unit").cogroup(texts.groupBy("unit")).applyInPandas(links, "a long, b long")
 
 
 def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -254,8 +268,8 @@ def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, m) of every row, and (sid, comp) of every set that links with another set."""
-    first = docs.select("doc_id", word_hashes().alias("words")).mapInArrow(
-        partial(sketch_rows, rule), "doc_id long, sid long, m long, buckets array<int>, kind int"
+    first = docs.select("doc_id", F.xxhash64(whole_text()).alias("h"), word_hashes().alias("words")).mapInArrow(
+        partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<smallint>, kind int"
     )
     first = written(first, "join-keys")
     keys = first.where("kind = 0").select("doc_id", "sid", "m")
@@ -266,19 +280,15 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     shared = written(shared, "join-shared")
     index = keep_listed(entries, "token", shared, "token").join(shared, "token", "left_semi").distinct()
     index = written(index.withColumn("c", rule.size_class(F.col("m"))), "join-index")
-    size = index.count()
     sizes = first.where("kind = 0 and sid is not null and doc_id is not null").join(index.select("sid").distinct(), "sid", "left_semi")
-    sizes = written(sizes.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("m").alias("m"), F.min("buckets").alias("buckets")), "join-sizes")
+    sizes = written(sizes.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("d"), F.min("m").alias("m"), F.min("buckets").alias("buckets")).select("sid", "d.doc_id", "d.h", "m", "buckets").withColumnRenamed("doc_id", "rep"), "join-sizes")
     named_sets = sizes.count()
     labels, tested, last = None, None, False
     for k in range(MAX_ROUNDS + 1):
         now = index.withColumn("comp", F.col("sid")) if labels is None else (
             index.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         )
-        blocks = now.groupBy("token", "c", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        open_pairs = blocks.groupBy("token", "c").agg(((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
-        left = open_pairs.agg(F.sum("p")).head()[0] or 0.0
-        last = last or left <= OPEN_PAIRS * size or k == MAX_ROUNDS
+        last = last or k == MAX_ROUNDS
         pairs = _all_pairs(now, rule) if last else _pivot_pairs(now, rule, k)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -309,19 +319,18 @@ def _ordered(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _pivot_pairs(now: DataFrame, rule: Rule, k: int) -> DataFrame:
-    """Each set with the pivots of its own block and of the next smaller sizes."""
+    """Each set with the pivots of its own block and of the neighbouring sizes."""
     pick = F.min(F.struct(F.xxhash64("sid", F.lit(k)), "sid", "m", "pos", "comp"))
     pivots = now.groupBy("token", "c").agg(pick.alias("q")).select(
-        "token", "c", *[F.col(f"q.{x}").alias(f"{x}_q") for x in ("sid", "m", "pos", "comp")]
+        "token", F.col("c").alias("c_q"), *[F.col(f"q.{x}").alias(f"{x}_q") for x in ("sid", "m", "pos", "comp")]
     )
-    return _ordered(now.withColumn("c", F.explode(F.array(F.col("c"), F.col("c") - 1))).join(pivots, ["token", "c"]), rule)
+    return _ordered(now.join(pivots, "token").where("abs(c - c_q) <= 1"), rule)
 
 
 def _all_pairs(now: DataFrame, rule: Rule) -> DataFrame:
     """All pairs of different components in blocks of sizes that can link."""
-    other = now.select("token", "c", *[F.col(x).alias(f"{x}_q") for x in ("sid", "m", "pos", "comp")])
-    near = now.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-    return _ordered(near.join(other, ["token", "c"]).where("sid < sid_q"), rule)
+    other = now.select("token", *[F.col(x).alias(f"{x}_q") for x in ("c", "sid", "m", "pos", "comp")])
+    return _ordered(now.join(other, "token").where("abs(c - c_q) <= 1 and sid < sid_q"), rule)
 
 
 def classes(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
