@@ -276,9 +276,14 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     levels = frequency_levels(first.where("kind = 1").select(F.col("doc_id").cast("int").alias("cell"), F.col("m").alias("n")))
     named = docs.where("doc_id is not null")
     entries = written(index_entries(named, rule, levels), "join-entries")
-    shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
+    # A token that two sets share lies in a cell with two entries. Counting small cells first keeps most
+    # entries, whose tokens stand alone, out of the exact grouping.
+    cell = F.pmod("token", F.lit(1 << 31)).cast("int")
+    cells = entries.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    likely = keep_listed(entries.withColumn("cell", cell), "cell", written(cells, "join-cells"), "cell").drop("cell")
+    shared = likely.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
     shared = written(shared, "join-shared")
-    index = keep_listed(entries, "token", shared, "token").join(shared, "token", "left_semi").distinct()
+    index = keep_listed(likely, "token", shared, "token").join(shared, "token", "left_semi").distinct()
     index = written(index.withColumn("c", rule.size_class(F.col("m"))), "join-index")
     sizes = first.where("kind = 0 and sid is not null and doc_id is not null").join(index.select("sid").distinct(), "sid", "left_semi")
     sizes = written(sizes.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("d"), F.min("m").alias("m"), F.min("buckets").alias("buckets")).select("sid", "d.doc_id", "d.h", "m", "buckets").withColumnRenamed("doc_id", "rep"), "join-sizes")

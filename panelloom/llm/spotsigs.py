@@ -19,6 +19,8 @@ columns are ignored. Everything runs in Spark's own functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ CHAIN = 2
 HEAD_WORDS = 24
 FAR_FROM_ANCHOR = 6
 EDIT_SHARE = 4
+#: Pairs that set lengths alone keep under this likeness are 0 and not compared.
+PRUNE_BELOW = 0.05
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -73,13 +77,8 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def length_partition(size: Column, floor: float) -> Column:
     """Sets whose partitions differ by more than one cannot be ``floor`` alike."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-_log(floor))).cast("int")
-
-
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
+    width = -math.log(floor) * 1.0001  # a little wider than the ratio, for rounding
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(width)).cast("int")
 
 
 def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
@@ -119,7 +118,7 @@ def predecessors(docs: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(ends), "range").select("key", "h", F.coalesce("prev", "before").alias("prev"))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", floor: float = PRUNE_BELOW) -> DataFrame:
     """Per document: fingerprint, that of its edited text, and likeness to it and to the next document.
 
     The edited text has the last floor(n / 4) code points replaced by the first as many of the
@@ -144,6 +143,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return signed.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("spots")).alias("fingerprint"), as_text(F.col("edited_spots")).alias("edited_fingerprint"),
-        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
-        likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+        likeness(F.col("spots"), F.col("edited_spots"), floor).alias("near_edited"),
+        likeness(F.col("spots"), F.col("next_spots"), floor).alias("near_next"),
     )

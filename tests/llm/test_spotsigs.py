@@ -20,6 +20,8 @@ def spots(text):
 
 
 def jaccard(a, b):
+    if min(len(a), len(b)) < S.PRUNE_BELOW * max(len(a), len(b)):
+        return 0.0  # pruned by the lengths
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
