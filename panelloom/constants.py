@@ -7,7 +7,6 @@ TOP_K = (5, 10, 20, 50, 100, 500)
 NEWEY_WEST_LAGS = 12
 MONTHS_PER_YEAR = 12
 ROLLING_MONTHS = 36
-ROLLING_MONTHS_SHORT = 12
 CONFIDENCE = 0.95
 MIN_NAMES = 10
 VALIDATION_SHARE = 0.30

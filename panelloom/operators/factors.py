@@ -15,11 +15,6 @@ from .performance import SERIES
 from .store import written
 
 
-def factor_models_table(df: DataFrame, models: Mapping[str, Sequence[str]] = K.FACTOR_MODELS) -> DataFrame:
-    rows = [(m, i, f) for m, fs in models.items() for i, f in enumerate(fs)]
-    return df.sparkSession.createDataFrame(rows, "factor_model string, position int, factor string")
-
-
 def characteristic_spreads(pool: DataFrame, characteristics: Mapping[str, tuple[str, int]]) -> DataFrame:
     """Factor returns: value-weighted difference of the two halves of each characteristic, per month.
 

@@ -220,12 +220,13 @@ def with_split(
 ) -> DataFrame:
     """``is_validation`` per row.
 
-    Random: a hash of the row key and the member's seed, the same on every retry and under any
-    partitioning. Ordered: the newest months that make up the share.
+    Random: the MD5 of the row key and the member's seed, the same on every retry, under any
+    partitioning and in any engine. Ordered: the newest months that make up the share.
     """
     if not ordered:
-        # 31 bits of the hash give a uniform number in [0, 1)
-        u = F.pmod(F.xxhash64(*keys, F.lit(seed + member)), F.lit(2**31)) / float(2**31)
+        # 32 bits of the digest give a uniform number in [0, 1)
+        name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed + member)))
+        u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
         return samples.withColumn("is_validation", u < share)
     months = samples.groupBy("mi").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(F.lit(0)).orderBy("mi")
@@ -253,10 +254,6 @@ def expanding_windows(samples: DataFrame, lookback: int = K.LOOKBACK_MONTHS) ->
     )
 
 
-def window_samples(samples: DataFrame, window_end: int) -> DataFrame:
-    return samples.filter(F.col("mi") <= window_end)
-
-
 def fitting_flags(samples: DataFrame, start: str, end: str, fitting_months_only: bool = True) -> DataFrame:
     """``in_pool`` (used to fit) and ``in_evaluation`` (held-out months of the same period)."""
     inside = C.in_period("mi", start, end)

@@ -24,6 +24,9 @@ from .evaluate import pooled_evaluation, rank_correlation
 from .features import feature_names, fitting_flags, rescaled_weights, sample_weights, with_split
 from .store import written
 
+#: Jobs of independent fits that run side by side.
+PARALLEL_FITS = 4
+
 LEARNERS = ("linear", "gbt")
 LOSSES = ("mse", "mae")
 SCALINGS = ("standard", "minmax", "none")
@@ -140,14 +143,18 @@ def fit_ensemble(
         raise ValueError(f"no training rows in {period}")
     scaler = fit_scaler(pool, scaling, cols)
     base = VectorAssembler(inputCols=cols, outputCol="_x").transform(scaler.transform(pool))
-    members = []
-    for i in range(n_members):
+
+    def member(i: int):
         rows = with_split(base, i, validation, seed, ordered_split).withColumn("is_train", ~F.col("is_validation"))
         rows = rescaled_weights(rows).withColumn("fit_weight", F.coalesce("fit_weight", F.lit(1.0)))
         rows = rows.select("_x", "target", "fit_weight", "is_validation")
         if learner == "linear":
             rows = rows.filter(~F.col("is_validation"))
-        members.append(make_learner(learner, loss, seed + i, **params).fit(rows))
+        return make_learner(learner, loss, seed + i, **params).fit(rows)
+
+    # Members are independent fits on the same written pool, so several jobs run side by side.
+    with ThreadPoolExecutor(min(n_members, PARALLEL_FITS)) as fits:
+        members = list(fits.map(member, range(n_members)))
     config = dict(
         learner=learner, loss=loss, weighting=weighting, period=list(period), scaling=scaling, seed=seed,
         fitting_months_only=fitting_months_only, validation=validation, n_members=n_members,

@@ -241,7 +241,7 @@ def _(t: Tables):
 
 @query(
     "text_to_parquet", "S2",
-    "SELECT * EXCLUDE (mi) FROM rawdup", "rawdup", "MthPrc MthRet MthCap", 4,
+    "SELECT * EXCLUDE (mi) FROM rawdup", "rawdup", "MthPrc MthRet MthCap", 8,
 )
 def _(t: Tables):
     return SE.convert(t.spark, t.raw_csv, new_path(t.spark, "converted"))
@@ -642,7 +642,14 @@ def _(t: Tables):
     return FT.fold_sizes(t.samples, 5).select(F.col("fold").cast("long").alias("fold"), "train_size", "val_size")
 
 
-@query("member_split", "W14 W15")
+@query(
+    "member_split", "W14 W15",
+    """SELECT id, mi, is_validation, weight, CASE WHEN NOT is_validation THEN weight / (sum(weight) FILTER (NOT is_validation) OVER ()
+              / count(*) FILTER (NOT is_validation) OVER ()) END AS fit_weight
+       FROM (SELECT id, mi, 1.0::DOUBLE / ((SELECT count(DISTINCT mi) FROM samples) * count(*) OVER (PARTITION BY mi)) AS weight,
+                    ('0x' || substr(md5(id || ':' || mi || ':45'), 1, 8))::BIGINT / 4294967296.0 < 0.3 AS is_validation FROM samples)""",
+    "samples", "weight fit_weight", 8,
+)
 def _(t: Tables):
     s = FT.with_split(FT.sample_weights(t.samples, "ewpm"), 3).withColumn("is_train", ~F.col("is_validation"))
     return FT.rescaled_weights(s).select("id", "mi", "is_validation", "weight", "fit_weight")
@@ -650,9 +657,7 @@ def _(t: Tables):
 
 @query(
     "ordered_split", "W14",
-    """SELECT id, mi, sum(n) OVER (ORDER BY mi) > 0.7 * (SELECT count(*) FROM samples) AS is_validation FROM (
-         SELECT mi, count(*) AS n FROM samples GROUP BY 1) JOIN (SELECT id, mi FROM samples) USING (mi) WHERE FALSE
-       UNION ALL SELECT s.id, s.mi, c.upto > 0.7 * (SELECT count(*) FROM samples) FROM samples s JOIN (
+    """SELECT s.id, s.mi, c.upto > 0.7 * (SELECT count(*) FROM samples) AS is_validation FROM samples s JOIN (
          SELECT mi, sum(count(*)) OVER (ORDER BY mi) AS upto FROM samples GROUP BY mi) c USING (mi)""",
     "samples",
 )
