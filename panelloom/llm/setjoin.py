@@ -49,7 +49,7 @@ BITMAP_BITS = 32_768
 #: Counts of a set's shingles by bucket bound what two sets can share.
 BUCKETS = 32
 #: Sets per block in which pairs are compared.
-BLOCK_SETS = 48
+BLOCK_SETS = 256
 MAX_ROUNDS = 24
 #: Rounds of pivots go on while one links at least one set in this many.
 WORTHWHILE = 50
