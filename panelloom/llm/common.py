@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.store import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,6 +47,24 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
+def with_stored_position(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with each row's number (from 0, gapless) in the order in which it was written.
+
+    Readers deal files out by size, so a task's rows do not show that order. It is the order of
+    the part numbers in the file names, then of the rows in a file. A frame that is not a plain
+    file scan is written first. The only broadcast has one row per file.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = written(df, "stored-order")
+    file, row, first = fresh(df, "file", "row", "first")
+    meta = df.metadataColumn("_metadata")
+    located = df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(row))
+    part = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.partitionBy(F.lit(0)).orderBy(part, file).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = located.groupBy(file).agg(F.count(F.lit(1)).alias(first)).select(file, F.coalesce(F.sum(first).over(before), F.lit(0)).alias(first))
+    return located.join(F.broadcast(files), file).select(*[F.col(f"`{c}`") for c in df.columns], (F.col(first) + F.col(row)).alias(name))
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
     """``left`` left join ``right`` on ``key``, where one key may hold much of ``left``.
 

@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 END_ID = 1
 MAX_LENGTH = 2048
 CACHED_WORDS = 400_000
+#: Lower bits of a sequence id where positions are given: the piece in its document, above it the position.
+PIECE_BITS, POSITION_BITS = 20, 37
 
 # The pre-token rule of the byte-level vocabulary, for the characters of PLAIN,
 # in which every letter lies in LETTER, every number in NUMBER and every blank in BLANK.
@@ -102,10 +105,11 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text",
-           max_length: int = MAX_LENGTH, end_id: int = END_ID, digest: bool = False) -> DataFrame:
+           max_length: int = MAX_LENGTH, end_id: int = END_ID, digest: bool = False, position: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens.
 
     With ``digest`` the ids are replaced by ``ids_crc32``, so that they never leave the task.
+    The column ``position``, if named, is carried along.
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
@@ -114,8 +118,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            rows = []
-            for d, t in zip(batch["doc_id"], batch["text"]):
+            rows, at_position = [], []
+            for k, (d, t) in enumerate(zip(batch["doc_id"], batch["text"])):
                 ids = (encode(t) if isinstance(t, str) else b"") + end
                 n, at = len(ids) // 4, 0
                 d = None if pd.isna(d) else int(d)
@@ -123,23 +127,35 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
                     part = ids[4 * at : 4 * (at + length)]
                     rows.append((d, at, length, zlib.crc32(part) if digest else part, n))
                     at += length
+                    at_position.append(k)
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens"])
             out["doc_id"] = out["doc_id"].astype("Int64")
+            if position:
+                out["position"] = batch["position"].to_numpy()[np.array(at_position, int)]
             yield out
 
     schema = PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, schema)
+    carried = [F.col(position).cast("long").alias("position")] if position else []
+    schema += ", position long" if position else ""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carried).mapInPandas(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, position: str | None = None, **options) -> DataFrame:
     """``pieces`` as sequences: bucket (log2 of the length), sequence_id, offset.
 
     The upper bits of a sequence id are its bucket, the lower ones count pieces by partition, so
-    ids sort by bucket and no counting pass is needed.
+    ids sort by bucket and no counting pass is needed. Where the column ``position`` is named, the
+    lower bits are the document's position and the piece's number, so that ids follow the positions
+    inside each bucket.
     """
     bucket = F.length(F.bin("length")).cast("long") - 1
-    return pieces(docs, tokenizer_path, **options).withColumns({
+    number = F.monotonically_increasing_id()
+    if position:
+        piece = F.floor(F.col("start") / options.get("max_length", MAX_LENGTH))
+        fits = (F.col("position") < 1 << POSITION_BITS) & (piece < 1 << PIECE_BITS)
+        number = F.when(fits, F.shiftleft("position", PIECE_BITS) + piece).otherwise(F.raise_error(F.lit("position or piece number too large for a sequence id")))
+    return pieces(docs, tokenizer_path, position=position, **options).withColumns({
         "bucket": bucket,
-        "sequence_id": F.shiftleft(bucket, 57) + F.monotonically_increasing_id(),
+        "sequence_id": F.shiftleft(bucket, 57) + number,
         "offset": F.lit(0).cast("long"),
-    })
+    }).drop(*["position"] if position else [])

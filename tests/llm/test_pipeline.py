@@ -7,6 +7,8 @@ from collections import Counter
 import __spark_entry__ as entry
 
 import corpus_pipeline as pipeline
+from panelloom.llm import mixing
+from panelloom.llm.common import with_stored_position
 
 SF = "/root/testdata/sf0.001"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,6 +69,29 @@ def test_run_gives_the_last_stage_of_what_all_stages_keep(spark):
     assert sorted((r.doc_id, r.start, bytes(r.ids)) for r in pipeline.run(spark, SF).collect()) == want
 
 
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    """Ids of each bucket against the positions of mix(), for run() and for stages that are not stored between."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    place = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(pipeline, "STAGES", pipeline.STAGES[3:])
+    for out in (pipeline.run(spark, SF), pipeline.pack_sequences(spark, pipeline.mix_sources(spark, docs, SF), SF)):
+        rows = sorted(out.collect(), key=lambda r: r.sequence_id)
+        order = [(r.bucket, place[r.doc_id], r.start) for r in rows]
+        assert order == sorted(order) and len({r.sequence_id for r in rows}) == len(rows)
+        assert {r.doc_id for r in rows} == set(place) and all(r.sequence_id >> 57 == r.bucket for r in rows)
+
+
+def test_stored_position_is_the_order_of_the_files(spark, tmp_path):
+    """Files grow, and readers take the largest first."""
+    df = spark.range(10_000).selectExpr("id", "repeat(cast(id as string), cast(id div 1000 as int)) AS t", "id AS _file")
+    df.repartitionByRange(12, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "x"))
+    stored = spark.read.parquet(str(tmp_path / "x"))
+    assert len(stored.inputFiles()) == 12
+    got = with_stored_position(stored, "p")
+    assert got.columns == ["id", "t", "_file", "p"] and got.where("p <> id").count() == 0 and got.count() == 10_000
+    assert with_stored_position(spark.range(0), "p").collect() == []
+
+
 def test_registered_queries_have_their_operators():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
