@@ -128,14 +128,14 @@ def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([
             b.column("doc_id"), b.column("h"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
             pa.array([len(t) for t in sets], pa.int64()),
-            pa.array([np.minimum(x, 32_767).astype(np.int16) for x in buckets], pa.list_(pa.int16())), pa.array(np.zeros(len(sets), np.int32)),
+            pa.array([x.astype(np.int32) for x in buckets], pa.list_(pa.int32())), pa.array(np.zeros(len(sets), np.int32)),
         ], names=["doc_id", "h", "sid", "m", "buckets", "kind"])
     cells = np.nonzero(total)[0]
     for at in range(0, len(cells), 65_536):
         part = cells[at : at + 65_536]
         yield pa.RecordBatch.from_arrays([
             pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(total[part]),
-            pa.nulls(len(part), pa.list_(pa.int16())), pa.array(np.ones(len(part), np.int32)),
+            pa.nulls(len(part), pa.list_(pa.int32())), pa.array(np.ones(len(part), np.int32)),
         ], names=["doc_id", "h", "sid", "m", "buckets", "kind"])
 
 
@@ -195,11 +195,11 @@ def keep_listed(df: DataFrame, column: str, listed: DataFrame, key: str) -> Data
 def may_link(pairs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose bucket counts allow a link, with the bound on what they share.
 
-    Two sets share at most the sum over buckets of the smaller count.
+    Two sets share at most the sum over buckets of the smaller count; counts are whole, whatever the size of a set.
     """
     left = pairs.join(sizes.select(F.col("sid").alias("a"), F.col("m").alias("m_a"), F.col("buckets").alias("n_a")), "a")
     both = left.join(sizes.select(F.col("sid").alias("b"), F.col("m").alias("m_b"), F.col("buckets").alias("n_b")), "b")
-    bound = F.aggregate(F.zip_with("n_a", "n_b", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    bound = F.aggregate(F.zip_with("n_a", "n_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, x: a + x)
     rows = both.select("a", "b", bound.alias("bound"), (F.col("m_a") + F.col("m_b")).alias("sum"))
     return rows.where(F.col("bound") * (rule.num + rule.den) >= F.col("sum") * rule.num).withColumn("bound", F.col("bound") / F.col("sum")).drop("sum")
 
@@ -269,7 +269,7 @@ def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
 def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, m) of every row, and (sid, comp) of every set that links with another set."""
     first = docs.select("doc_id", F.xxhash64(whole_text()).alias("h"), word_hashes().alias("words")).mapInArrow(
-        partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<smallint>, kind int"
+        partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<int>, kind int"
     )
     first = written(first, "join-keys")
     keys = first.where("kind = 0").select("doc_id", "sid", "m")

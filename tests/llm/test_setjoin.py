@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelloom.llm import setjoin as J
@@ -88,6 +90,20 @@ def test_odd_rows(docs):
     assert got[9] == got[10] == {(2, 9)}
 
 
+def test_bucket_counts_bound_large_sets(spark, monkeypatch):
+    """Two sets of 40,000 shingles in one bucket, all but a few shared, still pass the bound; unlike sizes do not."""
+    monkeypatch.setattr(J, "BUCKETS", 1)
+    n, rule = 40_000, J.Rule(3, 9, 10)
+    words = np.arange(n) * 7919
+    rows = [words, np.append(words[:-1], 5), words[: n // 2]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array([w.tolist() for w in rows], pa.list_(pa.int64()))], names=["doc_id", "h", "words"])
+    first = next(J.sketch_rows(rule, iter([batch]))).to_pylist()
+    assert [r["buckets"] for r in first] == [[n - 2], [n - 2], [n // 2 - 2]]
+    sizes = spark.createDataFrame([(r["doc_id"], r["m"], r["buckets"]) for r in first], "sid long, m long, buckets array<int>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [(r.a, r.b, r.bound) for r in J.may_link(pairs, sizes, rule).collect()] == [(1, 2, 0.5)]
+
+
 def test_keep_one_and_empty(docs):
     rows = near_copies(3, groups=3, copies=5) + [(None, "null id stays"), (None, "null id stays"), (999, None)]
     df = docs(rows, "_gone gone rep")
