@@ -84,6 +84,19 @@ VENDOR_DATE_COLUMNS = (
     "MthCalDt", "MthPrcDt", "MthPrevDt", "ShrStartDt", "ShrEndDt",
     "DisExDt", "DisDeclareDt", "DisRecordDt", "DisPayDt",
 )
+# Codes, flags and names that stay text, so that leading zeros are kept
+VENDOR_TEXT_COLUMNS = (
+    "HdrCUSIP", "HdrCUSIP9", "CUSIP", "CUSIP9",
+    "PrimaryExch", "ConditionalType", "ExchangeTier", "TradingStatusFlg",
+    "SecurityNm", "ShareClass", "USIncFlg", "IssuerType", "SecurityType",
+    "SecuritySubType", "ShareType", "SecurityActiveFlg",
+    "DelActionType", "DelStatusType", "DelReasonType", "DelPaymentType",
+    "Ticker", "TradingSymbol", "IssuerNm",
+    "MthCompFlg", "MthCompSubFlg", "MthPrcFlg", "MthDtFlg", "MthDelFlg",
+    "MthVolFlg", "MthFacShrFlg", "ShrSource", "ShrFacType", "ShrAdrFlg",
+    "DisOrdinaryFlg", "DisType", "DisFreqType", "DisPaymentType",
+    "DisDetailType", "DisTaxType", "DisOrigCurType",
+)
 VENDOR_KEY_COLUMNS = (
     "PERMNO", "YYYYMM", "MthCalDt", "MthPrc", "MthRet", "MthCap", "ShrOut",
     "PrimaryExch", "USIncFlg", "SecurityType", "MthDelFlg", "DelReasonType", "vwretd",

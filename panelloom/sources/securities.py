@@ -63,15 +63,18 @@ def scan(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> D
     return spark.read.schema(schema).parquet(path)
 
 
-def file_schema(spark: SparkSession, path: str, lines: int = 100_000) -> T.StructType:
-    """Types of all columns of a text file; unknown columns are judged by the first ``lines``."""
+def file_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Types of all columns of a text file; unknown columns are judged by all their values."""
     raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
-    known = {f.name: f.dataType for f in RAW_SCHEMA.fields} | {c: T.DateType() for c in K.VENDOR_DATE_COLUMNS}
+    known = {c: T.StringType() for c in K.VENDOR_TEXT_COLUMNS} | {c: T.DateType() for c in K.VENDOR_DATE_COLUMNS}
+    known |= {f.name: f.dataType for f in RAW_SCHEMA.fields}
     unknown = [c for c in raw.columns if c not in known]
     if unknown:
         value = lambda c: tokens_to_null(F.col(f"`{c}`"), K.NULL_TOKENS)
-        numeric = lambda c: F.coalesce(F.bool_and(value(c).try_cast("double").isNotNull() | value(c).isNull()) & (F.count(value(c)) > 0), F.lit(False))
-        found = raw.limit(lines).agg(*[numeric(c).alias(str(k)) for k, c in enumerate(unknown)]).head()
+        # The cast also reads codes such as 1D and 2F as numbers; they are text.
+        number = lambda c: value(c).try_cast("double").isNotNull() & ~value(c).rlike("[dDfF]$")
+        numeric = lambda c: F.coalesce(F.bool_and(number(c) | value(c).isNull()) & (F.count(value(c)) > 0), F.lit(False))
+        found = raw.agg(*[numeric(c).alias(str(k)) for k, c in enumerate(unknown)]).head()
         known |= {c: T.DoubleType() if found[k] else T.StringType() for k, c in enumerate(unknown)}
     return T.StructType([T.StructField(c, known[c]) for c in raw.columns])
 
@@ -86,8 +89,9 @@ def convert(
 ) -> DataFrame:
     """Text file to typed Parquet with every column of the file.
 
-    Known columns have their type, the vendor's date columns parse leniently, and other columns
-    become numbers where all values of the first lines are numbers, else they stay text.
+    Known columns have their type, the vendor's codes and names stay text, its date columns parse
+    leniently, and other columns become numbers where all their values are numbers, else they stay
+    text. Judging them takes a pass of its own over the file.
     """
     schema = schema or file_schema(spark, csv_path)
     (

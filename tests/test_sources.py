@@ -47,6 +47,26 @@ def test_conversion(spark, vendor_csv, tmp_path):
     assert {r.column: r.type for r in SE.schema_table(out).collect()}["MthCalDt"] == "date"
 
 
+def test_conversion_keeps_codes_and_late_text(spark, tmp_path):
+    """Codes keep their zeros; a column that turns to text after 100,000 lines is text; dates and numbers have their type."""
+    n = 100_500
+    line = lambda k, cusip, mark, odd: f"{k},200001,2000-01-31,5,0.1,7,N,Y,EQTY,NS,COM,N,,{cusip},000{k % 7},{mark},2000-02-{k % 28 + 1:02d},{k}.5,{odd}"
+    rows = [line(k, "00036110", k, "1") for k in range(n)] + [line(n, "0003611A", "late", "2D"), line(n + 1, ".", "NA", "3")]
+    path = tmp_path / "long.csv"
+    path.write_text("\n".join([HEADER + ",CUSIP,Ticker,Mark,DisExDt,Number,Odd", *rows]))
+    out = SE.convert(spark, str(path), str(tmp_path / "out"))
+    types = {f.name: f.dataType.simpleString() for f in out.schema}
+    assert {c: types[c] for c in ("CUSIP", "Ticker", "Mark", "DisExDt", "Number", "Odd")} == {
+        "CUSIP": "string", "Ticker": "string", "Mark": "string", "DisExDt": "date", "Number": "double", "Odd": "string"}
+    got = {r.PERMNO: (r.CUSIP, r.Ticker, r.Mark, r.DisExDt, r.Number, r.Odd) for r in out.where(f"PERMNO in (3, {n}, {n + 1})").collect()}
+    assert got == {
+        3: ("00036110", "0003", "3", dt.date(2000, 2, 4), 3.5, "1"),
+        n: ("0003611A", f"000{n % 7}", "late", dt.date(2000, 2, n % 28 + 1), n + 0.5, "2D"),
+        n + 1: (None, f"000{(n + 1) % 7}", None, dt.date(2000, 2, (n + 1) % 28 + 1), n + 1.5, "3"),
+    }
+    assert out.count() == n + 2
+
+
 @pytest.fixture
 def day_folder(tmp_path):
     root = tmp_path / "days"
