@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import new_path, written
 
-from . import chat, exact_dedup, fim, langid, licenses, mixing, packing, quality, setjoin, spotsigs, warc
+from . import chat, crosstok, exact_dedup, fim, langid, licenses, mixing, packing, quality, setjoin, spotsigs, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_fill_in_middle", fim.OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query("op13_cross_tokenizer")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.cross_align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
