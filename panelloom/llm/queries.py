@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import new_path, written
 
-from . import chat, crosstok, exact_dedup, fim, langid, licenses, mixing, packing, quality, setjoin, spotsigs, warc
+from . import chat, crosstok, exact_dedup, fim, langid, licenses, mixing, packing, pii, quality, setjoin, spotsigs, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.classes(table(spark, sf_dir, "documents"), setjoin.Rule(n=3, num=9, den=10))
 
 
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 @query("op12_fill_in_middle", fim.OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
