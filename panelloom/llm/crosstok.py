@@ -23,8 +23,10 @@ named columns are read. Memory per task: one Arrow batch of texts, and caches of
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -45,23 +47,26 @@ SPACE = "▁"  # the piece vocabulary writes a space like this
 
 
 class _Ids(dict):
-    """Ids of a word as little-endian unsigned 32-bit numbers; None where the tokens' bytes are not the word's."""
+    """Ids of a word as unsigned 32-bit numbers; empty where the tokens' bytes are not the word's. Forgets all when it is full."""
 
-    def __init__(self, encode: Callable[[str], list[int]], token_bytes: list[bytes]):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
         self._encode, self._bytes = encode, token_bytes
 
-    def checked(self, text: str) -> bytes | None:
-        ids = self._encode(text)
-        same = b"".join(map(self._bytes.__getitem__, ids)) == text.encode()
-        return np.array(ids, "<u4").tobytes() if same else None
-
-    def __missing__(self, word: str) -> bytes | None:
-        out = self.checked(word)
-        if len(word) <= LONGEST_CACHED:
+    def checked(self, texts: list[str]) -> list[bytes]:
+        known = self._bytes.__getitem__
+        return [array("I", ids).tobytes() if b"".join(map(known, ids)) == t.encode() else b"" for t, ids in zip(texts, self._encode(texts))]
+
+    def joined(self, words: list[str]) -> bytes | None:
+        """Ids of all words; None if one of them is not given back. Words not seen before are encoded in one call."""
+        found = list(map(self.get, words))
+        if None in found:
+            new = list({w for w, f in zip(words, found) if f is None})
+            fresh = dict(zip(new, self.checked(new)))
+            found = [fresh[w] if f is None else f for w, f in zip(words, found)]
             if len(self) >= CACHED_WORDS:
                 self.clear()
-            self[word] = out
-        return out
+            self.update({w: f for w, f in fresh.items() if len(w) <= LONGEST_CACHED})
+        return None if b"" in found else b"".join(found)
 
 
 class Side(NamedTuple):
@@ -70,14 +75,13 @@ class Side(NamedTuple):
     encode: Callable[[str], bytes | None]
     lengths: np.ndarray
     marked: np.ndarray
+    sizes: list[int]  # lengths, for loops
+    names: list[str]  # ids in decimal
 
 
 def _side(encode, token_bytes: list[bytes]) -> Side:
-    return Side(encode, np.array([len(b) for b in token_bytes], np.int64), np.array([b[:1] == b" " for b in token_bytes]))
-
-
-def _joined(parts: list[bytes | None]) -> bytes | None:
-    return None if None in parts else b"".join(parts)
+    sizes = [len(b) for b in token_bytes]
+    return Side(encode, np.array(sizes, np.int64), np.array([b[:1] == b" " for b in token_bytes]), sizes, [str(i) for i in range(len(sizes))])
 
 
 @functools.lru_cache(maxsize=2)
@@ -92,13 +96,13 @@ def byte_side(path: str) -> Side:
     # A special token cannot come out of a plain text; its own letters stand for it.
     token_bytes = [bytes(byte_of[c] for c in vocabulary[i]) if i in vocabulary else b"" for i in range(max(vocabulary) + 1)]
     merge = tokenizer.model.tokenize
-    words = _Ids(lambda w: [t.id for t in merge(w.encode().decode("latin-1").translate(BYTE_LETTER))], token_bytes)
-    whole = _Ids(lambda t: tokenizer.encode(t, add_special_tokens=False).ids, token_bytes)
+    words = _Ids(lambda ws: [[t.id for t in merge(w.encode().decode("latin-1").translate(BYTE_LETTER))] for w in ws], token_bytes)
+    whole = _Ids(lambda ts: [tokenizer.encode(t, add_special_tokens=False).ids for t in ts], token_bytes)
 
     def encode(text: str) -> bytes | None:
         if PLAIN.fullmatch(text):
-            return _joined(list(map(words.__getitem__, WORD.findall(text))))
-        return whole.checked(text)
+            return words.joined(WORD.findall(text))
+        return whole.checked([text])[0] or None
 
     return _side(encode, token_bytes)
 
@@ -111,15 +115,14 @@ def piece_side(path: str) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     token_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-    blank = [model.piece_to_id(SPACE)]
+    blank = [model.piece_to_id(SPACE)]  # a space alone is written by the model itself
     apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-    # The model writes the first space of a text by itself.
-    words = _Ids(lambda w: model.encode(w[1:]) if len(w) > 1 else blank, token_bytes)
+    words = _Ids(lambda ws: [ids if len(w) > 1 else blank for w, ids in zip(ws, model.encode([w[1:] for w in ws], num_threads=1))], token_bytes)
 
     def encode(text: str) -> bytes | None:
         if apart and SPACE not in text:
-            return _joined(list(map(words.__getitem__, SEGMENT.findall(text))))
-        return words.checked(text)
+            return words.joined(SEGMENT.findall(text))
+        return words.checked([text])[0] or None
 
     return _side(encode, token_bytes)
 
@@ -132,31 +135,42 @@ class Window(NamedTuple):
     pairs: bytes
 
 
-def align_window(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray) -> Window:
-    """Overlaps are the stretches between neighbouring ends of either side: each lies in one token of A and one of B."""
-    a_ends, b_ends = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
-    ends = np.union1d(a_ends, b_ends)
-    in_a, in_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-    pairs = a[in_a].astype(np.int64) << 32 | b[in_b]
-    shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_cut, b_cut = np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1
-    texts, i, j = [], 0, 0
-    a_list, b_list = a.tolist(), b.tolist()
-    for x, y in zip(a_cut.tolist(), b_cut.tolist()):
-        texts.append(f"{','.join(map(str, a_list[i:x]))}|{','.join(map(str, b_list[j:y]))}")
-        i, j = x, y
-    return Window(";".join(texts), len(texts), pairs.tobytes())
+def align_window(a: list[int], b: list[int], left: Side, right: Side) -> Window:
+    """Both sides are walked by their ends. Each stretch between neighbouring ends of either side lies in one token of A and one of B: a link."""
+    a_sizes, b_sizes, a_names, b_names = left.sizes, right.sizes, left.names, right.names
+    pairs, groups = [], []
+    i = j = 0
+    x, y, last = a[0], b[0], len(a) - 1
+    a_end, b_end, a_text, b_text = a_sizes[x], b_sizes[y], a_names[x], b_names[y]
+    while True:
+        pairs.append(x << 32 | y)
+        if a_end == b_end:
+            groups.append(f"{a_text}|{b_text}")
+            if i == last:
+                return Window(";".join(groups), len(groups), array("q", pairs).tobytes())
+            i, j = i + 1, j + 1
+            x, y = a[i], b[j]
+            a_end, b_end, a_text, b_text = a_end + a_sizes[x], b_end + b_sizes[y], a_names[x], b_names[y]
+        elif a_end < b_end:
+            i += 1
+            x = a[i]
+            a_end, a_text = a_end + a_sizes[x], f"{a_text},{a_names[x]}"
+        else:
+            j += 1
+            y = b[j]
+            b_end, b_text = b_end + b_sizes[y], f"{b_text},{b_names[y]}"
 
 
 class Windows(dict):
     """Alignments by the two id tuples (as bytes); forgets all when it is full."""
 
     def __init__(self, a: Side, b: Side):
-        self._a, self._b = a.lengths, b.lengths
+        self._a, self._b = a, b
 
     def __missing__(self, key: tuple[bytes, bytes]) -> Window:
-        out = align_window(np.frombuffer(key[0], "<u4"), np.frombuffer(key[1], "<u4"), self._a, self._b)
-        if len(key[0]) + len(key[1]) <= 4 * LONGEST_CACHED:
+        a, b = key
+        out = align_window(memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist(), self._a, self._b)
+        if len(a) + len(b) <= 4 * LONGEST_CACHED:  # four bytes an id
             if len(self) >= CACHED_WINDOWS:
                 self.clear()
             self[key] = out
@@ -229,8 +243,11 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_i
         left, right = byte_side(byte_path), piece_side(piece_path)
         cache = Windows(left, right)
         for batch in batches:
-            # Texts are decoded one at a time, so a batch is held once.
+            # Texts are decoded one at a time, so a batch is held once. Nothing made here refers to
+            # itself, and searching the many small cached objects for cycles takes a third of the time.
+            gc.disable()
             rows = [align_text(t.as_py(), left, right, cache) for t in batch.column(1)]
+            gc.enable()
             numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
             columns = [batch.column(0), *numbers, pa.array([r.groups_sha256 for r in rows], pa.string()), _lists([r.pairs for r in rows]), _lists([r.counts for r in rows])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "counts"])
