@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from . import crosssection as X
+from .moments import reduced
 from .performance import SERIES
 from .store import written
 
@@ -92,22 +91,51 @@ def capm(series: DataFrame, factors: DataFrame, market: str = "MKT-RF", keys: Se
     )
 
 
-def _ols_hac(y: np.ndarray, x: np.ndarray, lags: int):
-    """Coefficients, HAC t values and adjusted R2 of y on x (x includes the constant)."""
-    n, k = x.shape
-    inv = np.linalg.pinv(x.T @ x)
-    coef = inv @ x.T @ y
-    u = y - x @ coef
-    scores = x * u[:, None]
-    meat = scores.T @ scores
-    for l in range(1, min(lags, n - 1) + 1):
-        g = scores[l:].T @ scores[:-l]
-        meat += (1 - l / (lags + 1)) * (g + g.T)
-    se = np.sqrt(np.maximum(np.diag(inv @ meat @ inv), 0))
-    t = np.divide(coef, se, out=np.full(k, np.nan), where=se > 0)
-    total = ((y - y.mean()) ** 2).sum()
-    adj = 1 - (u @ u / (n - k)) / (total / (n - 1)) if n > k and total > 0 else np.nan
-    return coef, t, adj
+def _regression(rows: DataFrame, keys: Sequence[str], factors: Sequence[str], lags: int) -> DataFrame:
+    """Coefficients of one factor model with HAC t values, per series, in built-in aggregates.
+
+    The normal equations are sums per series, solved with the identity as further right sides, which
+    gives the inverse. A month's influence on a coefficient is its row of the inverse times the
+    month's factors and residual; the sandwich's diagonal needs only sums of products of lagged
+    influences. Series with fewer months than coefficients plus one are left out; a singular system
+    gives NULLs.
+    """
+    names = [f"_f{i}" for i in range(len(factors))]
+    k = len(factors) + 1
+    rows = rows.select(*keys, "mi", "ret", *[F.col(f"`{f}`").alias(n) for f, n in zip(factors, names)]).dropna()
+    z = [F.lit(1.0), *map(F.col, names)]
+    moment = lambda i, j: F.sum(z[i] * z[j])
+    system = [
+        F.array(*[moment(min(i, j), max(i, j)) for j in range(k)], F.sum(z[i] * F.col("ret")), *[F.lit(float(i == j)) for j in range(k)]) for i in range(k)
+    ]
+    n = F.count(F.lit(1))
+    sums = rows.groupBy(*keys).agg(F.array(*system).alias("_system"), (F.var_pop("ret") * n).alias("_total"), n.alias("n_months"))
+    sums = written(sums.filter(F.col("n_months") > k), "normal-equations")  # a row per series
+    solved = written(sums.withColumn("_solved", reduced(F.col("_system"), k)).drop("_system"), "solved")
+    at = lambda i, j: F.get(F.get("_solved", F.lit(i)), F.lit(j))
+    fitted = rows.join(solved, list(keys))
+    u = F.col("ret") - sum((at(i, 0) * z[i] for i in range(1, k)), at(0, 0))
+    fitted = fitted.withColumn("_u", u)
+    influence = [sum((at(i, j + 1) * z[j] for j in range(1, k)), at(i, 1)) * F.col("_u") for i in range(k)]
+    fitted = fitted.withColumns({f"_a{i}": a for i, a in enumerate(influence)})
+    by_month = Window.partitionBy(*keys).orderBy("mi")  # a row per month
+    lagged = [(F.col(f"_a{i}") * F.lag(f"_a{i}", l).over(by_month)).alias(f"_g{i}_{l}") for i in range(k) for l in range(1, lags + 1)]
+    fitted = fitted.select(*keys, "_solved", "_total", "n_months", "_u", *[f"_a{i}" for i in range(k)], *lagged)
+
+    def variance(i: int) -> Column:
+        out = F.sum(F.col(f"_a{i}") * F.col(f"_a{i}"))
+        for l in range(1, lags + 1):
+            out = out + 2 * (1 - l / (lags + 1)) * F.coalesce(F.sum(f"_g{i}_{l}"), F.lit(0.0))
+        return out
+
+    out = fitted.groupBy(*keys, "_solved", "_total", "n_months").agg(F.sum(F.col("_u") * F.col("_u")).alias("_rest"), *[variance(i).alias(f"_v{i}") for i in range(k)])
+    free = (F.col("n_months") - k).cast("double")
+    adjusted = 1 - F.try_divide(F.col("_rest") / free, F.col("_total") / (F.col("n_months") - 1).cast("double"))
+    terms = F.array(*[
+        F.struct(F.lit(t).alias("term"), at(i, 0).alias("value"), F.try_divide(at(i, 0), F.sqrt(F.when(F.col(f"_v{i}") > 0, F.col(f"_v{i}")))).alias("t_value"))
+        for i, t in enumerate(["alpha", *factors])
+    ])
+    return out.select(*keys, F.inline(terms), adjusted.alias("adj_r2"), "n_months")
 
 
 def factor_alpha(
@@ -119,33 +147,17 @@ def factor_alpha(
 ) -> DataFrame:
     """Alpha and loadings of each series on each factor model, long form.
 
-    Output: keys, factor_model, term ('alpha' or a factor), value, t_value, adj_r2, n_months. A
-    group handed to Python is one return series: one row per month.
+    Output: keys, factor_model, term ('alpha' or a factor), value, t_value, adj_r2, n_months.
     """
     needed = sorted({f for fs in models.values() for f in fs})
     rows = series.select(*keys, "mi", "ret").join(factors.select("mi", *[F.col(f"`{f}`") for f in needed]), "mi")
-    specs = {m: list(fs) for m, fs in models.items()}
-    key_list = list(keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        head = tuple(pdf[key_list].iloc[0])
-        pdf = pdf.sort_values("mi")
-        for name, fs in specs.items():
-            d = pdf[["ret", *fs]].dropna()
-            if len(d) < len(fs) + 2:
-                continue
-            x = np.column_stack([np.ones(len(d)), d[fs].to_numpy(float)])
-            coef, t, adj = _ols_hac(d["ret"].to_numpy(float), x, lags)
-            for term, c, tv in zip(["alpha", *fs], coef, t):
-                out.append((*head, name, term, c, tv, adj, len(d)))
-        return pd.DataFrame(out, columns=[*key_list, "factor_model", "term", "value", "t_value", "adj_r2", "n_months"])
-
-    types = {f.name: f.dataType.simpleString() for f in series.schema}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(
-        fit, f"{schema}, factor_model string, term string, value double, t_value double, adj_r2 double, n_months long"
-    )
+    rows = written(rows, "factor-rows")
+    out = None
+    for name, fs in models.items():
+        part = _regression(rows, keys, list(fs), lags)
+        part = part.select(*keys, F.lit(name).alias("factor_model"), "term", "value", "t_value", "adj_r2", "n_months")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def loadings(alphas: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

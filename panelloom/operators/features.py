@@ -212,7 +212,7 @@ def fold_sizes(samples: DataFrame, n_folds: int = 5) -> DataFrame:
 
 def with_split(
     samples: DataFrame,
-    member: int = 0,
+    member: int | Column = 0,
     share: float = K.VALIDATION_SHARE,
     seed: int = K.SEED,
     ordered: bool = False,
@@ -221,11 +221,11 @@ def with_split(
     """``is_validation`` per row.
 
     Random: the MD5 of the row key and the member's seed, the same on every retry, under any
-    partitioning and in any engine. Ordered: the newest months that make up the share.
+    partitioning and in any engine; ``member`` may be a column. Ordered: the newest months that make up the share.
     """
     if not ordered:
         # 32 bits of the digest give a uniform number in [0, 1)
-        name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed + member)))
+        name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], (F.lit(seed) + member).cast("string"))
         u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
         return samples.withColumn("is_validation", u < share)
     months = samples.groupBy("mi").agg(F.count(F.lit(1)).alias("n"))

@@ -243,6 +243,67 @@ PARTS: dict[str, tuple[str, str]] = {
 }
 
 
+#: Marks SQL that needs WITH RECURSIVE.
+RECURSION = "/* recursive */"
+#: Marks the last SELECT of SQL that begins with further expressions.
+FINAL = "/* final */ "
+
+
+def split_value(member: str) -> str:
+    """Uniform number of a row and member, by the first 32 bits of an MD5."""
+    return f"('0x' || substr(md5(concat_ws(':', id, mi, 42 + {member})), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+_Z = "[1.0, " + ", ".join(f"cr{k}" for k in range(1, 13)) + "]"
+
+
+def eliminated(system: str, keys: str, name: str = "elim", unknowns: int = 13) -> str:
+    """Lists (keys, b) that solve ``system`` (keys, i, j, v), whose right side stands behind the last unknown."""
+    return f"""{name} AS (SELECT 0 AS p, {keys}, i, j, v FROM {system}
+        UNION ALL
+        SELECT p + 1, {keys}, i, j, CASE WHEN i = p + 1 THEN v / diag ELSE v - col * line / diag END FROM (
+          SELECT *, max(v) FILTER (WHERE j = p + 1) OVER (PARTITION BY {keys}, i) AS col, max(v) FILTER (WHERE i = p + 1) OVER (PARTITION BY {keys}, j) AS line,
+            max(v) FILTER (WHERE i = p + 1 AND j = p + 1) OVER (PARTITION BY {keys}) AS diag FROM {name} WHERE p < {unknowns}) q),
+        {name}_coef AS (SELECT {keys}, list(v ORDER BY i) AS b FROM {name} WHERE p = {unknowns} AND j = {unknowns + 1} GROUP BY {keys})"""
+
+
+def system(rows: str, keys: str, target: str = "target", weight: str = "w") -> str:
+    """Normal equations of ``rows`` with the intercept among the unknowns, per unit of weight, with the penalty on the slopes."""
+    return f"""SELECT {keys}, i, j, sum({weight} * z[i] * z[j]) / sum({weight}) + CASE WHEN i = j AND i > 1 THEN 1e-6 ELSE 0 END AS v
+        FROM (SELECT *, list_append({_Z}, {target}) AS z FROM {rows}), (SELECT unnest(range(1, 14)) AS i), (SELECT unnest(range(1, 15)) AS j) GROUP BY {keys}, i, j"""
+
+
+def predicted(b: str = "b") -> str:
+    return f"{b}[1] + " + " + ".join(f"{b}[{k + 1}] * cr{k}" for k in range(1, 13))
+
+
+WEIGHT = {
+    "ew": "1.0",
+    "ewpm": "1.0 / count(*) OVER (PARTITION BY mi)",
+    "ewpmvw": """CASE WHEN count(cap_prev) OVER (PARTITION BY mi) > 0 THEN coalesce(cap_prev / sum(cap_prev) OVER (PARTITION BY mi), 0)
+                 ELSE 1.0 / count(*) OVER (PARTITION BY mi) END""",
+}
+
+
+def fits(periods, fitting: bool = True, weighting: str = "ewpm", source: str = "samples", members: int = 30) -> str:
+    """Expressions up to ``coefs`` (model, member, b): every model straight from the rows of its own period."""
+    values = ", ".join(f"('{n}', {a}, {b})" for n, a, b in periods)
+    where = "WHERE year(date) % 2 = month(date) % 2" if fitting else ""
+    return f""", {RECURSION} fit_periods(model, lo, hi) AS (VALUES {values}),
+      fit_pool AS (SELECT *, {WEIGHT[weighting]} AS w FROM {source} {where}),
+      fit_rows AS (SELECT * FROM fit_pool, (SELECT unnest(range({members})) AS member) WHERE NOT ({split_value('member')} < 0.3)),
+      fit_system AS ({system('(SELECT r.*, model FROM fit_rows r JOIN fit_periods ON mi BETWEEN lo AND hi)', 'model, member')}),
+      {eliminated('fit_system', 'model, member')},
+      coefs AS (SELECT * FROM elim_coef)"""
+
+
+def ensemble_scores(feats: str, condition: str = "true", carry: str = "") -> str:
+    """Mean over members of their forecasts of every row and model: model, mi, id, score, uncertainty."""
+    extra = f", {carry}" if carry else ""
+    return f"""SELECT model, mi, id{extra}, avg(p) AS score, stddev_pop(p) AS uncertainty
+        FROM (SELECT f.*, model, member, {predicted()} AS p FROM {feats} f, coefs WHERE {condition}) GROUP BY model, mi, id{extra}"""
+
+
 def with_parts(names: str, body: str) -> str:
     """``body`` preceded by the named expressions and everything they need."""
     order: list[str] = []
@@ -257,11 +318,13 @@ def with_parts(names: str, body: str) -> str:
         add(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order) + "\n" + body
+    recursive = "RECURSIVE " if RECURSION in body else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order) + "\n" + body
 
 
 def rounded(body: str, columns: str, digits: int) -> str:
     if not columns:
         return body
     rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in columns.split())
-    return f"SELECT * REPLACE ({rep}) FROM ({body})"
+    head, mark, body = body.rpartition(FINAL)
+    return f"{head}{mark}SELECT * REPLACE ({rep}) FROM ({body})" if mark else f"SELECT * REPLACE ({rep}) FROM ({body})"

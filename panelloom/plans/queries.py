@@ -12,6 +12,7 @@ from ..operators import evaluate as E
 from ..operators import factors as FA
 from ..operators import features as FT
 from ..operators import learn as L
+from ..operators import moments as ML
 from ..operators import panel as P
 from ..operators import performance as PF
 from ..operators import sorts as S
@@ -348,6 +349,62 @@ def _(t: Tables):
     return d.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "custom_ticker_callable", "F1 X7",
+    "SELECT 'id_' || lower(id) AS id, count(*) AS n FROM weekly GROUP BY 1", "weekly",
+)
+def _(t: Tables):
+    code = lambda c: "id_" + c.strip().rsplit(".", 1)[0].lower()
+    d = CO.read_days(t.spark, t.daily_folder, "1995-01-01", "2001-12-31", map_ticker=code, year_format="year={year}")
+    return d.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _damaged(t: Tables) -> str:
+    """Yearly folders of plain day files like a vendor's delivery, in which every 13th file is cut in its header and every 17th is a binary file."""
+
+    def build():
+        path = new_path(t.spark, "damaged")
+        d = daily_rows(t, weekly=True).withColumn("day", F.date_format("date", "yyyyMMdd"))
+        line = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), "wind_code", F.lit('"a, ""b"""'), F.col("CLOSE").cast("string"))
+        files = d.groupBy("date", "day").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+        number = F.pmod(F.datediff("date", F.lit("1990-01-05")) / 7, F.lit(13 * 17)).cast("int")
+        lines = (
+            F.when(number % 13 == 0, F.array(F.lit("date,wind_c")))
+            .when(number % 17 == 0, F.array(F.lit("PK\x03\0\0"), F.lit("\0\x01")))
+            .otherwise(F.concat(F.array(F.lit("date,wind_code,sec_name,CLOSE")), "lines"))
+        )
+        rows = files.select(F.array_join(lines, "\n").alias("value"), F.year("date").alias("year"), F.concat("day", F.lit(".csv")).alias("day"))
+        rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "day").write.partitionBy("year", "day").option("lineSep", "\n").text(path)
+        return path
+
+    return t.once("damaged", build)
+
+
+_NUMBER = "((date - DATE '1990-01-05') // 7) % 221"
+_STATUS = f"CASE WHEN {_NUMBER} % 13 = 0 THEN 'truncated' WHEN {_NUMBER} % 17 = 0 THEN 'undecodable' ELSE 'ok' END"
+
+
+def _tolerant(t: Tables):
+    read_args = dict(year_format="year={year}", pattern="*.txt")
+    return t.once("tolerant", lambda: CO.tolerant_days(t.spark, _damaged(t), "1996-02-15", "2001-03-10", **read_args))
+
+
+@query(
+    "skipped_files", "S8",
+    f"SELECT date AS file_date, {_STATUS} AS status FROM (SELECT DISTINCT date FROM weekly WHERE date BETWEEN '1996-02-15' AND '2001-03-10') WHERE status <> 'ok'", "weekly",
+)
+def _(t: Tables):
+    return _tolerant(t)[1].select("file_date", "status")
+
+
+@query(
+    "tolerant_days", "S8 S9",
+    f"SELECT date, id, close FROM weekly WHERE date BETWEEN '1996-02-15' AND '2001-03-10' AND {_STATUS} = 'ok'", "weekly", "close", 7,
+)
+def _(t: Tables):
+    return _tolerant(t)[0]
+
+
 @query(
     "saved_prices", "S11 S12 W1",
     "SELECT id, mi, price, ret FROM panel WHERE mi > (SELECT min(mi) FROM panel)", "panel", "price ret", 7,
@@ -360,13 +417,30 @@ def _(t: Tables):
 
 @query("wide_prices_round_trip", "A3 A4 S11", "SELECT id::VARCHAR AS id, mi, date, price FROM panel", "panel", "price", 7)
 def _(t: Tables):
-    return CO.long_prices(CO.wide_prices(t.prices, CO.column_ids(t.prices)))
+    path = new_path(t.spark, "wide_prices")
+    RS.wide_blocks(t.prices, "price").write.partitionBy("block").parquet(path)
+    back = RS.long_blocks(t.spark.read.parquet(path), "price")
+    return back.select("id", C.month_index("date").alias("mi"), "date", "price")
 
 
-@query("wide_forecasts_round_trip", "S18 A3 A4", "SELECT model, mi, id::VARCHAR AS id, score FROM scores WHERE model = 'momentum'", "scores", "score")
+@query(
+    "wide_price_columns", "A3 A4", "SELECT id::VARCHAR AS id, mi, date, price FROM panel WHERE exch = 'A'", "panel", "price", 7,
+)
+def _(t: Tables):
+    # an export with a column for each of the named securities: those of the smallest exchange
+    one = t.prices.filter(F.col("exch") == "A")
+    ids = [r["id"] for r in listed(t.spark, t.sf).filter(F.col("region") == 3).select("id").distinct().sort("id").collect()]
+    return CO.long_prices(CO.wide_prices(one, ids))
+
+
+@query("wide_forecasts_round_trip", "S18 A3 A4", "SELECT model, mi, id::VARCHAR AS id, score FROM scores", "scores", "score")
 def _(t: Tables):
-    one = t.scores.filter(F.col("model") == "momentum")
-    return RS.long_forecasts(RS.wide_forecasts(one, CO.column_ids(one)), "momentum")
+    path, out = new_path(t.spark, "wide_forecasts"), None
+    for model in MODELS:  # one wide table per model, as forecasts are stored
+        RS.wide_blocks(t.scores.filter(F.col("model") == model), "score", "mi").write.parquet(f"{path}/{model}")
+        part = RS.long_blocks(t.spark.read.parquet(f"{path}/{model}"), "score", "mi").select(F.lit(model).alias("model"), "mi", "id", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("dataset_store", "S13 F2", "SELECT id, mi, ret FROM panel WHERE exch = 'N'", "panel", "ret")
@@ -1320,75 +1394,275 @@ def _(t: Tables):
     return c.select("model", "portfolio", F.round("alpha", 7).alias("alpha"), F.round("loading", 7).alias("loading"), F.round("t_alpha", 5).alias("t_alpha"), F.round("adj_r2", 7).alias("adj_r2"), "n_months")
 
 
-@query("factor_alphas", "A38")
+_MODEL_VALUES = ", ".join(
+    f"('{name}', [" + ", ".join(f"'{f}'" for f in fs) + "])" for name, fs in K.FACTOR_MODELS.items()
+)
+_FACTOR_MAP = "map {" + ", ".join(f"""'{f}': "{f}" """ for f in _ALL_FACTORS) + "}"
+# Every series on every model: six unknowns, those beyond a model's own being 0 by a 1 on the diagonal.
+_FACTOR_SQL = f""", {O.RECURSION} k AS (SELECT c.mi, c.id, c.ret, c.cap_prev, f.* EXCLUDE (mi, id) FROM cand c JOIN feat f USING (mi, id) WHERE c.ret IS NOT NULL AND c.cap_prev IS NOT NULL),
+   m AS (SELECT mi, {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in sorted({c for c, _ in _CHARS.values()}))} FROM k GROUP BY 1),
+   fac AS (SELECT k.mi, mk.ret - rf.rate AS "MKT-RF", {_SPREADS.replace("round(", "(").replace(", 8) AS", ") AS")}
+           FROM k JOIN m USING (mi) JOIN market mk USING (mi) JOIN (SELECT DISTINCT mi, rate FROM rf) rf USING (mi) GROUP BY k.mi, mk.ret, rf.rate),
+   fm(fm, fs) AS (VALUES {_MODEL_VALUES}),
+   r0 AS (SELECT model, portfolio, s.mi, s.ret - CASE WHEN portfolio = 'long_short' THEN 0 ELSE rate END AS y, fm, fs, list_transform(fs, lambda f: {_FACTOR_MAP}[f]) AS x
+          FROM held s JOIN fac USING (mi) JOIN (SELECT DISTINCT mi, rate FROM rf) r USING (mi), fm),
+   r1 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY fm, model, portfolio) AS n, list_concat([1.0], x, list_transform(range(5 - len(x)), lambda i: 0.0)) AS z FROM r0
+          WHERE y IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL)) = 0) WHERE n > len(fs) + 1),
+   sys AS (SELECT fm, model, portfolio, i, j, CASE WHEN j = 7 THEN sum(z[i] * y) WHEN j > 7 THEN CASE WHEN j - 7 = i THEN 1.0 ELSE 0.0 END
+             ELSE sum(z[i] * z[j]) + CASE WHEN i = j AND i > len(any_value(fs)) + 1 THEN 1 ELSE 0 END END AS v
+           FROM r1, (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(1, 14)) AS j) GROUP BY fm, model, portfolio, i, j),
+   {O.eliminated('sys', 'fm, model, portfolio', unknowns=6)},
+   inv AS (SELECT fm, model, portfolio, i, list(v ORDER BY j) AS row FROM elim WHERE p = 6 AND j > 7 GROUP BY 1, 2, 3, 4),
+   u AS (SELECT r1.*, b, y - list_dot_product(b, z) AS u, row_number() OVER (PARTITION BY fm, model, portfolio ORDER BY mi) AS t FROM r1 JOIN elim_coef USING (fm, model, portfolio)),
+   a AS (SELECT fm, model, portfolio, i, t, list_dot_product(row, z) * u AS a FROM u JOIN inv USING (fm, model, portfolio)),
+   v AS (SELECT p.fm, p.model, p.portfolio, p.i, sum(CASE WHEN p.t = q.t THEN p.a * q.a ELSE 2 * (1 - (p.t - q.t) / 13.0) * p.a * q.a END) AS v
+         FROM a p JOIN a q ON p.fm = q.fm AND p.model = q.model AND p.portfolio = q.portfolio AND p.i = q.i AND p.t - q.t BETWEEN 0 AND 12 GROUP BY 1, 2, 3, 4),
+   g AS (SELECT fm, model, portfolio, any_value(b) AS b, any_value(fs) AS fs, sum(u * u) AS rest, var_pop(y) * count(*) AS total, count(*) AS n FROM u GROUP BY 1, 2, 3),
+   alphas AS (SELECT g.model, g.portfolio, fm AS factor_model, CASE WHEN i = 1 THEN 'alpha' ELSE fs[i - 1] END AS term, b[i] AS value, CASE WHEN v > 0 THEN b[i] / sqrt(v) END AS t_value,
+                1 - rest / (n - len(fs) - 1) / (total / (n - 1)) AS adj_r2, n AS n_months FROM g JOIN v USING (fm, model, portfolio) WHERE i <= len(fs) + 1)
+   """
+
+
+@query("factor_alphas", "A38", _FACTOR_SQL + O.FINAL + "SELECT model, portfolio, factor_model, term, round(value, 6) AS value, round(t_value, 4) AS t_value, round(adj_r2, 6) AS adj_r2, n_months FROM alphas", "cand feat market rf held")
 def _(t: Tables):
-    return FA.factor_alpha(FA.in_excess(t.series, t.risk_free), _factors(t))
+    a = t.once("alphas", lambda: written(FA.factor_alpha(FA.in_excess(t.series, t.risk_free), _factors(t)), "alphas"))
+    return a.withColumns({"value": F.round("value", 6), "t_value": F.round("t_value", 4), "adj_r2": F.round("adj_r2", 6)})
 
 
-@query("factor_loadings", "A45")
+@query("factor_loadings", "A45", _FACTOR_SQL + O.FINAL + "SELECT model, portfolio, factor_model, term AS factor, value AS loading FROM alphas WHERE term <> 'alpha'", "cand feat market rf held", "loading", 6)
 def _(t: Tables):
     return FA.loadings(FA.factor_alpha(FA.in_excess(t.series, t.risk_free), _factors(t)))
 
 
-# ================================================================ learning (no SQL twin)
+@query(
+    "factor_source", "S17",
+    _FACTOR_SQL.split("fm(fm, fs)")[0].replace(O.RECURSION, "").rstrip().rstrip(",")
+    + O.FINAL + " UNION ALL ".join(
+        f"SELECT '{name}' AS factor_model, mi, '{f}' AS factor, \"{f}\" AS value FROM fac WHERE mi BETWEEN {LO} AND {HI}" for name, fs in K.FACTOR_MODELS.items() for f in fs
+    ), "cand feat market rf", "value",
+)
+def _(t: Tables):
+    stored = written(_factors(t), "factor-store")
+    out = None
+    for name, fs in K.FACTOR_MODELS.items():
+        part = R.load_factors(stored, name, *PERIOD).unpivot("mi", [F.col(f"`{f}`") for f in fs], "factor", "value")
+        part = part.select(F.lit(name).alias("factor_model"), "mi", "factor", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("yearly_rate_to_monthly", "X13", "SELECT mi, rate * 100 / 100 / 12 AS rate FROM (SELECT DISTINCT mi, rate FROM rf)", "rf", "rate", 12)
+def _(t: Tables):
+    yearly = t.risk_free.select("mi", (F.col("rate") * 100).alias("percent"))
+    return yearly.select("mi", X.percent_to_decimal("percent", per_year=True).alias("rate"))
+
+
+# ================================================================ learning
 
 FIT = ("1996-01", "1999-12")
+LAST = ("2000-01", "2001-11")
 SMALL = dict(n_members=2, learner="gbt", maxIter=3, maxDepth=2)
+SCORE = "score uncertainty"
+
+
+def _months(*periods):
+    return [(n, mi(a), mi(b)) for n, a, b in periods]
+
+
+def _between(periods) -> str:
+    return " OR ".join(f"(model = '{n}' AND f.mi BETWEEN {a} AND {b})" for n, a, b in _months(*periods))
+
+
+def _one_model(t: Tables):
+    return t.once("one_model", lambda: ML.fit_periods(t.samples, [("fit", *FIT)]))
 
 
-@query("ensemble_forecast", "M1 M2 M3 M4 W14 W15")
+_ONE = O.fits(_months(("fit", *FIT)))
+
+
+@query("boosted_forecast", "M1 W14 W15")
 def _(t: Tables):
     e = L.fit_ensemble(t.samples, FIT, **SMALL)
-    return L.score(e, t.features, ("2000-01", "2001-11"), "gbt", uncertainty=True)
+    return L.score(e, t.features, LAST, "gbt", uncertainty=True)
+
+
+@query(
+    "ensemble_forecast", "M1 M2 M3 M4 W14 W15",
+    _ONE + O.FINAL + O.ensemble_scores("feat", f"f.mi BETWEEN {mi(LAST[0])} AND {mi(LAST[1])}"), "samples", SCORE, 6,
+)
+def _(t: Tables):
+    return ML.score(_one_model(t), t.features, [("fit", *LAST)], uncertainty=True)
+
+
+@query("ensemble_members", "M3", _ONE + f", x AS ({O.ensemble_scores('feat')}) {O.FINAL} SELECT mi, id, score, uncertainty FROM x", "samples", SCORE, 6)
+def _(t: Tables):
+    return L.combine_members(ML.score_members(_one_model(t), t.features))
+
+
+@query(
+    "member_coefficients", "M1 M3 W14",
+    _ONE + O.FINAL + """ SELECT model, member, n::BIGINT AS n_rows, b[1] AS intercept, """ + ", ".join(f"b[{k + 1}] AS b{k}" for k in range(1, 13))
+    + " FROM coefs JOIN (SELECT member, count(*) AS n FROM fit_rows JOIN fit_periods ON mi BETWEEN lo AND hi GROUP BY 1) USING (member)",
+    "samples", "intercept " + " ".join(f"b{k}" for k in range(1, 13)), 5,
+)
+def _(t: Tables):
+    return _one_model(t).select("model", "member", "n_rows", F.col("coef")[0].alias("intercept"), *[F.col("coef")[k].alias(f"b{k}") for k in range(1, 13)])
+
+
+_WINDOWS = [(ML.window_name(e), "1996-01", e) for e, _, _ in WINDOWS]
+_FORECASTS = [(ML.window_name(e), a, b) for e, a, b in WINDOWS]
 
 
-@query("ensemble_members", "M3")
+def _window_models(t: Tables):
+    return t.once("window_models", lambda: ML.fit_windows(t.samples, "1996-01", WINDOWS))
+
+
+@query(
+    "expanding_window_forecasts", "M5 J11",
+    O.fits(_months(*_WINDOWS)) + f", x AS ({O.ensemble_scores('feat', _between(_FORECASTS))}) {O.FINAL} SELECT model, mi, id, score FROM x", "samples", "score", 6,
+)
 def _(t: Tables):
-    e = L.fit_ensemble(t.samples, FIT, "linear", n_members=3)
-    return L.combine_members(L.score_members(e, t.features))
+    return ML.score(_window_models(t), t.features, _FORECASTS)
 
 
-@query("expanding_window_forecasts", "M5 J11 J13")
+@query(
+    "stored_windows_all_months", "J13 M7",
+    O.fits(_months(*_WINDOWS)) + f", x AS ({O.ensemble_scores('feat')}) {O.FINAL} SELECT model, mi, id, score FROM x", "samples", "score", 6,
+)
 def _(t: Tables):
-    return L.expanding_forecasts(t.samples, t.features, "1996-01", WINDOWS, n_members=2, learner="linear")
+    path = ML.save_models(_window_models(t), new_path(t.spark, "window-models"))
+    return ML.score(ML.load_models(t.spark, path), t.features)
+
 
+_SUBFITS = [("s1", "1996-01", "1997-12"), ("s2", "1998-01", "1999-12"), ("s3", "1999-07", "2001-06")]
 
-@query("subperiod_forecasts", "M6 J13")
+
+@query(
+    "subperiod_forecasts", "M6 J13",
+    O.fits(_months(*_SUBFITS), fitting=False) + f", x AS ({O.ensemble_scores('feat', f'f.mi BETWEEN {mi(FIT[0])} AND {mi(LAST[1])}')}) {O.FINAL} SELECT model, mi, id, score FROM x", "samples", "score", 6,
+)
 def _(t: Tables):
-    fits = [("fit_a", "1996-01", "1997-12"), ("fit_b", "1998-01", "1999-12")]
-    return L.subperiod_forecasts(t.samples, t.features, fits, ("1996-01", "2001-11"), n_members=2, learner="linear")
+    models = ML.fit_periods(t.samples, _SUBFITS, fitting_months_only=False)
+    return ML.score(models, t.features, [(n, FIT[0], LAST[1]) for n, _, _ in _SUBFITS])
 
 
-@query("stored_model_transfer", "M7 M9")
+@query(
+    "stored_model_transfer", "M7 M9",
+    O.fits(_months(("exchange_n", *FIT)), source="(SELECT s.* FROM samples s JOIN exchanges USING (id) WHERE exch = 'N')").replace("fit_periods(", "exchanges AS (SELECT DISTINCT id, exch FROM panel), fit_periods(", 1)
+    + f", x AS ({O.ensemble_scores('(SELECT * FROM feat JOIN exchanges USING (id))', chr(34) + 'exch' + chr(34) + " <> 'N'")}) {O.FINAL} SELECT model, mi, id, score FROM x", "samples", "score", 6,
+)
 def _(t: Tables):
     # fitted on one exchange's securities, stored, and applied to the others
     exch = t.panel.select("id", "exch").distinct()
     on = lambda df, cond: df.join(exch.filter(cond).select("id"), "id", "left_semi")
-    e = L.fit_ensemble(on(t.samples, F.col("exch") == "N"), FIT, "linear", n_members=2, scaling="standard")
-    root = new_path(t.spark, "models")
-    path = L.save_ensemble(t.spark, e, root, "exchange_n")
-    _, back = L.load_ensemble(t.spark, path)
-    return L.score(back, on(t.features, F.col("exch") != "N"), model="exchange_n")
+    models = ML.fit_periods(on(t.samples, F.col("exch") == "N"), [("exchange_n", *FIT)])
+    back = ML.load_models(t.spark, ML.save_models(models, new_path(t.spark, "models")))
+    return ML.score(back, on(t.features, F.col("exch") != "N"))
+
+
+def _pooled_sql(rows: str, by: str, out: str) -> str:
+    return f"SELECT {out} FROM (SELECT *, {O.avg_rank(by, 'score')} AS a, {O.avg_rank(by, 'target')} AS b FROM ({rows})) GROUP BY {by}"
 
 
-@query("training_report", "M10 A29")
+@query(
+    "training_report", "M10 A29",
+    _ONE + f""", x AS ({O.ensemble_scores('(SELECT *, year(date) % 2 = month(date) % 2 AS fits FROM samples)', f'fits AND f.mi BETWEEN {mi(FIT[0])} AND {mi(FIT[1])}', 'target')}),
+       """ + "r AS (SELECT *, CASE WHEN " + O.split_value("0") + " < 0.3 THEN 'validation' ELSE 'train' END AS split FROM x) " + O.FINAL
+    + _pooled_sql("SELECT * FROM r", "model, split", "model, split, corr(a, b) AS spearman, avg((score - target) ** 2) AS mse, count(*) AS n_rows"), "samples", "spearman mse", 6,
+)
 def _(t: Tables):
-    return L.split_report(L.fit_ensemble(t.samples, FIT, "linear", n_members=2), t.samples)
+    return ML.split_report(_one_model(t), t.samples, FIT)
+
 
+def _held_sql(periods: str, keys: str = "model") -> str:
+    part = lambda v: f"""SELECT {keys}, '{v}' AS versus, avg(c) AS spearman, count(*) AS n_months, sum(n)::BIGINT AS n_rows FROM (
+        SELECT {keys}, mi, corr(a, b) AS c, count(*) AS n FROM (SELECT *, {O.avg_rank(f'{keys}, mi', 'score')} AS a, {O.avg_rank(f'{keys}, mi', v)} AS b FROM held_rows)
+        GROUP BY {keys}, mi HAVING count(*) >= 10) WHERE c IS NOT NULL GROUP BY {keys}"""
+    return f"{part('excess_ret')} UNION ALL {part('target')}"
 
-@query("held_out_report", "M2 A27")
+
+@query(
+    "held_out_report", "M2 A27",
+    _ONE + f""", held_rows AS ({O.ensemble_scores('(SELECT *, year(date) % 2 = month(date) % 2 AS fits FROM samples)', f'NOT fits AND f.mi BETWEEN {mi(FIT[0])} AND {mi(FIT[1])}', 'target, excess_ret')})
+       """ + O.FINAL + _held_sql("held_rows"), "samples", "spearman", 6,
+)
 def _(t: Tables):
-    return L.held_out_report(L.fit_ensemble(t.samples, FIT, "linear", n_members=2), t.samples)
+    return ML.held_out_report(_one_model(t), t.samples, [("fit", *FIT)])
 
 
-@query("cross_validation", "W13 A29")
+@query(
+    "cross_validation", "W13 A29",
+    f""", {O.RECURSION} pos AS (SELECT mi, row_number() OVER (ORDER BY mi) - 1 AS p, count(*) OVER () // 4 AS size FROM (SELECT DISTINCT mi FROM samples)),
+       roles AS (SELECT mi, fold, CASE WHEN p < (fold + 1) * size THEN 'train' WHEN p < (fold + 2) * size THEN 'validate' END AS role FROM pos, (SELECT unnest(range(3)) AS fold)),
+       sys AS ({O.system("(SELECT s.*, fold, 1.0 AS w FROM samples s JOIN roles USING (mi) WHERE role = 'train')", 'fold')}),
+       {O.eliminated('sys', 'fold')} {O.FINAL}"""
+    + _pooled_sql(f"SELECT fold, target, {O.predicted()} AS score FROM samples JOIN roles USING (mi) JOIN elim_coef USING (fold) WHERE role = 'validate'", "fold",
+                  "fold::INTEGER AS fold, corr(a, b) AS spearman_corr, count(*) AS val_size"),
+    "samples", "spearman_corr", 6,
+)
 def _(t: Tables):
-    return L.cross_validate(t.samples, 4)
+    return ML.cross_validate(t.samples, 4)
+
+
+# ---------------------------------------------------------------- absolute loss and the grid
 
+ABSOLUTE_STEPS = 4
 
-@query("configuration_grid", "M8 T4")
+
+def _reweighted(rows: str, keys: str, y: str, first: str) -> str:
+    """Further steps of the reweighted fit; ``first`` holds (keys, b) of the least-squares fit."""
+    out, last = "", first
+    for step in range(1, ABSOLUTE_STEPS):
+        weighed = f"(SELECT r.*, w / greatest(abs({y} - ({O.predicted()})), 1e-6) AS w2 FROM {rows} r JOIN {last} USING ({keys}))"
+        out += f", sys{step} AS ({O.system(weighed, keys, y, 'w2')}), {O.eliminated(f'sys{step}', keys, f'step{step}')}"
+        last = f"step{step}_coef"
+    return out
+
+
+@query(
+    "absolute_loss_forecast", "M1",
+    O.fits(_months(("fit", *FIT)), members=5) + ", own AS (SELECT r.*, model FROM fit_rows r JOIN fit_periods ON mi BETWEEN lo AND hi)"
+    + _reweighted("own", "model, member", "target", "coefs")
+    + f", x AS ({O.ensemble_scores('feat', f'f.mi BETWEEN {mi(LAST[0])} AND {mi(LAST[1])}').replace(', coefs WHERE', f', step{ABSOLUTE_STEPS - 1}_coef WHERE')}) {O.FINAL} SELECT * FROM x", "samples", SCORE, 5,
+)
 def _(t: Tables):
+    models = ML.fit_absolute(t.samples, [("fit", *FIT)], steps=ABSOLUTE_STEPS, n_members=5)
+    return ML.score(models, t.features, [("fit", *LAST)], uncertainty=True)
+
+
+_KINDS = ("ret", "ret_std", "ret_rank_norm", "ret_pctl")
+_GRID_SQL = f""", {O.RECURSION} q AS (SELECT id, mi, ret AS t_ret, ret / CASE WHEN s = 0 THEN 1 ELSE s END AS t_ret_std, {O.ppf('r / (n + 1)')} AS t_ret_rank_norm, r / n AS t_ret_pctl FROM (
+     SELECT *, {O.avg_rank('mi', 'ret')} AS r, count(*) OVER (PARTITION BY mi) AS n, stddev_pop(ret) OVER (PARTITION BY mi) AS s FROM panel WHERE ret IS NOT NULL)),
+   wide AS (SELECT s.*, q.* EXCLUDE (id, mi) FROM samples s JOIN q USING (id, mi) WHERE mi BETWEEN {mi(FIT[0])} AND {mi(FIT[1])}),
+   pool AS (SELECT * FROM wide WHERE year(date) % 2 = month(date) % 2),
+   weighed AS ({" UNION ALL ".join(f"SELECT *, '{w}' AS weighting, {O.WEIGHT[w]} AS w FROM pool" for w in ("ew", "ewpm", "ewpmvw"))}),
+   train AS (SELECT * FROM weighed, (SELECT unnest(range(30)) AS member) WHERE NOT ({O.split_value('member')} < 0.3)),
+   long AS ({" UNION ALL ".join(f"SELECT * EXCLUDE (target), '{k}' AS target, t_{k} AS y FROM train" for k in _KINDS)}),
+   sys AS ({O.system('long', 'weighting, target, member', 'y')}),
+   {O.eliminated('sys', 'weighting, target, member')},
+   sc AS (SELECT weighting, e.target, mi, id, excess_ret, avg({O.predicted()}) AS score FROM (SELECT * FROM wide WHERE year(date) % 2 <> month(date) % 2) f, elim_coef e GROUP BY ALL),
+   ranks AS (SELECT *, {O.avg_rank('weighting, target, mi', 'score')} AS a, {O.avg_rank('weighting, target, mi', 'excess_ret')} AS b FROM sc),
+   grid AS (SELECT 'mse' AS loss, weighting, target, avg(c) AS spearman, count(*) AS n_months FROM (
+              SELECT weighting, target, mi, corr(a, b) AS c FROM ranks GROUP BY 1, 2, 3 HAVING count(*) >= 10) WHERE c IS NOT NULL GROUP BY ALL)
+   """
+
+
+def _grid(t: Tables):
     samples = lambda kind: t.once(f"samples_{kind}", lambda: written(FT.feature_samples(t.panel, kind), "samples"))
-    return L.best_configuration(
-        L.grid_search(samples, FIT, ("linear",), ("mse",), ("ew", "ewpm"), ("ret_rank_norm", "ret_pctl"), n_members=1)
-    )
+    return t.once("grid", lambda: written(ML.grid(samples, FIT, targets=_KINDS, losses=("mse",)), "grid"))
+
+
+@query("configuration_grid", "M8", _GRID_SQL + O.FINAL + "SELECT * FROM grid", "samples panel", "spearman", 6)
+def _(t: Tables):
+    return _grid(t)
+
+
+@query("best_configuration", "M8 T4", _GRID_SQL + O.FINAL + "SELECT 'linear' AS learner, loss, weighting, target, spearman FROM grid ORDER BY spearman DESC LIMIT 1", "samples panel", "spearman", 6)
+def _(t: Tables):
+    return L.best_configuration(_grid(t).withColumn("learner", F.lit("linear")))
+
+
+@query("absolute_loss_grid", "M8 M1")
+def _(t: Tables):
+    samples = lambda kind: t.once(f"samples_{kind}", lambda: written(FT.feature_samples(t.panel, kind), "samples"))
+    return ML.grid(samples, FIT, targets=_KINDS, losses=("mae",), steps=3)

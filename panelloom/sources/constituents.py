@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,13 +43,15 @@ def read_days(
     market: dict = US,
     to_ticker: Callable[[Column], Column] | None = None,
     year_format: str = "{year}",
+    map_ticker: Callable[[str], str | None] | None = None,
 ) -> DataFrame:
     """Daily closes (date, id, close) from all files of the period in one multi-file read.
 
     The needed columns are ASCII, so the files are read byte for byte (ISO-8859-1): a GB18030
     or broken multi-byte name in another column cannot fail the row. Only files whose name is a
     date inside the period are used. One row per (date, id), the later one of a file.
-    ``to_ticker`` turns the vendor code into an id; it is a Column function.
+    ``to_ticker`` turns the vendor code into an id; it is a Column function. ``map_ticker`` is a
+    Python function for the same, called once per distinct code.
     """
     start, end = C.as_date(start), C.as_date(end)
     raw = (
@@ -60,20 +63,26 @@ def read_days(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .csv(year_paths(spark, root, start, end, year_format))
+        .withColumns({
+            "_file_date": C.date_in_path(F.col("_metadata.file_path")),
+            "_block": F.col("_metadata.file_block_start"),
+            "_row": F.monotonically_increasing_id(),
+        })
     )
-    file_date = C.date_in_path(F.col("_metadata.file_path"))
+    if map_ticker:
+        raw = raw.join(mapped_codes(raw.select("wind_code"), map_ticker), "wind_code")
+        to_ticker = lambda _: F.col("_id")
     to_ticker = to_ticker or (lambda c: strip_exchange_suffix(c, market["letters"]))
-    date = C.lenient_date(market["date"]) if market["date"] else file_date
+    date = C.lenient_date(market["date"]) if market["date"] else F.col("_file_date")
     rows = (
-        raw.withColumn("_file_date", file_date)
-        .filter(F.col("_file_date").between(F.lit(start), F.lit(end)))
+        raw.filter(F.col("_file_date").between(F.lit(start), F.lit(end)))
         .select(
             date.alias("date"),
             to_ticker(F.col("wind_code")).alias("id"),
             nan_to_null(F.col(market["close"]).try_cast(T.DoubleType())).alias("close"),
             "_file_date",
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
+            "_block",
+            "_row",
         )
         .filter(F.col("date").between(F.lit(start), F.lit(end)) & F.col("id").isNotNull())
     )
@@ -82,6 +91,82 @@ def read_days(
     return keep_one(rows, ["date", "id"], ["_file_date", "_block", "_row"], keep="last").select("date", "id", "close")
 
 
+def mapped_codes(codes: DataFrame, function: Callable[[str], str | None]) -> DataFrame:
+    """(wind_code, _id): a Python function applied once per distinct code, in Arrow batches; written, so it runs once."""
+
+    @F.pandas_udf("string")
+    def apply(c: pd.Series) -> pd.Series:
+        return c.map(function)
+
+    distinct = codes.filter(F.col("wind_code").isNotNull()).distinct()
+    return written(distinct.select("wind_code", apply("wind_code").alias("_id")), "codes")
+
+
+#: Fields that a line of a day file may have.
+MOST_FIELDS = 64
+
+
+def day_files(
+    spark: SparkSession, root: str, start: str | dt.date, end: str | dt.date, market: dict = US, year_format: str = "{year}", pattern: str = "*.csv"
+) -> DataFrame:
+    """Every day file of the period as one row: path, file_date, status, and its lines as (date, wind_code, close) texts.
+
+    A damaged file does not stop the job. Status: ``ok``; ``empty`` (no line); ``undecodable`` (bytes
+    of a binary file: NUL); ``truncated`` (the header lacks a needed column, or no line follows it).
+    Columns are found by each file's own header, so their order may differ between files. A file is
+    read whole; it holds the constituents of one index on one day.
+    """
+    start, end = C.as_date(start), C.as_date(end)
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .load(year_paths(spark, root, start, end, year_format))
+        .withColumn("file_date", C.date_in_path(F.col("path")))
+        .filter(F.col("file_date").between(F.lit(start), F.lit(end)))
+    )
+    fields = ", ".join(f"c{i} string" for i in range(MOST_FIELDS))
+    parsed = lambda line: F.from_csv(line, fields, {"escape": '"'})
+    cells = lambda row: F.array(*[row.getField(f"c{i}") for i in range(MOST_FIELDS)])
+    # Lines and cells are bytes as letters, so no other column's encoding matters.
+    text = F.decode("content", F.lit("ISO-8859-1"))
+    lines = F.filter(F.split(text, "\r?\n|\r"), lambda x: F.trim(x) != "")
+    needed = [market["date"], "wind_code", market["close"]]
+    place = lambda name: F.array_position(F.transform("head", lambda c: F.trim(c)), name) if name else F.lit(None).cast("long")
+    files = files.select("path", "file_date", F.contains(text, F.lit("\0")).alias("binary"), lines.alias("lines"))
+    files = files.withColumn("head", cells(parsed(F.get("lines", F.lit(0)))))
+    files = files.withColumns({"at_date": place(needed[0]), "at_code": place(needed[1]), "at_close": place(needed[2])})
+    lacks = (F.coalesce("at_code", F.lit(0)) == 0) | (F.coalesce("at_close", F.lit(0)) == 0) | ((F.coalesce("at_date", F.lit(0)) == 0) if needed[0] else F.lit(False))
+    status = (
+        F.when(F.col("binary"), "undecodable").when(F.size("lines") == 0, "empty")
+        .when(lacks | (F.size("lines") < 2), "truncated").otherwise("ok")
+    )
+    cell = lambda row, at: F.try_element_at(cells(row), F.col(at).cast("int"))
+    rows = F.transform(
+        F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))),
+        lambda line: F.struct(
+            (cell(parsed(line), "at_date") if needed[0] else F.lit(None).cast("string")).alias("date"),
+            cell(parsed(line), "at_code").alias("wind_code"), cell(parsed(line), "at_close").alias("close"),
+        ),
+    )
+    return files.withColumn("status", status).select("path", "file_date", "status", F.when(F.col("status") == "ok", rows).alias("rows"))
+
+
+def tolerant_days(
+    spark: SparkSession, root: str, start: str | dt.date, end: str | dt.date, market: dict = US, year_format: str = "{year}", pattern: str = "*.csv"
+) -> tuple[DataFrame, DataFrame]:
+    """Daily closes as by ``read_days``, and the skipped files (path, file_date, status), from one pass over the files."""
+    files = written(day_files(spark, root, start, end, market, year_format, pattern), "day-files")
+    rows = files.filter(F.col("status") == "ok").select("file_date", F.posexplode("rows").alias("_row", "r"))
+    date = C.lenient_date("r.date") if market["date"] else F.col("file_date")
+    rows = rows.select(
+        date.alias("date"), strip_exchange_suffix(F.col("r.wind_code"), market["letters"]).alias("id"),
+        nan_to_null(F.col("r.close").try_cast(T.DoubleType())).alias("close"), "file_date", "_row",
+    ).filter(F.col("date").between(F.lit(C.as_date(start)), F.lit(C.as_date(end))) & F.col("id").isNotNull())
+    if not market["date"]:
+        rows = rows.filter(F.col("close").isNotNull())
+    kept = keep_one(rows, ["date", "id"], ["file_date", "_row"], keep="last").select("date", "id", "close")
+    return kept, files.filter(F.col("status") != "ok").select("path", "file_date", "status")
+
+
 def monthly_prices(daily: DataFrame, start: str | dt.date, end: str | dt.date) -> DataFrame:
     """Month-end closes dated at calendar month end; a month that ends after ``end`` is dropped."""
     out = month_end_close(daily).select("id", "mi", "date", "price")
@@ -137,19 +222,8 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path).drop("year")
 
 
-WIDE_COLUMNS = 10_000
-
-
-def column_ids(df: DataFrame, limit: int = WIDE_COLUMNS) -> list:
-    """The ids of a table that is narrow enough to become one column each; otherwise an error."""
-    ids = [r["id"] for r in df.select("id").distinct().limit(limit + 1).collect()]
-    if len(ids) > limit:
-        raise ValueError(f"more than {limit} ids: keep the long form or name the ids to export")
-    return sorted(ids)
-
-
 def wide_prices(prices: DataFrame, ids: Sequence) -> DataFrame:
-    """Export: one column for each of the named securities. The long form is the store."""
+    """Export: one column for each of the named securities. The long form is the store; ``wide_blocks`` takes any number of ids."""
     return prices.groupBy("date").pivot("id", list(ids)).agg(F.first("price"))
 
 

@@ -32,6 +32,29 @@ def wide_forecasts(scores: DataFrame, ids: Sequence) -> DataFrame:
     return scores.groupBy(C.month_end("mi").alias("date")).pivot("id", list(ids)).agg(F.first("score"))
 
 
+#: Ids that share a row of a wide table in blocks, about.
+BLOCK_IDS = 10_000
+
+
+def wide_blocks(rows: DataFrame, value: str, by: str = "date", ids: int | None = None) -> DataFrame:
+    """Wide table for any number of ids: (block, by, values), one map from id to value per date and block of ids.
+
+    Ids fall into blocks by hash, as many blocks as keep about ``ids`` ids in each, so a row is bounded
+    and no id travels to the driver. One row per id and date is expected; NULL values have no entry.
+    """
+    rows = rows.filter(F.col(value).isNotNull())
+    n = rows.select(F.countDistinct("id")).scalar()
+    blocks = F.ceil(F.greatest(n, F.lit(1)) / F.lit(ids or BLOCK_IDS))
+    block = F.pmod(F.xxhash64(F.col("id").cast("string")), blocks)
+    entry = F.struct(F.col("id").cast("string"), F.col(value).cast("double"))
+    return rows.groupBy(block.alias("block"), by).agg(F.map_from_entries(F.collect_list(entry)).alias("values"))
+
+
+def long_blocks(wide: DataFrame, value: str, by: str = "date") -> DataFrame:
+    """(by, id, value) of a wide table in blocks."""
+    return wide.select(by, F.explode("values").alias("id", value))
+
+
 def read_windows(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Windows of a training run from its metadata JSON, or the default windows."""
     names = ("train_end", "forecast_start", "forecast_end", "model_dir")
