@@ -127,7 +127,7 @@ def day_files(
     parsed = lambda line: F.from_csv(line, fields, {"escape": '"'})
     cells = lambda row: F.array(*[row.getField(f"c{i}") for i in range(MOST_FIELDS)])
     # Lines and cells are bytes as letters, so no other column's encoding matters.
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     lines = F.filter(F.split(text, "\r?\n|\r"), lambda x: F.trim(x) != "")
     needed = [market["date"], "wind_code", market["close"]]
     place = lambda name: F.array_position(F.transform("head", lambda c: F.trim(c)), name) if name else F.lit(None).cast("long")
@@ -140,11 +140,13 @@ def day_files(
         .when(lacks | (F.size("lines") < 2), "truncated").otherwise("ok")
     )
     cell = lambda row, at: F.try_element_at(cells(row), F.col(at).cast("int"))
+    # Each line is parsed once: the inner step makes one struct of it, the outer one picks from that.
+    data = F.transform(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), parsed)
     rows = F.transform(
-        F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))),
-        lambda line: F.struct(
-            (cell(parsed(line), "at_date") if needed[0] else F.lit(None).cast("string")).alias("date"),
-            cell(parsed(line), "at_code").alias("wind_code"), cell(parsed(line), "at_close").alias("close"),
+        data,
+        lambda row: F.struct(
+            (cell(row, "at_date") if needed[0] else F.lit(None).cast("string")).alias("date"),
+            cell(row, "at_code").alias("wind_code"), cell(row, "at_close").alias("close"),
         ),
     )
     return files.withColumn("status", status).select("path", "file_date", "status", F.when(F.col("status") == "ok", rows).alias("rows"))
