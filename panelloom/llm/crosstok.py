@@ -17,7 +17,7 @@ links, so none is hot.
 Null and empty texts, and texts that a tokenizer does not give back byte by byte, have no
 tokens: zeros and an empty digest. Strings of special tokens are plain text. Repeated rows are
 documents of their own; a null id stays null; an empty table gives an empty result; only the two
-named columns are read. Memory per task: one Arrow batch of texts, and caches of bounded size.
+named columns are read. Memory per task: one Arrow batch of texts and a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
-import re
+import json
 from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -37,38 +37,16 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.store import written
 
-from .packing import BYTE_LETTER, PLAIN, WORD
+from .packing import BYTE_LETTER, PLAIN
 
 LOOKED_UP = 1 << 16
-CACHED_WORDS, CACHED_WINDOWS = 300_000, 200_000
-LONGEST_CACHED = 64  # characters of a word, tokens of a window
-SEGMENT = re.compile(r" +[^ ]*")
+CACHED_WINDOWS = 200_000
+LONGEST_CACHED = 64  # tokens of both sides of a window
+# Fixed value: the pre-token rule of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "▁"  # the piece vocabulary writes a space like this
 
 
-class _Ids(dict):
-    """Ids of a word as unsigned 32-bit numbers; empty where the tokens' bytes are not the word's. Forgets all when it is full."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
-        self._encode, self._bytes = encode, token_bytes
-
-    def checked(self, texts: list[str]) -> list[bytes]:
-        known = self._bytes.__getitem__
-        return [array("I", ids).tobytes() if b"".join(map(known, ids)) == t.encode() else b"" for t, ids in zip(texts, self._encode(texts))]
-
-    def joined(self, words: list[str]) -> bytes | None:
-        """Ids of all words; None if one of them is not given back. Words not seen before are encoded in one call."""
-        found = list(map(self.get, words))
-        if None in found:
-            new = list({w for w, f in zip(words, found) if f is None})
-            fresh = dict(zip(new, self.checked(new)))
-            found = [fresh[w] if f is None else f for w, f in zip(words, found)]
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self.update({w: f for w, f in fresh.items() if len(w) <= LONGEST_CACHED})
-        return None if b"" in found else b"".join(found)
-
-
 class Side(NamedTuple):
     """One tokenizer: ids of a whole text with its leading space, length and mark of every token."""
 
@@ -84,9 +62,21 @@ def _side(encode, token_bytes: list[bytes]) -> Side:
     return Side(encode, np.array(sizes, np.int64), np.array([b[:1] == b" " for b in token_bytes]), sizes, [str(i) for i in range(len(sizes))])
 
 
+def _checked(encode: Callable[[str], list[int]], token_bytes: list[bytes]) -> Callable[[str], bytes | None]:
+    """``encode`` as unsigned 32-bit numbers; None where the tokens' bytes are not the text's."""
+    known = token_bytes.__getitem__
+
+    def run(text: str) -> bytes | None:
+        ids = encode(text)
+        return array("I", ids).tobytes() if b"".join(map(known, ids)) == text.encode() else None
+
+    return run
+
+
 @functools.lru_cache(maxsize=2)
 def byte_side(path: str) -> Side:
-    """Byte-level BPE. Words of texts within PLAIN are looked up by pre-token; other texts go to the library whole."""
+    """Byte-level BPE. If ids follow the order of the merges, texts within PLAIN take the faster library with the same ranks."""
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -95,44 +85,29 @@ def byte_side(path: str) -> Side:
     vocabulary = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
     # A special token cannot come out of a plain text; its own letters stand for it.
     token_bytes = [bytes(byte_of[c] for c in vocabulary[i]) if i in vocabulary else b"" for i in range(max(vocabulary) + 1)]
-    merge = tokenizer.model.tokenize
-    words = _Ids(lambda ws: [[t.id for t in merge(w.encode().decode("latin-1").translate(BYTE_LETTER))] for w in ws], token_bytes)
-    whole = _Ids(lambda ts: [tokenizer.encode(t, add_special_tokens=False).ids for t in ts], token_bytes)
-
-    def encode(text: str) -> bytes | None:
-        if PLAIN.fullmatch(text):
-            return words.joined(WORD.findall(text))
-        return whole.checked([text])[0] or None
-
-    return _side(encode, token_bytes)
+    slow = fast = _checked(lambda t: tokenizer.encode(t, add_special_tokens=False).ids, token_bytes)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if all(model["vocab"].get(m) == 256 + k for k, m in enumerate(merged)) and len(token_bytes) >= 256 + len(merged):
+        ranks = {token_bytes[i]: i for i in range(256 + len(merged))}
+        fast = _checked(tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, token_bytes)
+    return _side(lambda text: fast(text) if PLAIN.fullmatch(text) else slow(text), token_bytes)
 
 
 @functools.lru_cache(maxsize=2)
 def piece_side(path: str) -> Side:
-    """Pieces. No piece has a space behind another character, so runs of spaces with the word after them are tokenized apart."""
+    """Pieces; the model writes the first space of a text by itself."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     token_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-    blank = [model.piece_to_id(SPACE)]  # a space alone is written by the model itself
-    apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-    words = _Ids(lambda ws: [ids if len(w) > 1 else blank for w, ids in zip(ws, model.encode([w[1:] for w in ws], num_threads=1))], token_bytes)
-
-    def encode(text: str) -> bytes | None:
-        if apart and SPACE not in text:
-            return words.joined(SEGMENT.findall(text))
-        return words.checked([text])[0] or None
+    return _side(_checked(lambda text: model.encode(text[1:]), token_bytes), token_bytes)
 
-    return _side(encode, token_bytes)
 
-
-class Window(NamedTuple):
-    """Alignment of one window: its groups as text and number, its links as packed pairs, one for each overlap."""
-
-    groups: str
-    n_groups: int
-    pairs: bytes
+#: Alignment of one window: its groups as text, their number, its links as packed pairs, one for each overlap.
+Window = tuple[str, int, bytes]
 
 
 def align_window(a: list[int], b: list[int], left: Side, right: Side) -> Window:
@@ -147,7 +122,7 @@ def align_window(a: list[int], b: list[int], left: Side, right: Side) -> Window:
         if a_end == b_end:
             groups.append(f"{a_text}|{b_text}")
             if i == last:
-                return Window(";".join(groups), len(groups), array("q", pairs).tobytes())
+                return ";".join(groups), len(groups), array("q", pairs).tobytes()
             i, j = i + 1, j + 1
             x, y = a[i], b[j]
             a_end, b_end, a_text, b_text = a_end + a_sizes[x], b_end + b_sizes[y], a_names[x], b_names[y]
@@ -164,17 +139,26 @@ def align_window(a: list[int], b: list[int], left: Side, right: Side) -> Window:
 class Windows(dict):
     """Alignments by the two id tuples (as bytes); forgets all when it is full."""
 
-    def __init__(self, a: Side, b: Side):
-        self._a, self._b = a, b
+    def __init__(self, left: Side, right: Side):
+        self._sides = left, right
 
-    def __missing__(self, key: tuple[bytes, bytes]) -> Window:
-        a, b = key
-        out = align_window(memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist(), self._a, self._b)
-        if len(a) + len(b) <= 4 * LONGEST_CACHED:  # four bytes an id
+    def of(self, a_raw: bytes, b_raw: bytes, a_cuts: list[int], b_cuts: list[int]) -> list[Window]:
+        """The windows between the cuts (first token numbers, the ends of both sides last)."""
+        a_at, b_at = [4 * x for x in a_cuts], [4 * x for x in b_cuts]
+        keys = [(a_raw[i:j], b_raw[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
+        found = list(map(self.get, keys))
+        if None in found:
             if len(self) >= CACHED_WINDOWS:
                 self.clear()
-            self[key] = out
-        return out
+            left, right = self._sides
+            a, b = memoryview(a_raw).cast("I").tolist(), memoryview(b_raw).cast("I").tolist()
+            for n, (key, w) in enumerate(zip(keys, found)):
+                if w is None and (w := self.get(key)) is None:
+                    w = align_window(a[a_cuts[n] : a_cuts[n + 1]], b[b_cuts[n] : b_cuts[n + 1]], left, right)
+                    if len(key[0]) + len(key[1]) <= 4 * LONGEST_CACHED:  # four bytes an id
+                        self[key] = w
+                found[n] = w
+        return found
 
 
 def anchors(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> tuple[list[int], list[int]]:
@@ -208,10 +192,7 @@ def windows_of(text: str, left: Side, right: Side, cache: Windows) -> tuple[int,
         return 0, 0, []
     a, b = np.frombuffer(a_raw, "<u4"), np.frombuffer(b_raw, "<u4")
     a_cuts, b_cuts = anchors(a, b, left, right)
-    a_ends, b_ends = [4 * x for x in a_cuts[1:]] + [len(a_raw)], [4 * x for x in b_cuts[1:]] + [len(b_raw)]
-    a_begins, b_begins = [0, *a_ends[:-1]], [0, *b_ends[:-1]]
-    found = [cache[a_raw[i:j], b_raw[k:m]] for i, j, k, m in zip(a_begins, a_ends, b_begins, b_ends)]
-    return len(a), len(b), found
+    return len(a), len(b), cache.of(a_raw, b_raw, [*a_cuts, len(a)], [*b_cuts, len(b)])
 
 
 def align_text(text: str | None, left: Side, right: Side, cache: Windows) -> Aligned:
