@@ -40,7 +40,7 @@ UNKNOWN = 0
 ROUNDS = 3
 SMOOTHING = 0.1
 MAX_FIT_DOCS = 20_000
-LONG_WORD = 40
+LONG_WORD = 24  # beyond it, products of piece probabilities could underflow; longer words take a scaled way
 CACHED_WORDS = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +172,24 @@ def _long_word(word: str, v: Vocabulary, p: np.ndarray) -> np.ndarray:
     return scale
 
 
+def _long_counts(word: str, v: Vocabulary, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of one long word and their expected counts in one language, by logarithms."""
+    n = len(word)
+    arcs = []  # by end: first position, piece, log probability
+    for j in range(1, n + 1):
+        found = [(i, v.ids.get(word[i:j], UNKNOWN)) for i in range(max(0, j - v.longest), j)]
+        arcs.append([(i, k, np.log(p[k])) for i, k in found if k or i == j - 1])
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0.0
+    for j in range(1, n + 1):
+        a[j] = np.logaddexp.reduce([a[i] + q for i, _, q in arcs[j - 1]])
+    for j in range(n, 0, -1):
+        for i, _, q in arcs[j - 1]:
+            b[i] = np.logaddexp(b[i], b[j] + q)
+    flat = [(k, a[i] + q + b[j + 1] - a[n]) for j, part in enumerate(arcs) for i, k, q in part]
+    return np.array([k for k, _ in flat]), np.exp([x for _, x in flat])
+
+
 def expected_counts(words: list[str], weight: np.ndarray, v: Vocabulary, p: np.ndarray, language: np.ndarray) -> np.ndarray:
     """Expected piece counts (pieces, languages) over all segmentations; each word counts for its own language."""
     out, n_lang = np.zeros(p.shape), p.shape[1]
@@ -180,7 +198,10 @@ def expected_counts(words: list[str], weight: np.ndarray, v: Vocabulary, p: np.n
         by_length.setdefault(len(w), []).append(k)
     for length, all_ks in by_length.items():
         if length > LONG_WORD:
-            continue  # a bounded share of the fit only; scoring reads words of every length
+            for k in all_ks:
+                ids, share = _long_counts(words[k], v, p[:, language[k]])
+                np.add.at(out[:, language[k]], ids, weight[k] * share)
+            continue
         for at in range(0, len(all_ks), 20_000):
             ks = np.array(all_ks[at : at + 20_000])
             spans = lattice([words[k] for k in ks], v)
@@ -207,7 +228,11 @@ class Languages:
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters (Unicode category L). The pattern also takes number signs such as ½ or Ⅷ, which then part words."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def training_words(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> DataFrame:
@@ -215,7 +240,6 @@ def training_words(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> DataFra
     learn = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     share = min(1.0, max_fit_docs / max(1, learn.count()))
     sample = learn.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # Java's class of letters is that of LETTERS but for rare signs; only the fit sees the difference.
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     return sample.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,7 +5,7 @@ word; each position gets its matching statistic, the longest run of words ending
 occurs in some template. Maximal runs of at least ``MIN_MATCH`` words (or a whole shorter template) are
 chained per template, forward in both texts and with gaps of at most ``MAX_GAP`` words; a
 chain covers the template words of its runs. A template is found where a chain covers at least
-``MIN_COVER`` of it; the score of a file is the best cover of any template.
+``MIN_COVER`` of it; the score of a file is the best cover of any notice (base phrases left out).
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Base phrases are
 found wherever their words stand consecutively; their labels always hold, those of templates
@@ -149,7 +149,8 @@ class Scanner:
             nonlocal best
             chain = open_.pop(t)
             cover = chain[3] / len(self.all[t][1])
-            best = max(best, cover)
+            if t >= len(self.base):  # a base phrase is a sign of its own and says nothing about a notice
+                best = max(best, cover)
             if cover >= MIN_COVER:
                 spans.append(Span(self.all[t][0], chain[0], chain[1], cover))
 

@@ -43,7 +43,7 @@ def test_templates_with_small_changes_are_found():
 
 
 def test_digest_on_odd_texts(docs):
-    rows = [(1, None), (2, ""), (3, "All rights\nreserved. CC-BY, all RIGHTS reserved"), (None, "GNU General Public License"), (5, "x " * 50_000), (6, "É CC BY"), (6, "É CC BY")]
+    rows = [(1, None), (2, ""), (3, "All rights\nreserved. CC-BY, all RIGHTS reserved"), (None, "GNU General Public License"), (5, "x " * 50_000), (6, "É CC BY"), (6, "É CC BY"), (7, "This is released under the MIT license. All rights reserved")]
     got = L.scan(docs(rows, "labels spans")).collect()
     for (i, t), r in zip(rows, got):
         words = re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
@@ -51,4 +51,5 @@ def test_digest_on_odd_texts(docs):
         assert (r.doc_id, r.n_words, r.n_base) == (i, len(words), len(starts))
         assert (r.first_word, r.last_word) == (min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted(labels)) and labels <= set(r.labels.split(","))
-    assert got[0].score == 0 and got[2].score == 1 and L.scan(docs([])).collect() == []
+    # Base phrases are labels of their own; only a notice gives a score.
+    assert got[0].score == got[2].score == 0 and got[7].score == 1 and got[7].labels == "mit,reserved" and L.scan(docs([])).collect() == []
