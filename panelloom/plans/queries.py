@@ -477,14 +477,27 @@ def _(t: Tables):
 
 
 @query(
-    "save_and_read_run", "S20 J13",
-    "SELECT model, portfolio, count(*) AS n, count(ret) AS n_ret, sum(ret) AS total FROM series GROUP BY 1, 2", "series", "total", 6,
+    "save_and_read_run", "S20",
+    """SELECT 'forecasts' AS part, model, NULL::VARCHAR AS portfolio, mi, id, score AS value FROM scores
+       UNION ALL SELECT 'portfolio_returns', model, portfolio, mi, NULL, ret FROM series
+       UNION ALL SELECT 'cumulative_returns', model, portfolio, mi, NULL, product(1 + coalesce(ret, 0)) OVER (PARTITION BY model, portfolio ORDER BY mi) FROM series
+       UNION ALL SELECT 'performance', model, portfolio, NULL, NULL, avg(ret) FROM held GROUP BY model, portfolio""",
+    "series held scores", "value", 6,
 )
 def _(t: Tables):
     root = new_path(t.spark, "run")
     RS.save_run(root, t.scores, t.series, PF.equity_curve(t.series), PF.performance(t.series))
-    back = t.spark.read.parquet(f"{root}/portfolio_returns")
-    return back.groupBy("model", "portfolio").agg(F.count(F.lit(1)).alias("n"), F.count("ret").alias("n_ret"), F.sum("ret").alias("total"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    read = lambda name: t.spark.read.parquet(f"{root}/{name}")
+    part = lambda df, name, *cols: df.select(F.lit(name).alias("part"), "model", *cols)
+    value = lambda c: F.col(c).alias("value")
+    performance = t.spark.read.schema("model string, portfolio string, mean_return double").json(f"{root}/performance")
+    return (
+        part(read("forecasts"), "forecasts", null("string", "portfolio"), "mi", "id", value("score"))
+        .unionByName(part(read("portfolio_returns"), "portfolio_returns", "portfolio", "mi", null("long", "id"), value("ret")))
+        .unionByName(part(read("cumulative_returns"), "cumulative_returns", "portfolio", "mi", null("long", "id"), value("value")))
+        .unionByName(part(performance, "performance", "portfolio", null("int", "mi"), null("long", "id"), value("mean_return")))
+    )
 
 
 @query("save_and_read_csv", "S21", "SELECT model, portfolio, mi, ret FROM series", "series", "ret")
@@ -741,23 +754,29 @@ def _(t: Tables):
 
 @query(
     "scaled_features", "X15",
-    "SELECT id, mi, (cr1 - avg(cr1) OVER ()) / stddev_pop(cr1) OVER () AS cr1, (cr12 - avg(cr12) OVER ()) / stddev_pop(cr12) OVER () AS cr12 FROM samples",
-    "samples", "cr1 cr12", 7,
+    "SELECT id, mi, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in FT.feature_names()) + " FROM samples",
+    "samples", CR, 7,
 )
 def _(t: Tables):
-    sc = L.fit_scaler(t.samples, "standard", ["cr1", "cr12"])
-    return sc.transform(t.samples).select("id", "mi", "cr1", "cr12")
+    return L.fit_scaler(t.samples, "standard").transform(t.samples).select("id", "mi", *FT.feature_names())
 
 
 @query(
     "minmax_features", "X15",
-    "SELECT id, mi, (cr1 - min(cr1) OVER ()) / (max(cr1) OVER () - min(cr1) OVER ()) AS cr1, cr12 FROM samples",
-    "samples", "cr1 cr12", 7,
+    "SELECT id, mi, " + ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in FT.feature_names()) + " FROM samples",
+    "samples", CR, 7,
 )
 def _(t: Tables):
-    a = L.fit_scaler(t.samples, "minmax", ["cr1"])
-    b = L.fit_scaler(t.samples, "minmax", ["cr12"])
-    return b.inverse(b.transform(a.transform(t.samples))).select("id", "mi", "cr1", "cr12")
+    return L.fit_scaler(t.samples, "minmax").transform(t.samples).select("id", "mi", *FT.feature_names())
+
+
+@query("features_scaled_back", "X15", f"SELECT id, mi, {CR_LIST} FROM samples", "samples", CR, 7)
+def _(t: Tables):
+    out = t.samples
+    for method in ("minmax", "standard"):
+        scaler = L.fit_scaler(out, method)
+        out = scaler.inverse(scaler.transform(out))
+    return out.select("id", "mi", *FT.feature_names())
 
 
 @query("exchange_codes", "X14", "SELECT exch, CASE exch WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS code, count(*) AS n FROM panel GROUP BY 1, 2", "panel")
@@ -825,31 +844,38 @@ def _(t: Tables):
     return S.largest_names(t.candidates, 40).select("mi", "id", "cap_prev", "size_rank")
 
 
+def _legs(n: int, keys: str = "model, mi", where: str = "") -> str:
+    """All portfolios of ``r`` and the difference of the last and the first."""
+    leg = lambda c, q: f"max({c}) FILTER (WHERE portfolio = '{q}')"
+    return f""" SELECT * REPLACE (round(ret, 8) AS ret) FROM (SELECT {keys}, portfolio, ret, n_names FROM r UNION ALL
+      SELECT {keys}, 'long_short' AS portfolio, {leg('ret', n)} - {leg('ret', 1)} AS ret, {leg('n_names', n)} + {leg('n_names', 1)} AS n_names FROM r GROUP BY {keys}) {where}"""
+
+
 @query(
     "top_n_deciles", "A11 T1",
     """, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mi ORDER BY cap_prev DESC, id) AS rn FROM cand WHERE eligible AND cap_prev IS NOT NULL) WHERE rn <= 50),
        p AS (SELECT s.model, s.mi, s.id, s.score, u.cap_prev, u.ret FROM u JOIN scores s USING (mi, id) WHERE ret IS NOT NULL),
        x AS (SELECT model, mi, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS b, count(*) AS n FROM p GROUP BY 1, 2),
-       y AS (SELECT p.*, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM p JOIN x USING (model, mi) WHERE n >= 10)
-       SELECT model, q::VARCHAR AS portfolio, mi, round(sum(ret * cap_prev) / sum(cap_prev), 8) AS ret, count(*) AS n_names FROM y GROUP BY ALL""",
+       y AS (SELECT p.*, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM p JOIN x USING (model, mi) WHERE n >= 10),
+       r AS (SELECT model, q::VARCHAR AS portfolio, mi, sum(ret * cap_prev) / sum(cap_prev) AS ret, count(*) AS n_names FROM y GROUP BY ALL)""" + _legs(10, where="WHERE ret IS NOT NULL"),
     "cand scores",
 )
 def _(t: Tables):
     s = S.quantile_sort(t.candidates, t.scores, 10, top=50)
-    out = S.portfolio_returns(s, long_short=False).filter("n_names > 0")
+    out = S.portfolio_returns(s).filter("ret IS NOT NULL")
     return out.select("model", "portfolio", "mi", F.round("ret", 8).alias("ret"), "n_names")
 
 
 @query(
     "equal_weighted_sort", "A12 A9 A43",
     """, x AS (SELECT model, mi, quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS b, count(*) AS n FROM scores WHERE mi IN (SELECT mi FROM panel) GROUP BY 1, 2),
-       y AS (SELECT s.*, p.ret, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM scores s JOIN x USING (model, mi) LEFT JOIN panel p ON p.mi = s.mi AND p.id = s.id WHERE n >= 5)
-       SELECT model, q::VARCHAR AS portfolio, mi, round(avg(ret), 8) AS ret, count(ret) AS n_names FROM y GROUP BY ALL""",
+       y AS (SELECT s.*, p.ret, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM scores s JOIN x USING (model, mi) LEFT JOIN panel p ON p.mi = s.mi AND p.id = s.id WHERE n >= 5),
+       r AS (SELECT model, q::VARCHAR AS portfolio, mi, avg(ret) AS ret, count(ret) AS n_names FROM y GROUP BY ALL)""" + _legs(5),
     "scores panel",
 )
 def _(t: Tables):
     out = S.simple_sort(t.scores, t.panel.select("mi", "id", "ret"), 5, "equal")
-    return out.filter(F.col("portfolio") != "long_short").select("model", "portfolio", "mi", F.round("ret", 8).alias("ret"), "n_names")
+    return out.select("model", "portfolio", "mi", F.round("ret", 8).alias("ret"), "n_names")
 
 
 @query(
@@ -857,15 +883,15 @@ def _(t: Tables):
     """, k AS (SELECT c.mi, c.id, ret, CASE WHEN mi % 3 = 0 OR id % 4 = 1 THEN NULL ELSE cap_prev END AS cap, exch FROM cand c WHERE listed),
        x AS (SELECT model, s.mi, quantile_cont(score, [0.25, 0.5, 0.75]) FILTER (WHERE exch = 'N') AS b, count(*) FILTER (WHERE exch = 'N') AS n
              FROM scores s LEFT JOIN k USING (mi, id) WHERE s.mi IN (SELECT mi FROM k) GROUP BY 1, 2),
-       y AS (SELECT s.model, s.mi, k.ret, k.cap, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM scores s JOIN x USING (model, mi) LEFT JOIN k ON k.mi = s.mi AND k.id = s.id WHERE n >= 4)
-       SELECT model, q::VARCHAR AS portfolio, mi, round(coalesce(sum(ret * cap) / sum(CASE WHEN ret IS NOT NULL THEN cap END), avg(ret)), 8) AS ret, count(ret) AS n_names FROM y GROUP BY ALL""",
+       y AS (SELECT s.model, s.mi, k.ret, k.cap, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM scores s JOIN x USING (model, mi) LEFT JOIN k ON k.mi = s.mi AND k.id = s.id WHERE n >= 4),
+       r AS (SELECT model, q::VARCHAR AS portfolio, mi, coalesce(sum(ret * cap) / sum(CASE WHEN ret IS NOT NULL THEN cap END), avg(ret)) AS ret, count(ret) AS n_names FROM y GROUP BY ALL)""" + _legs(4),
     "scores cand",
 )
 def _(t: Tables):
     gone = (F.col("mi") % 3 == 0) | (F.col("id") % 4 == 1)
     r = t.candidates.filter("listed").select("mi", "id", "ret", F.when(~gone, F.col("cap_prev")).alias("cap_prev"), "exch")
     out = S.simple_sort(t.scores, r, 4, "value", exchange_breakpoints="N")
-    return out.filter(F.col("portfolio") != "long_short").select("model", "portfolio", "mi", F.round("ret", 8).alias("ret"), "n_names")
+    return out.select("model", "portfolio", "mi", F.round("ret", 8).alias("ret"), "n_names")
 
 
 @query(
@@ -874,13 +900,13 @@ def _(t: Tables):
        p AS (SELECT s.model, s.mi, s.id, s.score, k.cap_prev, k.ret, k.exch FROM cand k JOIN cut USING (mi) JOIN scores s USING (mi, id)
              WHERE k.cap_prev > c AND eligible AND k.ret IS NOT NULL),
        x AS (SELECT model, mi, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FILTER (WHERE exch = 'N') AS b, count(*) FILTER (WHERE exch = 'N') AS n FROM p GROUP BY 1, 2),
-       y AS (SELECT p.*, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM p JOIN x USING (model, mi) WHERE n >= 10)
-       SELECT model, q::VARCHAR AS portfolio, mi, round(sum(ret * cap_prev) / sum(cap_prev), 8) AS ret, count(*) AS n_names FROM y GROUP BY ALL""",
+       y AS (SELECT p.*, 1 + len(list_filter(b, lambda z: score > z)) AS q FROM p JOIN x USING (model, mi) WHERE n >= 10),
+       r AS (SELECT model, q::VARCHAR AS portfolio, mi, sum(ret * cap_prev) / sum(cap_prev) AS ret, count(*) AS n_names FROM y GROUP BY ALL)""" + _legs(10, where="WHERE ret IS NOT NULL"),
     "cand scores",
 )
 def _(t: Tables):
     s = S.quantile_sort(S.size_screen(t.candidates, 0.2), t.scores, 10, exchange_breakpoints="N")
-    out = S.portfolio_returns(s, long_short=False).filter("n_names > 0")
+    out = S.portfolio_returns(s).filter("ret IS NOT NULL")
     return out.select("model", "portfolio", "mi", F.round("ret", 8).alias("ret"), "n_names")
 
 
@@ -902,13 +928,13 @@ _BIV = """, p0 AS (SELECT s.model, s.mi, s.id, s.score, c.cap_prev, c.ret, f.cr6
 @query(
     "bivariate_sort", "A15",
     _BIV + """, x2 AS (SELECT model, mi, q1, quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS b, count(*) AS n FROM y1 GROUP BY 1, 2, 3),
-       y2 AS (SELECT y1.*, 1 + len(list_filter(b, lambda z: score > z)) AS q2 FROM y1 JOIN x2 USING (model, mi, q1) WHERE n >= 5)
-       SELECT model, mi, q1, q2::VARCHAR AS portfolio, round(sum(ret * cap_prev) / sum(cap_prev), 8) AS ret, count(*) AS n_names FROM y2 GROUP BY ALL""",
+       y2 AS (SELECT y1.*, 1 + len(list_filter(b, lambda z: score > z)) AS q2 FROM y1 JOIN x2 USING (model, mi, q1) WHERE n >= 5),
+       r AS (SELECT model, mi, q1, q2::VARCHAR AS portfolio, sum(ret * cap_prev) / sum(cap_prev) AS ret, count(*) AS n_names FROM y2 GROUP BY ALL)""" + _legs(5, "model, mi, q1"),
     "scores cand feat",
 )
 def _(t: Tables):
     out = S.bivariate_sort(_nested_pool(t), "cap_prev", 4, 5)
-    return out.filter(F.col("portfolio") != "long_short").select("model", "mi", F.col("q1").cast("long").alias("q1"), "portfolio", F.round("ret", 8).alias("ret"), "n_names")
+    return out.select("model", "mi", F.col("q1").cast("long").alias("q1"), "portfolio", F.round("ret", 8).alias("ret"), "n_names")
 
 
 @query(
@@ -916,13 +942,13 @@ def _(t: Tables):
     _BIV + """, x2 AS (SELECT model, mi, q1, quantile_cont(cr6, [0.5]) AS b, count(*) AS n FROM y1 GROUP BY 1, 2, 3),
        y2 AS (SELECT y1.*, 1 + len(list_filter(b, lambda z: cr6 > z)) AS q2 FROM y1 JOIN x2 USING (model, mi, q1) WHERE n >= 2),
        x3 AS (SELECT model, mi, q1, q2, quantile_cont(score, [1/3, 2/3]) AS b, count(*) AS n FROM y2 GROUP BY 1, 2, 3, 4),
-       y3 AS (SELECT y2.*, 1 + len(list_filter(b, lambda z: score > z)) AS q3 FROM y2 JOIN x3 USING (model, mi, q1, q2) WHERE n >= 3)
-       SELECT model, mi, q1, q2, q3::VARCHAR AS portfolio, round(sum(ret * cap_prev) / sum(cap_prev), 8) AS ret, count(*) AS n_names FROM y3 GROUP BY ALL""",
+       y3 AS (SELECT y2.*, 1 + len(list_filter(b, lambda z: score > z)) AS q3 FROM y2 JOIN x3 USING (model, mi, q1, q2) WHERE n >= 3),
+       r AS (SELECT model, mi, q1, q2, q3::VARCHAR AS portfolio, sum(ret * cap_prev) / sum(cap_prev) AS ret, count(*) AS n_names FROM y3 GROUP BY ALL)""" + _legs(3, "model, mi, q1, q2"),
     "scores cand feat",
 )
 def _(t: Tables):
     out = S.trivariate_sort(_nested_pool(t), "cap_prev", "cr6", 4, 2, 3)
-    return out.filter(F.col("portfolio") != "long_short").select(
+    return out.select(
         "model", "mi", F.col("q1").cast("long").alias("q1"), F.col("q2").cast("long").alias("q2"), "portfolio", F.round("ret", 8).alias("ret"), "n_names"
     )
 
