@@ -68,6 +68,7 @@ def read_days(
             "_block": F.col("_metadata.file_block_start"),
             "_row": F.monotonically_increasing_id(),
         })
+        .filter(F.col("_file_date").between(F.lit(start), F.lit(end)))
     )
     if map_ticker:
         raw = raw.join(mapped_codes(raw.select("wind_code"), map_ticker), "wind_code")
@@ -75,8 +76,7 @@ def read_days(
     to_ticker = to_ticker or (lambda c: strip_exchange_suffix(c, market["letters"]))
     date = C.lenient_date(market["date"]) if market["date"] else F.col("_file_date")
     rows = (
-        raw.filter(F.col("_file_date").between(F.lit(start), F.lit(end)))
-        .select(
+        raw.select(
             date.alias("date"),
             to_ticker(F.col("wind_code")).alias("id"),
             nan_to_null(F.col(market["close"]).try_cast(T.DoubleType())).alias("close"),
@@ -111,7 +111,8 @@ def day_files(
 ) -> DataFrame:
     """Every day file of the period as one row: path, file_date, status, and its lines as (date, wind_code, close) texts.
 
-    A damaged file does not stop the job. Status: ``ok``; ``empty`` (no line); ``undecodable`` (bytes
+    A damaged file does not stop the job. Status: ``ok``; ``empty`` (no line; Spark's readers do not
+    see files of zero bytes, which have no row here); ``undecodable`` (bytes
     of a binary file: NUL); ``truncated`` (the header lacks a needed column, or no line follows it).
     Columns are found by each file's own header, so their order may differ between files. A file is
     read whole; it holds the constituents of one index on one day.

@@ -143,3 +143,47 @@ def test_dataset_store(spark):
     assert store.clear()
     with pytest.raises(ValueError):
         RS.read_source(spark, "nothing")
+
+
+def test_damaged_day_files_are_listed_and_the_others_read(spark, day_folder):
+    from pathlib import Path
+
+    year = Path(day_folder) / "2011"
+    (year / "20110601.csv").write_bytes(b"date,wind_co")
+    (year / "20110602.csv").write_bytes(b"PK\x03\x04\x00\x00\x00\xff\xfe")
+    (year / "20110603.csv").write_bytes(b"\n \n")
+    (year / "20110606.csv").write_bytes(b"date,wind_code,sec_name,CLOSE\n")
+    # columns in another order, and a last line that breaks off
+    (year / "20110607.csv").write_bytes(b'CLOSE,date,sec_name,wind_code\r\n7.5,2011-06-07,"a, ""b""",AAPL.O\r\n8.5,2011-06-07,x')
+    rows, skipped = CO.tolerant_days(spark, day_folder, "2011-01-01", "2011-12-31")
+    assert {(r.file_date.isoformat(), r.status) for r in skipped.collect()} == {
+        ("2011-06-01", "truncated"), ("2011-06-02", "undecodable"), ("2011-06-03", "empty"), ("2011-06-06", "truncated"),
+    }
+    got = {(r.date.isoformat(), r.id): r.close for r in rows.collect()}
+    assert got == {("2011-04-28", "AAPL"): 10.0, ("2011-04-28", "BRK-B"): 5.0, ("2011-04-29", "AAPL"): 12.0,
+                   ("2011-05-31", "AAPL"): 24.0, ("2011-05-31", "NONE"): None, ("2011-06-07", "AAPL"): 7.5}
+
+
+def test_a_python_function_maps_each_code_once(spark, day_folder):
+    calls = spark.sparkContext.accumulator(0)
+
+    def ticker(code):
+        calls.add(1)
+        return None if code.startswith("NONE") else code.split(".")[0].lower()
+
+    d = CO.read_days(spark, day_folder, "2011-01-01", "2012-12-31", map_ticker=ticker).collect()
+    assert {r.id for r in d} == {"aapl", "brk-b"} and calls.value == 3
+    codes = spark.createDataFrame([("a.N",), ("a.N",), (None,)], "wind_code string")
+    assert CO.mapped_codes(codes, str.lower).collect() == [("a.N", "a.n")]
+
+
+def test_wide_tables_in_blocks_take_any_number_of_ids(make):
+    days = [dt.date(2000, m, 1) for m in range(1, 7)]
+    rows = [(f"s{k}", d, float(k * 100 + d.month)) for k in range(40) for d in days if (k + d.month) % 5] + [("gone", days[0], None)]
+    long = make(rows, "id string, date date, price double")
+    wide = RS.wide_blocks(long, "price", ids=7)
+    sizes = wide.selectExpr("block", "date", "cardinality(values) AS n").collect()
+    assert len({r.block for r in sizes}) == 6 and max(r.n for r in sizes) < 40 and len(sizes) > len(days)
+    back = RS.long_blocks(wide, "price").collect()
+    assert sorted((r.id, r.date, r.price) for r in back) == sorted(r for r in rows if r[2] is not None)
+    assert RS.wide_blocks(long.limit(0), "price").collect() == []
