@@ -9,14 +9,14 @@ A conversation is rendered as ``turn*`` with
 and read back by a deterministic parser: cut after each closing string, take the opening string
 off the front and the closing one off the end. A turn that does not come back as it was holds a
 control string; one backslash is then put behind the first character of each such string (and
-of each that already carries backslashes), which reading takes away. Rendering repeats with the
-escaped text, and a conversation that still differs stops the job. Texts without control
+of each that already carries backslashes), which reading takes away. One escape suffices; a turn
+that still differs stops the job. Texts without control
 strings are never changed.
 
 Turns are ordered by (turn, role, text), nulls first. Null role and null text read as empty;
 repeated rows are repeated turns; rows with a null conv_id form one conversation. Extra columns
-are ignored, an empty table gives an empty result. A conversation is rendered in blocks of
-``BLOCK_TURNS`` turns before the blocks meet, so a long one is not collected as single turns.
+are ignored, an empty table gives an empty result. Turns meet in blocks of ``BLOCK_TURNS`` turns
+before the blocks of a conversation meet, so a long one is not collected as single turns.
 """
 
 from __future__ import annotations
@@ -84,32 +84,35 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.filter(F.split(formatted, CLOSING), lambda p: p != ""), turn)
 
 
-def formatted_turns(turns: DataFrame) -> DataFrame:
-    """One row per turn (conv_id, turn, role, text): its rendering, escaped only where the plain one does not come back."""
+def checked_turns(turns: DataFrame) -> DataFrame:
+    """One row per turn (conv_id, turn, role, text) and whether it must be escaped: only where the plain rendering does not come back."""
     clean = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    back = lambda rendered: parse(F.col(rendered)) == F.array(F.struct("role", "text"))
-    plain = clean.withColumn("plain", render(F.col("role"), F.col("text"))).withColumn("plain_ok", back("plain"))
-    out = plain.withColumn("rendered", F.when(F.col("plain_ok"), F.col("plain")).otherwise(render(F.col("role"), escape(F.col("text")))))
-    failed = F.raise_error(F.concat(F.lit("a turn does not survive the round trip, conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
-    return out.select("conv_id", "turn", "role", "text", F.when(F.col("plain_ok") | back("rendered"), F.col("rendered")).otherwise(failed).alias("rendered"))
+    back = lambda rendered: parse(rendered) == F.array(F.struct("role", "text"))
+    plain = clean.withColumn("plain_ok", back(render(F.col("role"), F.col("text"))))
+    failed = F.raise_error(F.concat(F.lit("a turn does not survive the round trip, conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("boolean")
+    escaped = F.when(F.col("plain_ok"), F.lit(False)).when(back(render(F.col("role"), escape(F.col("text")))), F.lit(True)).otherwise(failed)
+    return plain.select("conv_id", "turn", "role", "text", escaped.alias("escaped"))
+
+
+def rendered_turn(t: Column) -> Column:
+    return F.when(t["escaped"], render(t["role"], escape(t["text"]))).otherwise(render(t["role"], t["text"]))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, source_sha256 (of the source turns, to compare with what is read back)."""
-    rows = formatted_turns(turns)
+    """One row per conversation: conv_id, formatted, source_sha256 (of the source turns, to compare with what is read back).
+
+    Turns travel as they are, once per exchange, and are rendered when a conversation is whole.
+    """
+    rows = checked_turns(turns)
     block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(2**62)))
-    blocks = rows.groupBy("conv_id", block.alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("t")
-    ).select(
-        "conv_id", "block",
-        F.array_join("t.rendered", "").alias("formatted"),
-        F.array_join(F.transform("t", lambda x: turn_line(x["role"], x["text"])), "").alias("source"),
-    )
-    whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "formatted", "source"))).alias("b"))
+    blocks = rows.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "escaped"))).alias("t"))
+    whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "t"))).alias("b"))
+    whole = whole.select("conv_id", F.flatten("b.t").alias("t"))
     return whole.select(
-        "conv_id", F.array_join("b.formatted", "").alias("formatted"), F.sha2(F.array_join("b.source", ""), 256).alias("source_sha256")
+        "conv_id", F.array_join(F.transform("t", rendered_turn), "").alias("formatted"),
+        F.sha2(F.array_join(F.transform("t", lambda t: turn_line(t["role"], t["text"])), ""), 256).alias("source_sha256"),
     )
 
 
