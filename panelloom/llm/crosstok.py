@@ -5,8 +5,8 @@ Each document is tokenized whole by A (byte-level BPE, over a space and the text
 running sums of token lengths are byte offsets in it. An anchor is an offset where a token of A
 and a token of B both end and the next token of both is marked with a space. Anchors split the
 document into windows of token ids; the alignment of a window (its groups between shared ends,
-its overlapping pairs) follows from the two id tuples alone, so each distinct window is aligned
-once per Python worker and found by these tuples afterwards.
+its overlapping pairs) follows from the two id tuples alone, so a window is aligned when a
+Python worker first meets it (those of a document together) and found by these tuples afterwards.
 
 Counts over the whole table: ``align`` keeps the distinct id pairs of each document with their
 number (written once), ``pair_counts`` adds them up, and ``scored`` looks the sums up again. The
@@ -40,7 +40,7 @@ from panelloom.operators.store import written
 from .packing import BYTE_LETTER, PLAIN
 
 LOOKED_UP = 1 << 16
-CACHED_WINDOWS = 200_000
+CACHED_WINDOWS = 300_000
 LONGEST_CACHED = 64  # tokens of both sides of a window
 # Fixed value: the pre-token rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,13 +53,12 @@ class Side(NamedTuple):
     encode: Callable[[str], bytes | None]
     lengths: np.ndarray
     marked: np.ndarray
-    sizes: list[int]  # lengths, for loops
-    names: list[str]  # ids in decimal
+    names: np.ndarray  # ids in decimal, with a comma and, in the second row, with the mark that ends the side of a group
 
 
-def _side(encode, token_bytes: list[bytes]) -> Side:
-    sizes = [len(b) for b in token_bytes]
-    return Side(encode, np.array(sizes, np.int64), np.array([b[:1] == b" " for b in token_bytes]), sizes, [str(i) for i in range(len(sizes))])
+def _side(encode, token_bytes: list[bytes], mark: str) -> Side:
+    lengths = np.array([len(b) for b in token_bytes], np.int64)
+    return Side(encode, lengths, np.array([b[:1] == b" " for b in token_bytes]), np.array([[f"{i}{m}" for i in range(len(lengths))] for m in (",", mark)], object))
 
 
 def _checked(encode: Callable[[str], list[int]], token_bytes: list[bytes]) -> Callable[[str], bytes | None]:
@@ -92,7 +91,7 @@ def byte_side(path: str) -> Side:
     if all(model["vocab"].get(m) == 256 + k for k, m in enumerate(merged)) and len(token_bytes) >= 256 + len(merged):
         ranks = {token_bytes[i]: i for i in range(256 + len(merged))}
         fast = _checked(tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, token_bytes)
-    return _side(lambda text: fast(text) if PLAIN.fullmatch(text) else slow(text), token_bytes)
+    return _side(lambda text: fast(text) if PLAIN.fullmatch(text) else slow(text), token_bytes, "|")
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,73 +102,69 @@ def piece_side(path: str) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     token_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-    return _side(_checked(lambda text: model.encode(text[1:]), token_bytes), token_bytes)
+    return _side(_checked(lambda text: model.encode(text[1:]), token_bytes), token_bytes, ";")
 
 
 #: Alignment of one window: its groups as text, their number, its links as packed pairs, one for each overlap.
 Window = tuple[str, int, bytes]
 
 
-def align_window(a: list[int], b: list[int], left: Side, right: Side) -> Window:
-    """Both sides are walked by their ends. Each stretch between neighbouring ends of either side lies in one token of A and one of B: a link."""
-    a_sizes, b_sizes, a_names, b_names = left.sizes, right.sizes, left.names, right.names
-    pairs, groups = [], []
-    i = j = 0
-    x, y, last = a[0], b[0], len(a) - 1
-    a_end, b_end, a_text, b_text = a_sizes[x], b_sizes[y], a_names[x], b_names[y]
-    while True:
-        pairs.append(x << 32 | y)
-        if a_end == b_end:
-            groups.append(f"{a_text}|{b_text}")
-            if i == last:
-                return ";".join(groups), len(groups), array("q", pairs).tobytes()
-            i, j = i + 1, j + 1
-            x, y = a[i], b[j]
-            a_end, b_end, a_text, b_text = a_end + a_sizes[x], b_end + b_sizes[y], a_names[x], b_names[y]
-        elif a_end < b_end:
-            i += 1
-            x = a[i]
-            a_end, a_text = a_end + a_sizes[x], f"{a_text},{a_names[x]}"
-        else:
-            j += 1
-            y = b[j]
-            b_end, b_text = b_end + b_sizes[y], f"{b_text},{b_names[y]}"
-
-
 class Windows(dict):
     """Alignments by the two id tuples (as bytes); forgets all when it is full."""
 
     def __init__(self, left: Side, right: Side):
         self._sides = left, right
 
-    def of(self, a_raw: bytes, b_raw: bytes, a_cuts: list[int], b_cuts: list[int]) -> list[Window]:
-        """The windows between the cuts (first token numbers, the ends of both sides last)."""
-        a_at, b_at = [4 * x for x in a_cuts], [4 * x for x in b_cuts]
+    def of(self, a_raw: bytes, b_raw: bytes) -> list[Window]:
+        """The windows of a document, given as the ids of both sides."""
+        left, right = self._sides
+        a, b = np.frombuffer(a_raw, "<u4"), np.frombuffer(b_raw, "<u4")
+        a_ends, b_ends = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
+        a_cuts, b_cuts = anchors(left.marked[a], right.marked[b], a_ends, b_ends)
+        a_at, b_at = (4 * a_cuts).tolist(), (4 * b_cuts).tolist()
         keys = [(a_raw[i:j], b_raw[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
         found = list(map(self.get, keys))
         if None in found:
             if len(self) >= CACHED_WINDOWS:
                 self.clear()
-            left, right = self._sides
-            a, b = memoryview(a_raw).cast("I").tolist(), memoryview(b_raw).cast("I").tolist()
-            for n, (key, w) in enumerate(zip(keys, found)):
-                if w is None and (w := self.get(key)) is None:
-                    w = align_window(a[a_cuts[n] : a_cuts[n + 1]], b[b_cuts[n] : b_cuts[n + 1]], left, right)
-                    if len(key[0]) + len(key[1]) <= 4 * LONGEST_CACHED:  # four bytes an id
-                        self[key] = w
-                found[n] = w
+            new = [n for n, w in enumerate(found) if w is None]
+            for n, w in zip(new, align_windows(new, a, b, a_ends, b_ends, a_cuts, left, right)):
+                found[n] = w = self.get(keys[n]) or w
+                if len(keys[n][0]) + len(keys[n][1]) <= 4 * LONGEST_CACHED:  # four bytes an id
+                    self[keys[n]] = w
         return found
 
 
-def anchors(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> tuple[list[int], list[int]]:
-    """Token numbers in A and in B at which windows begin, the first one (0, 0) included."""
-    a_starts, b_starts = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
-    a_at, b_at = np.flatnonzero(left.marked[a[1:]]), np.flatnonzero(right.marked[b[1:]])  # token k + 1 begins where token k ends
-    a_offsets, b_offsets = a_starts[a_at], b_starts[b_at]
+def align_windows(wanted: list[int], a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_cuts: np.ndarray, left: Side, right: Side) -> Iterator[Window]:
+    """The wanted windows of a document. Each stretch between neighbouring ends of either side lies in one token of A and one of B: a link."""
+    ends = np.union1d(a_ends, b_ends)
+    in_a, in_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    pairs = (a[in_a].astype(np.int64) << 32 | b[in_b]).tobytes()
+    shared = np.flatnonzero((a_ends[in_a] == ends) & (b_ends[in_b] == ends))  # links that end a group
+    group_ends = ends[shared]
+    a_to, b_to = np.concatenate([[0], in_a[shared] + 1]), np.concatenate([[0], in_b[shared] + 1])  # tokens before each group
+    # Ids in the order of the groups' text, each with the mark that follows it.
+    a_group, b_group = np.searchsorted(group_ends, a_ends), np.searchsorted(group_ends, b_ends)
+    texts = np.empty(len(a) + len(b), object)
+    texts[np.arange(len(a)) + b_to[a_group]] = left.names[(group_ends[a_group] == a_ends).astype(int), a]
+    texts[np.arange(len(b)) + a_to[b_group + 1]] = right.names[(group_ends[b_group] == b_ends).astype(int), b]
+    texts = texts.tolist()
+    window_ends = a_ends[a_cuts[1:] - 1]
+    link_to = [0, *(8 * (np.searchsorted(ends, window_ends) + 1)).tolist()]
+    groups = np.concatenate([[0], np.searchsorted(group_ends, window_ends) + 1])
+    group_to, text_to = groups.tolist(), (a_to + b_to)[groups].tolist()
+    for n in wanted:
+        yield "".join(texts[text_to[n] : text_to[n + 1]])[:-1], group_to[n + 1] - group_to[n], pairs[link_to[n] : link_to[n + 1]]
+
+
+def anchors(a_marked: np.ndarray, b_marked: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers in A and in B at which windows begin: 0, those behind a shared end with a space-marked token next on both sides, and the ends."""
+    a_at, b_at = np.flatnonzero(a_marked[1:]), np.flatnonzero(b_marked[1:])  # token k + 1 begins where token k ends
+    a_offsets, b_offsets = a_ends[a_at], b_ends[b_at]
     place = np.searchsorted(b_offsets, a_offsets)
     place[place == len(b_offsets)] = 0
     both = b_offsets[place] == a_offsets if len(b_offsets) else np.zeros(len(a_offsets), bool)
-    return [0, *(a_at[both] + 1).tolist()], [0, *(b_at[place[both]] + 1).tolist()]
+    return np.concatenate([[0], a_at[both] + 1, [len(a_ends)]]), np.concatenate([[0], b_at[place[both]] + 1, [len(b_ends)]])
 
 
 class Aligned(NamedTuple):
@@ -190,9 +185,7 @@ def windows_of(text: str, left: Side, right: Side, cache: Windows) -> tuple[int,
     a_raw, b_raw = left.encode(" " + text), right.encode(" " + text)
     if a_raw is None or b_raw is None:
         return 0, 0, []
-    a, b = np.frombuffer(a_raw, "<u4"), np.frombuffer(b_raw, "<u4")
-    a_cuts, b_cuts = anchors(a, b, left, right)
-    return len(a), len(b), cache.of(a_raw, b_raw, [*a_cuts, len(a)], [*b_cuts, len(b)])
+    return len(a_raw) // 4, len(b_raw) // 4, cache.of(a_raw, b_raw)
 
 
 def align_text(text: str | None, left: Side, right: Side, cache: Windows) -> Aligned:
