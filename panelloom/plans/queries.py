@@ -480,7 +480,7 @@ def _(t: Tables):
     "save_and_read_run", "S20",
     """SELECT 'forecasts' AS part, model, NULL::VARCHAR AS portfolio, mi, id, score AS value FROM scores
        UNION ALL SELECT 'portfolio_returns', model, portfolio, mi, NULL, ret FROM series
-       UNION ALL SELECT 'cumulative_returns', model, portfolio, mi, NULL, product(1 + coalesce(ret, 0)) OVER (PARTITION BY model, portfolio ORDER BY mi) FROM series
+       UNION ALL SELECT 'cumulative_returns', model, portfolio, mi, NULL, sign(value) * ln(1 + abs(value)) FROM (SELECT *, product(1 + coalesce(ret, 0)) OVER (PARTITION BY model, portfolio ORDER BY mi) AS value FROM series)
        UNION ALL SELECT 'performance', model, portfolio, NULL, NULL, avg(ret) FROM held GROUP BY model, portfolio""",
     "series held scores", "value", 6,
 )
@@ -491,11 +491,12 @@ def _(t: Tables):
     read = lambda name: t.spark.read.parquet(f"{root}/{name}")
     part = lambda df, name, *cols: df.select(F.lit(name).alias("part"), "model", *cols)
     value = lambda c: F.col(c).alias("value")
+    curve = F.signum("value") * F.log1p(F.abs("value"))  # values grow beyond what rounding can compare
     performance = t.spark.read.schema("model string, portfolio string, mean_return double").json(f"{root}/performance")
     return (
         part(read("forecasts"), "forecasts", null("string", "portfolio"), "mi", "id", value("score"))
         .unionByName(part(read("portfolio_returns"), "portfolio_returns", "portfolio", "mi", null("long", "id"), value("ret")))
-        .unionByName(part(read("cumulative_returns"), "cumulative_returns", "portfolio", "mi", null("long", "id"), value("value")))
+        .unionByName(part(read("cumulative_returns"), "cumulative_returns", "portfolio", "mi", null("long", "id"), curve.alias("value")))
         .unionByName(part(performance, "performance", "portfolio", null("int", "mi"), null("long", "id"), value("mean_return")))
     )
 
