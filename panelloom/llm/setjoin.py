@@ -10,13 +10,17 @@ by set size, so a set skips all blocks whose sizes rule a link out, and entries
 leave too few shingles behind them.
 
 Inside a block answers are derived from a similar set's answers. In each round every block names
-one pivot; sets are compared with the pivots of their blocks only, and a set that links with a
-pivot takes over its component, so it needs no comparison with other members. Of the pivots that bucket counts
-allow, a set is compared with the likeliest. Members of
-one component are never compared, so a group of near copies costs a comparison per copy and
-round instead of one per pair. Rounds go on while they link many sets; then all remaining pairs of different components in a block are compared.
+one pivot; a set is compared with one of the pivots of its blocks, the nearest by parity sketch, and a
+set that links with a pivot takes over its component, so it needs no comparison with other members.
+Members of one component are never compared, so a group of near copies costs a comparison per copy and
+round instead of one per pair, and each round's comparisons are at most one per set. Rounds go on while they
+link many sets; then all remaining pairs of different components in a block are compared.
 Every pair that could link is thus compared or already connected: no link is lost.
 
+A parity sketch says of each of ``PARITY_BITS`` cells whether an odd number of a set's shingles falls into it.
+Two sets differ in at least as many shingles as their sketches differ in cells, so a pair whose sketches are too
+far apart is skipped inside the join, before it becomes a row.
+
 Comparisons are exact: both texts meet in one row and their shingle sets are intersected.
 Shingles are compared by 64-bit hashes. Texts move only for sets that share an index entry.
 
@@ -48,6 +52,8 @@ FILTER_BITS = 1 << 25
 BITMAP_BITS = 32_768
 #: Counts of a set's shingles by bucket bound what two sets can share.
 BUCKETS = 32
+#: Cells of the parity sketch, in words of 64.
+PARITY_BITS = 512
 #: Sets per block in which pairs are compared.
 BLOCK_SETS = 256
 MAX_ROUNDS = 24
@@ -73,6 +79,10 @@ class Rule:
     def sizes_can_link(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * F.lit(self.den) >= F.greatest(a, b) * F.lit(self.num)
 
+    def differences_can_link(self, differ: Column, sizes: Column) -> Column:
+        """Sets with ``sizes`` shingles together link only if at most this many of them are in one set alone."""
+        return differ * F.lit(self.num + self.den) <= sizes * F.lit(self.den - self.num)
+
     def positions_can_link(self, m_a: Column, p_a: Column, m_b: Column, p_b: Column) -> Column:
         """At the first shared shingle the sets share at most what is left of the shorter rest."""
         return F.least(m_a - p_a, m_b - p_b) * F.lit(self.num + self.den) >= (m_a + m_b) * F.lit(self.num)
@@ -117,8 +127,20 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: one bit per cell."""
+    odd = np.bincount((tokens >> np.int64(20)) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def cells_apart(a: str, b: str) -> Column:
+    """In how many cells two parity sketches differ: no more than the sets differ in shingles."""
+    words = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY_BITS // 64)]
+    return sum(words[1:], words[0])
+
+
 def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row its set's name, size and bucket counts; at the end of a task its counters (kind 1: doc_id is the cell, m the count)."""
+    """Per row its set's name, size, bucket counts and parity sketch; at the end of a task its counters (kind 1: doc_id is the cell, m the count)."""
     total = np.zeros(SKETCH, np.int64)
     for b in words:
         sets = shingle_sets(b.column("words"), rule.n)
@@ -128,15 +150,16 @@ def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([
             b.column("doc_id"), b.column("h"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
             pa.array([len(t) for t in sets], pa.int64()),
-            pa.array([x.astype(np.int32) for x in buckets], pa.list_(pa.int32())), pa.array(np.zeros(len(sets), np.int32)),
-        ], names=["doc_id", "h", "sid", "m", "buckets", "kind"])
+            pa.array([x.astype(np.int32) for x in buckets], pa.list_(pa.int32())),
+            pa.array([parity(t) for t in sets], pa.list_(pa.int64())), pa.array(np.zeros(len(sets), np.int32)),
+        ], names=["doc_id", "h", "sid", "m", "buckets", "parity", "kind"])
     cells = np.nonzero(total)[0]
     for at in range(0, len(cells), 65_536):
         part = cells[at : at + 65_536]
         yield pa.RecordBatch.from_arrays([
             pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(total[part]),
-            pa.nulls(len(part), pa.list_(pa.int32())), pa.array(np.ones(len(part), np.int32)),
-        ], names=["doc_id", "h", "sid", "m", "buckets", "kind"])
+            pa.nulls(len(part), pa.list_(pa.int32())), pa.nulls(len(part), pa.list_(pa.int64())), pa.array(np.ones(len(part), np.int32)),
+        ], names=["doc_id", "h", "sid", "m", "buckets", "parity", "kind"])
 
 
 def frequency_levels(cells: DataFrame) -> np.ndarray:
@@ -204,13 +227,23 @@ def may_link(pairs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     return rows.where(F.col("bound") * (rule.num + rule.den) >= F.col("sum") * rule.num).withColumn("bound", F.col("bound") / F.col("sum")).drop("sum")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of sets that link. ``sizes`` names a document of each set.
+def pivot_units(pairs: DataFrame) -> DataFrame:
+    """(unit, a, b) of pairs (x, y) with at most one y per x: a unit is a pivot y and some ``BLOCK_SETS`` of its x.
+
+    So the text of x moves once, and that of a pivot once per unit.
+    """
+    counts = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("n"))
+    cut = salted_left_join(pairs, counts, "y", F.col("x"))
+    unit = F.concat_ws(":", "y", F.pmod(F.xxhash64("x"), F.col("n")))
+    return cut.select(unit.alias("unit"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def cluster_units(pairs: DataFrame) -> DataFrame:
+    """(unit, a, b) of any pairs, grouped by clusters (sets connected by pairs).
 
-    Pairs are grouped by clusters (sets connected by pairs), and a cluster is cut into blocks of
-    about ``BLOCK_SETS`` sets. One unit of work holds the texts of two blocks and the pairs between
-    them, so a text moves once per block it is compared with, not once per pair, and no unit grows
-    with its cluster.
+    A cluster is cut into blocks of about ``BLOCK_SETS`` sets. One unit of work holds the pairs
+    between two blocks, so a text moves once per block it is compared with, not once per pair,
+    and no unit grows with its cluster.
     """
     clusters = components(pairs, None)
     counts = clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("n"))
@@ -219,7 +252,12 @@ def compare(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, rule: Rule) ->
     of = lambda side: blocks.select(F.col("sid").alias(side), "comp", F.col("block").alias(f"block_{side}"))
     placed = pairs.select("a", "b").join(of("a"), "a").join(of("b").drop("comp"), "b")
     unit = F.concat_ws(":", "comp", F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
-    placed = written(placed.select(unit.alias("unit"), "a", "b"), "join-units")
+    return placed.select(unit.alias("unit"), "a", "b")
+
+
+def compare(placed: DataFrame, docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of sets that link. ``placed`` says in which unit of work a pair is compared; ``sizes`` names a document of each set."""
+    placed = written(placed, "join-units")
     needed = placed.select("unit", F.explode(F.array("a", "b")).alias("sid")).distinct()
     needed = written(needed.join(sizes.select("sid", "rep", "h"), "sid"), "join-needed")
     texts = keep_listed(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", needed, "rep")
@@ -252,6 +290,9 @@ def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is not None:
         now = now.union(labels).groupBy("sid").agg(F.min("comp").alias("comp"))
     now = written(now, "join-labels")
+    # Labels only fall, so equal sums mean that none did.
+    total = lambda labels: labels.agg(F.sum(F.col("comp").cast("decimal(38,0)")).alias("s")).first()["s"]
+    before = total(now)
     while True:
         seen = both.join(now.select(F.col("sid").alias("b"), "comp"), "b").select(F.col("a").alias("sid"), "comp")
         # The label's own label, and back to the label's owner, so that chains shrink by halves.
@@ -259,17 +300,17 @@ def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
         jumped = now.join(up, "comp").select("sid", F.col("top").alias("comp"))
         hooked = seen.join(now.withColumnRenamed("comp", "own"), "sid").where("comp < own").select(F.col("own").alias("sid"), "comp")
         new = now.union(seen).union(jumped).union(hooked).groupBy("sid").agg(F.min("comp").alias("comp"))
-        new = written(new, "join-labels")
-        changed = new.exceptAll(now).limit(1).count()
-        now = new
-        if not changed:
+        now = written(new, "join-labels")
+        after = total(now)
+        if after == before:
             return now
+        before = after
 
 
 def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, m) of every row, and (sid, comp) of every set that links with another set."""
     first = docs.select("doc_id", F.xxhash64(whole_text()).alias("h"), word_hashes().alias("words")).mapInArrow(
-        partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<int>, kind int"
+        partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<int>, parity array<long>, kind int"
     )
     first = written(first, "join-keys")
     keys = first.where("kind = 0").select("doc_id", "sid", "m")
@@ -286,25 +327,26 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     index = keep_listed(likely, "token", shared, "token").join(shared, "token", "left_semi").distinct()
     index = written(index.withColumn("c", rule.size_class(F.col("m"))), "join-index")
     sizes = first.where("kind = 0 and sid is not null and doc_id is not null").join(index.select("sid").distinct(), "sid", "left_semi")
-    sizes = written(sizes.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("d"), F.min("m").alias("m"), F.min("buckets").alias("buckets")).select("sid", "d.doc_id", "d.h", "m", "buckets").withColumnRenamed("doc_id", "rep"), "join-sizes")
+    sizes = written(sizes.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("d"), F.min("m").alias("m"), F.min("buckets").alias("buckets"), F.min("parity").alias("parity")).select("sid", "d.doc_id", "d.h", "m", "buckets", "parity").withColumnRenamed("doc_id", "rep"), "join-sizes")
+    firsts = index.groupBy("sid").agg(F.min("pos").alias("first"))
+    sizes = written(sizes.join(firsts, "sid"), "join-sizes")
     named_sets = sizes.count()
     labels, tested, last = None, None, False
     for k in range(MAX_ROUNDS + 1):
-        now = index.withColumn("comp", F.col("sid")) if labels is None else (
-            index.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        )
         last = last or k == MAX_ROUNDS
-        pairs = _all_pairs(now, rule) if last else _pivot_pairs(now, rule, k)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = may_link(pairs, sizes, rule)
-        if not last:
-            # One partner per set and round, the likeliest: its component's answers are then the set's own.
-            sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("s"), "bound")
-            best = sides.groupBy("s.x").agg(F.max(F.struct("bound", "s.y")).alias("best")).select("x", "best.y")
-            pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = written(pairs.select("a", "b"), "join-pairs")
-        links = written(compare(pairs, docs, sizes, rule), "join-links")
+        now = _with_components(index, sizes, labels)
+        if last:
+            pairs = _all_pairs(now, rule)
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = written(may_link(pairs, sizes, rule).select("a", "b"), "join-pairs")
+            placed = cluster_units(pairs)
+        else:
+            # One partner per set and round, the nearest: its component's answers are then the set's own.
+            partners = written(_partners(now, tested, rule, k), "join-pairs")
+            pairs = partners.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            placed = pivot_units(partners)
+        links = written(compare(placed, docs, sizes, rule).distinct(), "join-links")
         found = links.count()
         if found:
             labels = components(links, labels)
@@ -315,27 +357,54 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     return keys, labels if labels is not None else docs.sparkSession.createDataFrame([], "sid long, comp long")
 
 
-def _ordered(rows: DataFrame, rule: Rule) -> DataFrame:
-    can = (
+def _with_components(index: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Index entries of sets with their component and sketch."""
+    of = sizes.select("sid", "parity", "first")
+    if labels is not None:
+        of = of.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    else:
+        of = of.withColumn("comp", F.col("sid"))
+    return index.join(of, "sid")
+
+
+def _can_link(rule: Rule) -> Column:
+    return (
         (F.col("comp") != F.col("comp_q")) & rule.sizes_can_link(F.col("m"), F.col("m_q"))
         & rule.positions_can_link(F.col("m"), F.col("pos"), F.col("m_q"), F.col("pos_q"))
+        & rule.differences_can_link(cells_apart("parity", "parity_q"), F.col("m") + F.col("m_q"))
     )
-    return rows.where(can).select(F.least("sid", "sid_q").alias("a"), F.greatest("sid", "sid_q").alias("b")).distinct()
 
 
-def _pivot_pairs(now: DataFrame, rule: Rule, k: int) -> DataFrame:
-    """Each set with the pivots of its own block and of the neighbouring sizes."""
-    pick = F.min(F.struct(F.xxhash64("sid", F.lit(k)), "sid", "m", "pos", "comp"))
+def _partners(now: DataFrame, tested: DataFrame | None, rule: Rule, k: int) -> DataFrame:
+    """(x, y): each set with the nearest pivot of its own blocks and of the neighbouring sizes.
+
+    Even rounds take the most typical set of a block as its pivot, that with the fewest shingles of its own; odd rounds any.
+    """
+    order = F.xxhash64("sid", F.lit(k)) if k % 2 else F.struct(F.col("first"), F.xxhash64("sid", F.lit(k)))
+    pick = F.min(F.struct(order, "sid", "m", "pos", "comp", "parity"))
     pivots = now.groupBy("token", "c").agg(pick.alias("q")).select(
-        "token", F.col("c").alias("c_q"), *[F.col(f"q.{x}").alias(f"{x}_q") for x in ("sid", "m", "pos", "comp")]
+        "token", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"),
+        *[F.col(f"q.{x}").alias(f"{x}_q") for x in ("sid", "m", "pos", "comp", "parity")],
     )
-    return _ordered(now.join(pivots, "token").where("abs(c - c_q) <= 1"), rule)
+    near = now.join(pivots, ["token", "c"]).where(_can_link(rule))
+    near = near.select(F.col("sid").alias("x"), F.col("sid_q").alias("y"), (cells_apart("parity", "parity_q") / (F.col("m") + F.col("m_q"))).alias("far"))
+    if tested is not None:
+        both = tested.select(F.col("a").alias("x"), F.col("b").alias("y")).union(tested.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        near = near.distinct().join(both, ["x", "y"], "left_anti")
+    return near.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select("x", "best.y")
 
 
 def _all_pairs(now: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of different components in blocks of sizes that can link."""
-    other = now.select("token", *[F.col(x).alias(f"{x}_q") for x in ("c", "sid", "m", "pos", "comp")])
-    return _ordered(now.join(other, "token").where("abs(c - c_q) <= 1 and sid < sid_q"), rule)
+    """All pairs (a, b) of different components in blocks of sizes that can link.
+
+    Of two neighbouring size classes the smaller one asks; inside a class the smaller name does.
+    """
+    mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    now = now.join(mixed, "token", "left_semi")
+    asked = now.select("token", "c", *[F.col(x).alias(f"{x}_q") for x in ("sid", "m", "pos", "comp", "parity")])
+    asking = now.withColumnRenamed("c", "own").withColumn("c", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    pairs = asking.join(asked, ["token", "c"]).where((F.col("c") > F.col("own")) | (F.col("sid") < F.col("sid_q"))).where(_can_link(rule))
+    return pairs.select(F.least("sid", "sid_q").alias("a"), F.greatest("sid", "sid_q").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

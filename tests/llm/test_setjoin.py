@@ -112,3 +112,43 @@ def test_keep_one_and_empty(docs):
     want = sorted((i for i, _, c in brute(rows, J.Rule(5, 4, 5)) if i is None or i == c), key=str)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == want
     assert J.classes(docs([])).collect() == [] and J.keep_one(docs([]), J.Rule()).collect() == []
+
+
+def test_parity_sketch_never_exceeds_the_difference(spark):
+    """Sketches differ in at most as many cells as the sets do in shingles; equal sets not at all."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for n, edits in [(3, 1), (200, 15), (200, 60), (5000, 300), (40_000, 900)]:
+        a = np.unique(rng.integers(-(2**62), 2**62, n))
+        b = np.unique(np.concatenate([a[edits:], rng.integers(-(2**62), 2**62, edits)]))
+        rows.append((J.parity(a).tolist(), J.parity(b).tolist(), len(np.setxor1d(a, b))))
+        rows.append((J.parity(a).tolist(), J.parity(a[::-1]).tolist(), 0))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, d long")
+    got = [(r.n, r.d) for r in df.select(J.cells_apart("x", "y").alias("n"), "d").collect()]
+    assert all(n <= d and (n - d) % 2 == 0 for n, d in got)
+    assert got[4][0] > 40  # 120 differing shingles of 400 show in the sketch
+
+
+def test_units_hold_each_pair_once(docs, spark, monkeypatch):
+    """A pivot that a third of all sets turn to is cut into units of bounded size."""
+    monkeypatch.setattr(J, "BLOCK_SETS", 8)
+    pairs = [(k, 1000 if k % 3 == 0 else 1001 + k % 40) for k in range(600)]
+    units = J.pivot_units(spark.createDataFrame(pairs, "x long, y long")).collect()
+    assert sorted((r.a, r.b) for r in units) == sorted(pairs)
+    sizes = {}
+    for r in units:
+        sizes[r.unit] = sizes.get(r.unit, 0) + 1
+    assert max(sizes.values()) < 30
+
+
+def test_sets_of_forty_thousand_shingles(docs):
+    """Very long texts go through the whole join: two near copies link, a third set is too far away."""
+    words = [f"w{k}" for k in range(40_002)]
+    edited = list(words)
+    for k in range(0, 40_000, 100):
+        edited[k] = "x"
+    far = list(words)
+    for k in range(0, 40_000, 20):
+        far[k] = "x"
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(far))]
+    assert answer(docs(rows), J.Rule(3, 9, 10)) == brute(rows, J.Rule(3, 9, 10))
