@@ -135,3 +135,15 @@ def normal_quantile(p: Column | str) -> Column:
         .when(inside & (q < 0), -tail)
         .when(inside, tail)
     )
+
+
+def exact_sum(value: Column | str) -> Column:
+    """Sum of doubles that is the same in every order of the rows.
+
+    Each value is cut into two integers (steps of 2**-14, and of 2**-46 inside a step), which add up
+    exactly; only the total is rounded. Smaller parts of a value do not count.
+    """
+    scaled = _col(value) * float(2**14)
+    whole = F.floor(scaled)
+    part = F.floor((scaled - whole) * float(2**32))
+    return (F.sum(whole).cast("double") + F.sum(part).cast("double") / float(2**32)) / float(2**14)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
+from ..functions.scalars import exact_sum
 from ..operators import features as FT
 from ..operators import panel as P
 from ..operators import sorts as S
@@ -41,7 +42,8 @@ def build_panel(spark: SparkSession, sf: str) -> DataFrame:
             "l_extendedprice",
         )
         .groupBy("id", "date")
-        .agg(F.avg("unit").alias("price"), F.sum("l_extendedprice").alias("mcap"))
+        # Sums that do not depend on the order: equal securities stay equal, on a breakpoint too.
+        .agg(F.try_divide(exact_sum("unit"), F.count("unit")).alias("price"), exact_sum("l_extendedprice").alias("mcap"))
         .withColumn("mi", C.month_index("date"))
     )
     exch = F.when(F.col("region") <= 2, "N").when(F.col("region") == 3, "A").otherwise("Q")

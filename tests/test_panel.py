@@ -1,9 +1,11 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelloom.operators import panel as P
+from panelloom.plans.tables import build_panel
 
 
 def test_month_end_ties_give_one_calendar_row(make):
@@ -89,3 +91,17 @@ def test_missing_rate_counts_as_zero(panel, make):
     p = panel([(1, 5, 0.5), (1, 6, None), (1, 7, 0.5)]).withColumn("date", F.lit(dt.date(2000, 1, 31)))
     rf = make([(5, 0.1)], "mi int, rate double")
     assert [r.ret for r in P.excess_returns(p, rf).orderBy("mi").collect()] == [0.4, None, 0.5]
+
+
+def test_sums_do_not_depend_on_the_order_of_the_rows(spark, tmp_path):
+    # two securities with the same lines in opposite orders
+    lines = [(0.1 + 1000 / k, float(k % 7 + 1)) for k in range(1, 400)]
+    rows = [(s, dt.datetime(1999, 1, 5), *line) for s, part in ((1, lines), (2, lines[::-1])) for line in part]
+    schema = "l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1), (2, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    a, b = build_panel(spark, str(tmp_path)).orderBy("id").collect()
+    assert (a.price, a.mcap) == (b.price, b.mcap)
+    assert a.mcap == pytest.approx(math.fsum(x for x, _ in lines), rel=1e-14)
+    assert a.price == pytest.approx(math.fsum(x / q for x, q in lines) / len(lines), rel=1e-14)
