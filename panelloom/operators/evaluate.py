@@ -38,6 +38,38 @@ def rank_correlation(rows: DataFrame, by: Sequence[str], x: str, y: str, min_row
     )
 
 
+def correlation_with_ranks(rows: DataFrame, by: Sequence[str], x: str, ry: str, min_rows: int = 2) -> DataFrame:
+    """Correlation of the average ranks of ``x`` with ranks ``ry`` that the rows carry already: (by, correlation, n).
+
+    Equal values share their rank, so a value needs only its count and its sums of ``ry``. Values are
+    ranked inside range-partitioned chunks; the sums of a chunk then take the number of rows before it,
+    so no row is joined back.
+    """
+    given = rows.filter(F.col(x).isNotNull() & F.col(ry).isNotNull())
+    r = F.col(ry).cast("double")
+    values = given.groupBy(*by, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.sum(r).alias("_y"), F.sum(r * r).alias("_yy"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(values.repartitionByRange(parts, *by, "_v").withColumn("_part", F.spark_partition_id()), "chunks")
+    inside = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v")) - (F.col("_c") - 1) / 2
+    c, w = F.col("_c").cast("double"), F.col("_w")
+    chunks = placed.withColumn("_w", inside).groupBy(*by, "_part").agg(
+        F.sum("_c").alias("_in"), F.sum(c * w).alias("_sw"), F.sum(c * w * w).alias("_sww"), F.sum(w * F.col("_y")).alias("_swy"),
+        F.sum("_y").alias("_sy"), F.sum("_yy").alias("_syy"),
+    )
+    lower = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    before, n = F.coalesce(F.sum("_in").over(lower), F.lit(0)).cast("double"), F.sum("_in")
+    b = F.col("_b")
+    sx = F.sum(F.col("_sw") + b * F.col("_in"))
+    sxx = F.sum(F.col("_sww") + 2 * b * F.col("_sw") + b * b * F.col("_in"))
+    sxy = F.sum(F.col("_swy") + b * F.col("_sy"))
+    sy, syy = F.sum("_sy"), F.sum("_syy")
+    # One differing rank moves the variance by about 1 / n of the square; less is rounding, and the side is constant.
+    root = lambda total, square: F.sqrt(F.when(total - square > 1e-12 * total, total - square).otherwise(0.0))
+    spread = root(n * sxx, sx * sx) * root(n * syy, sy * sy)
+    out = chunks.withColumn("_b", before).groupBy(*by).agg(F.try_divide(n * sxy - sx * sy, spread).alias("correlation"), n.alias("n"))
+    return out.filter(F.col("n") >= min_rows)
+
+
 def monthly_spearman(scores: DataFrame, returns: DataFrame, min_names: int = K.MIN_NAMES) -> DataFrame:
     out = rank_correlation(matched(scores, returns), MONTH, "score", "ret", min_names)
     return out.select(*MONTH, C.month_end("mi").alias("date"), "correlation", "n")

@@ -81,22 +81,26 @@ def target(returns: DataFrame, kind: str = "ret_norm", ret: str = "ret", out: st
     """
     if kind not in TARGETS:
         raise ValueError(f"unknown target {kind!r}; one of {', '.join(TARGETS)}")
+    value = target_value(kind, ret)
     if kind == "ret":
-        return returns.withColumn(out, F.col(ret))
+        return returns.withColumn(out, value)
     if kind in ("ret_std", "ret_norm"):
-        std = F.when(F.col("_std") == 0, 1.0).otherwise(F.col("_std"))
-        centre = F.col("_mean") if kind == "ret_norm" else F.lit(0.0)
-        return (
-            X.with_moments(returns, ["mi"], ret, "_mean", "_std")
-            .withColumn(out, (F.col(ret) - centre) / std)
-            .drop("_mean", "_std")
-        )
-    ranked = X.average_rank(returns, ["mi"], ret, "_rank", "_n")
-    if kind == "ret_rank_norm":
-        value = normal_quantile(F.col("_rank") / (F.col("_n") + 1))
-    else:
-        value = F.col("_rank") / F.col("_n")
-    return ranked.withColumn(out, value).drop("_rank", "_n")
+        return X.with_moments(returns, ["mi"], ret, "_mean", "_std").withColumn(out, value).drop("_mean", "_std")
+    return X.average_rank(returns, ["mi"], ret, "_rank", "_n").withColumn(out, value).drop("_rank", "_n")
+
+
+def target_value(kind: str, ret: str = "ret") -> Column:
+    """The transform, from the month's ``_mean`` and ``_std`` or the row's ``_rank`` among ``_n``."""
+    if kind not in TARGETS:
+        raise ValueError(f"unknown target {kind!r}; one of {', '.join(TARGETS)}")
+    std = F.when(F.col("_std") == 0, 1.0).otherwise(F.col("_std"))
+    return {
+        "ret": lambda: F.col(ret),
+        "ret_std": lambda: F.col(ret) / std,
+        "ret_norm": lambda: (F.col(ret) - F.col("_mean")) / std,
+        "ret_rank_norm": lambda: normal_quantile(F.col("_rank") / (F.col("_n") + 1)),
+        "ret_pctl": lambda: F.col("_rank") / F.col("_n"),
+    }[kind]()
 
 
 def feature_samples(
@@ -132,6 +136,26 @@ def feature_samples(
     return out.select("id", "mi", "date", *feature_names(lookback), "target", "excess_ret", "cap_prev")
 
 
+def samples_of_targets(panel: DataFrame, kinds: Sequence[str], period: tuple[str, str], lookback: int = K.LOOKBACK_MONTHS) -> DataFrame:
+    """Samples of a period as ``feature_samples`` gives them, with a column ``t_<kind>`` for each target.
+
+    Features are derived once and returns ranked once. A target looks only at its own month, so months
+    outside the period are left out before the ranks.
+    """
+    inside = C.in_period("mi", *period)
+    out = panel.filter(F.col("ret").isNotNull() & inside).select("id", "mi", "date", "ret")
+    if {"ret_std", "ret_norm"} & set(kinds):
+        out = X.with_moments(out, ["mi"], "ret", "_mean", "_std")
+    if {"ret_rank_norm", "ret_pctl"} & set(kinds):
+        out = X.average_rank(out, ["mi"], "ret", "_rank", "_n")
+    out = out.select("id", "mi", "date", F.col("ret").alias("excess_ret"), *[target_value(k).alias(f"t_{k}") for k in kinds])
+    feats = lagged_features(panel.select("id", "mi", "ret"), lookback).filter(inside)
+    caps = panel.select("id", (F.col("mi") + 1).alias("mi"), F.when(F.col("mcap") > 0, F.col("mcap")).alias("cap_prev")).filter(inside)
+    names = [*feature_names(lookback), *[f"t_{k}" for k in kinds]]
+    out = feats.join(out, ["id", "mi"]).join(caps, ["id", "mi"], "left").dropna(subset=names)
+    return out.select("id", "mi", "date", *names, "excess_ret", "cap_prev")
+
+
 def eligible_samples(samples: DataFrame, eligible: DataFrame) -> DataFrame:
     return samples.join(eligible.select("mi", "id"), ["mi", "id"], "left_semi").select(*samples.columns)
 
@@ -210,6 +234,13 @@ def fold_sizes(samples: DataFrame, n_folds: int = 5) -> DataFrame:
     )
 
 
+def is_validation(member: int | Column = 0, share: float = K.VALIDATION_SHARE, seed: int = K.SEED, keys: Sequence[str] = ("id", "mi")) -> Column:
+    """Whether the row validates the member, by the MD5 of its key and the member's seed."""
+    # 32 bits of the digest give a uniform number in [0, 1)
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], (F.lit(seed) + member).cast("string"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32) < share
+
+
 def with_split(
     samples: DataFrame,
     member: int | Column = 0,
@@ -224,10 +255,7 @@ def with_split(
     partitioning and in any engine; ``member`` may be a column. Ordered: the newest months that make up the share.
     """
     if not ordered:
-        # 32 bits of the digest give a uniform number in [0, 1)
-        name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], (F.lit(seed) + member).cast("string"))
-        u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
-        return samples.withColumn("is_validation", u < share)
+        return samples.withColumn("is_validation", is_validation(member, share, seed, keys))
     months = samples.groupBy("mi").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(F.lit(0)).orderBy("mi")
     cut = months.select(

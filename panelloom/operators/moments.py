@@ -14,16 +14,19 @@ model without training rows is absent. Rows with a missing feature, target or we
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import calendar as C
-from .evaluate import pooled_evaluation, rank_correlation
-from .features import cv_folds, feature_names, sample_weights, with_split
+from .crosssection import average_rank
+from .evaluate import correlation_with_ranks, pooled_evaluation, rank_correlation
+from .features import cv_folds, feature_names, is_validation, sample_weights, with_split
 from .store import written
 
 N_MEMBERS = 30
@@ -291,47 +294,105 @@ def grid(samples_for, period: tuple[str, str], weightings: Sequence[str] = ("ew"
          n_members: int = N_MEMBERS, **fit_args) -> DataFrame:
     """Held-out rank correlation with the return of every linear configuration.
 
-    All targets are columns and all weightings rows of one table, so that least squares takes a
-    single pass of moments; a pass of reweighting serves all configurations with absolute loss.
+    All targets and weightings are columns of one table, and a task adds up the moments of all
+    configurations, so that least squares takes a single pass; so does each step of reweighting for
+    absolute loss. ``samples_for`` gives the samples of a target, or is one table with a column
+    ``t_<target>`` for each.
     Output: loss, weighting, target, spearman, n_months.
     """
     targets = list(targets)
-    first = samples_for(targets[0])
-    wide = first.withColumnRenamed("target", f"t_{targets[0]}")
-    for kind in targets[1:]:
-        wide = wide.join(samples_for(kind).select("mi", "id", F.col("target").alias(f"t_{kind}")), ["mi", "id"])
+    if isinstance(samples_for, DataFrame):
+        wide = samples_for
+    else:
+        wide = samples_for(targets[0]).withColumnRenamed("target", f"t_{targets[0]}")
+        for kind in targets[1:]:
+            wide = wide.join(samples_for(kind).select("mi", "id", F.col("target").alias(f"t_{kind}")), ["mi", "id"])
     wide = written(wide.filter(C.in_period("mi", *period)), "grid-samples")
-    pool = wide.filter(C.is_fitting_month("mi"))
     cols, names = feature_names(), [f"t_{k}" for k in targets]
-    rows = None
-    for weighting in weightings:
-        part = training_rows(pool, weighting, n_members, targets=names, **fit_args).withColumn("weighting", F.lit(weighting))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = written(rows, "grid-rows")
+    rows = grid_rows(wide.filter(C.is_fitting_month("mi")), weightings, n_members, cols, names, **fit_args)
     keys = ["loss", "weighting", "target", "member"]
-    sums = written(moments(rows, ["weighting", "member"], cols, names), "grid-moments")
-    squared = None
-    for n, kind in enumerate(targets):
-        part = coefficients(sums, ["weighting", "member"], len(cols), n).withColumn("loss", F.lit("mse")).withColumn("target", F.lit(kind))
-        squared = part if squared is None else squared.unionByName(part)
-    squared = written(squared.select(*keys, "coef"), "grid-models")
+
+    def fitted(loss: str, coef: DataFrame | None = None) -> DataFrame:
+        sums = written(grid_moments(rows, weightings, targets, n_members, cols, coef), "grid-moments")
+        return coefficients(sums, keys[1:], len(cols)).withColumn("loss", F.lit(loss)).select(*keys, "coef")
+
+    squared = fitted("mse")
     found = squared if "mse" in losses else None
     if "mae" in losses:
-        value = F.create_map(*[x for k in targets for x in (F.lit(k), F.col(f"t_{k}"))])[F.col("target")]
         coef = squared
         for _ in range(steps - 1):
-            at = rows.join(F.broadcast(coef.drop("loss")), ["weighting", "member"])
-            at = at.withColumn("y", value)
-            at = at.withColumn("w", F.col("w") / F.greatest(F.abs(F.col("y") - linear(F.col("coef"), cols)), F.lit(LEAST_RESIDUAL)))
-            coef = coefficients(moments(at, keys[1:], cols, ["y"]), keys[1:], len(cols)).withColumn("loss", F.lit("mae")).select(*keys, "coef")
+            coef = fitted("mae", coef)
         coef = coef.withColumn("loss", F.lit("mae"))
         found = coef if found is None else found.unionByName(coef)
-    held = wide.filter(~C.is_fitting_month("mi"))
-    scored = written(score(found, held, keys=keys[:3], carry=("excess_ret",)), "grid-scores")
-    monthly = rank_correlation(scored, [*keys[:3], "mi"], "score", "excess_ret", K.MIN_NAMES).filter(F.col("correlation").isNotNull())
+    # The return is the same under every configuration, so it is ranked once, before the scores.
+    held = written(average_rank(wide.filter(~C.is_fitting_month("mi")), ["mi"], "excess_ret", "_ry", "_n").drop("_n"), "grid-held")
+    scored = score(found, held, keys=keys[:3], carry=("_ry",))
+    monthly = correlation_with_ranks(scored, [*keys[:3], "mi"], "score", "_ry", K.MIN_NAMES).filter(F.col("correlation").isNotNull())
     return monthly.groupBy(*keys[:3]).agg(F.avg("correlation").alias("spearman"), F.count(F.lit(1)).alias("n_months"))
 
 
+def grid_rows(pool: DataFrame, weightings: Sequence[str], n_members: int, cols: Sequence[str], names: Sequence[str],
+              validation: float = K.VALIDATION_SHARE, seed: int = K.SEED) -> DataFrame:
+    """One row per training row: ``w`` (a weight per weighting), ``train`` (a flag per member), ``x`` (features), ``y`` (targets)."""
+    rows = pool
+    for w in weightings:
+        rows = sample_weights(rows, w, out=f"_w_{w}")
+    weights = [f"_w_{w}" for w in weightings]
+    rows = rows.select("mi", "id", *weights, *cols, *names).dropna()
+    members = F.transform(F.sequence(F.lit(0), F.lit(n_members - 1)), lambda m: ~is_validation(m, validation, seed))
+    doubles = lambda cs: F.array(*[F.col(f"`{c}`").cast("double") for c in cs])
+    return rows.select(doubles(weights).alias("w"), members.alias("train"), doubles(cols).alias("x"), doubles(names).alias("y"))
+
+
+def grid_moments(rows: DataFrame, weightings: Sequence[str], targets: Sequence[str], n_members: int, cols: Sequence[str],
+                 coef: DataFrame | None = None) -> DataFrame:
+    """Moments of every (weighting, target, member), as ``moments`` gives them for one target.
+
+    A task keeps one sum per configuration and product and sends them once, whatever its number of
+    rows, so no row is repeated or shuffled. With ``coef`` (a row per configuration) a row is weighed by
+    w / max(|residual|, LEAST_RESIDUAL).
+    """
+    k, pairs = len(cols), _pairs(len(cols))
+    left, right = (list(side) for side in zip(*pairs))
+    beta = None
+    if coef is not None:
+        of = {(r["weighting"], r["target"], r["member"]): r["coef"] for r in coef.select("weighting", "target", "member", "coef").collect()}
+        # [target][feature, configuration]; a configuration without a fit keeps NaN, as its NULLs would
+        lost = [float("nan")] * (k + 1)
+        beta = [np.array([of.get((w, t, m)) or lost for w in weightings for m in range(n_members)], np.float64).T for t in targets]
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = len(weightings) * n_members
+        m = np.zeros((len(targets), c, len(pairs)))
+        y = np.zeros((len(targets), c, k + 1))
+        n = np.zeros(n_members, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                column = lambda name, width: part.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)  # noqa: E731,B023
+                train, ws = column("train", n_members).astype(np.float64), column("w", len(weightings))
+                z = np.column_stack([np.ones(part.num_rows), column("x", k)])
+                products, goals = z[:, left] * z[:, right], column("y", len(targets))
+                w = (ws[:, :, None] * train[:, None, :]).reshape(-1, c)
+                n += train.sum(0).astype(np.int64)
+                same = w.T @ products if beta is None else None
+                for t in range(len(targets)):
+                    goal = goals[:, t : t + 1]
+                    own = w if beta is None else w / np.maximum(np.abs(goal - z @ beta[t]), LEAST_RESIDUAL)
+                    m[t] += own.T @ products if same is None else same
+                    y[t] += own.T @ (z * goal)
+        config = [(w, t, j) for t in range(len(targets)) for w in weightings for j in range(n_members)]
+        columns = [pa.array([w for w, _, _ in config]), pa.array([targets[t] for _, t, _ in config]), pa.array([j for _, _, j in config], pa.int32())]
+        columns += [pa.array(col) for col in (*m.reshape(-1, len(pairs)).T, *y.reshape(-1, k + 1).T)]
+        columns.append(pa.array([int(n[j]) for _, _, j in config], pa.int64()))
+        yield pa.RecordBatch.from_arrays(columns, schema.replace(" ", ",").split(",")[::2])
+
+    sums = [*(f"m_{i}_{j}" for i, j in pairs), *(f"y_{i}_0" for i in range(k + 1))]
+    schema = "weighting string,target string,member int," + ",".join(f"{s} double" for s in sums) + ",n_rows long"
+    per_task = rows.mapInArrow(of_batches, schema)
+    return summed(per_task, ["weighting", "target", "member"]).filter(F.col("n_rows") > 0)
+
+
 # ---------------------------------------------------------------- storage
 
 STORED = "model string, member int, coef array<double>, n_rows long, features array<string>"

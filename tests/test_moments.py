@@ -4,8 +4,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from panelloom.operators import evaluate as E
+from panelloom.operators import features as FT
 from panelloom.operators import learn as L
 from panelloom.operators import moments as M
+from panelloom.operators.crosssection import average_rank
 from panelloom.operators.features import feature_names, rescaled_weights, sample_weights, with_split
 from panelloom.operators.store import new_path, written
 
@@ -126,3 +129,55 @@ def test_the_grid_covers_every_linear_configuration(samples):
     kinds = {"ret": 1.0, "ret_pctl": -1.0}
     out = M.grid(lambda k: samples.withColumn("target", F.col("target") * kinds[k]), ("2000-01", "2001-12"), targets=list(kinds), steps=3, n_members=2).collect()
     assert len(out) == 2 * 3 * 2 and all(abs(r.spearman) > 0.8 and (r.spearman > 0) == (r.target == "ret") for r in out)
+
+
+def test_grid_keeps_one_row_per_training_row_and_the_same_moments(samples):
+    kinds = ["ret", "ret_pctl"]
+    pool = samples.withColumns({"t_ret": F.col("target"), "t_ret_pctl": F.col("target") - 2 * F.col("cr3")})
+    cols, names = feature_names(), [f"t_{k}" for k in kinds]
+    rows = M.grid_rows(pool, ("ew", "ewpmvw"), 3, cols, names)
+    assert rows.count() == pool.count()
+    rows = rows.repartition(3)
+    got = M.grid_moments(rows, ("ew", "ewpmvw"), kinds, 3, cols)
+    fits = M.coefficients(got, ["weighting", "target", "member"], 12)
+    again = M.grid_moments(rows, ("ew", "ewpmvw"), kinds, 3, cols, fits)
+    bound = {(r.weighting, r.target, r.member): (r, s) for r in got.collect() for s in again.collect() if (r.weighting, r.target, r.member) == (s.weighting, s.target, s.member)}
+    assert len(bound) == 12
+    coef = fits.select("weighting", "target", "member", "coef")
+    for weighting in ("ew", "ewpmvw"):
+        train = M.training_rows(pool, weighting, 3, targets=names)
+        for n, kind in enumerate(kinds):
+            want = {r.member: r for r in M.moments(train, ["member"], cols, [names[n]]).collect()}
+            own = train.join(coef.filter((F.col("weighting") == weighting) & (F.col("target") == kind)), "member")
+            own = own.withColumn("w", F.col("w") / F.greatest(F.abs(F.col(names[n]) - M.linear(F.col("coef"), cols)), F.lit(M.LEAST_RESIDUAL)))
+            steps = {r.member: r for r in M.moments(own, ["member"], cols, [names[n]]).collect()}
+            for member in range(3):
+                for have, right in zip(bound[weighting, kind, member], (want[member], steps[member])):
+                    assert have.n_rows == right.n_rows
+                    assert all(have[c] == pytest.approx(right[c], rel=1e-7, abs=1e-9) for c in right.asDict() if c[:2] in ("m_", "y_"))
+
+
+def test_samples_of_targets_equal_the_samples_of_each(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, m, None, float(rng.integers(1, 4)), float(rng.integers(-3, 4)) / 10) for i in range(6) for m in range(24000, 24030)]
+    panel = written(spark.createDataFrame(rows, "id long, mi int, date date, mcap double, ret double"), "panel")
+    kinds, period = ["ret", "ret_std", "ret_rank_norm", "ret_pctl"], ("2001-03", "2001-12")
+    got = {(r.id, r.mi): r for r in FT.samples_of_targets(panel, kinds, period).collect()}
+    for kind in kinds:
+        want = [r for r in FT.feature_samples(panel, kind).collect() if 24014 <= r.mi <= 24023]
+        assert len(want) == len(got) == 60
+        for r in want:
+            o = got[r.id, r.mi]
+            assert (o[f"t_{kind}"], o.excess_ret, o.cap_prev, o.cr12) == (r.target, r.excess_ret, r.cap_prev, r.cr12)
+
+
+def test_correlation_with_given_ranks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, k, None if k == 7 else 1.0 if g == "flat" else float(rng.integers(0, 40)), float(rng.integers(0, 30))) for g in ("a", "b", "flat") for k in range(500)]
+    df = written(spark.createDataFrame(rows, "g string, id long, x double, y double"), "pairs")
+    want = {r.g: r for r in E.rank_correlation(df, ["g"], "x", "y").collect()}
+    ranked = average_rank(df.filter("x IS NOT NULL"), ["g"], "y", "ry", "n").drop("n")
+    got = {r.g: r for r in E.correlation_with_ranks(ranked, ["g"], "x", "ry").collect()}
+    assert got["flat"].correlation is None and want["flat"].correlation is None
+    assert {g: r.n for g, r in got.items()} == {g: 499 for g in want}
+    assert all(got[g].correlation == pytest.approx(want[g].correlation, abs=1e-12) for g in "ab")
