@@ -101,10 +101,15 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, rank: str = "rank
 # ---------------------------------------------------------------- quantiles
 
 
-def _quantiles_by_chunks(df, by, value, fractions):
-    """Exact order statistics: count the values per chunk, then look only inside the chunks hit."""
+def _quantiles_by_chunks(df, by, value, fractions, outside=None):
+    """Exact order statistics: count the values per chunk, then look only inside the chunks hit.
+
+    ``outside`` (by, _below, _all): rows of the group below those of ``df``, and all of its rows.
+    """
     counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     placed, offsets = _chunks(counts, by, "_v")
+    if outside is not None:
+        offsets = offsets.join(outside, list(by)).withColumns({"_before": F.col("_before") + F.col("_below"), "_total": F.col("_all")}).drop("_below", "_all")
 
     # every fraction needs the order statistics just below and just above its position
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("f")) for i, f in enumerate(fractions)])
@@ -162,6 +167,44 @@ def quantiles(
     return out.select(*keep, F.col("n_rows").alias(rows))
 
 
+#: Share of a group's values, on either side, in which a median is looked for.
+MEDIAN_BRACKET = 0.01
+
+
+def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str], bracket: float = MEDIAN_BRACKET) -> DataFrame:
+    """(by, _column, breakpoints, n_values): exact medians of many columns, one row per group and column.
+
+    A quantile summary of bounded size gives two values around each median. The values below are counted
+    and only those between are ordered; where a count shows that the median lies elsewhere, all
+    values of that group and column are. ``df`` should be written data with few groups.
+    """
+    around = [F.percentile_approx(F.col(c).cast("double"), [0.5 - bracket, 0.5 + bracket], F.lit(int(4 / bracket))).alias(f"_b{i}") for i, c in enumerate(columns)]
+    bounds = written(df.groupBy(*by).agg(*around), "brackets")
+    rows = df.select(*by, *columns).join(bounds, list(by))
+    v = [F.col(c).cast("double") for c in columns]
+    lo, hi = ([F.get(F.col(f"_b{i}"), F.lit(k)) for i in range(len(columns))] for k in (0, 1))
+    within = [(x >= a) & (x <= b) for x, a, b in zip(v, lo, hi)]
+    counts = rows.groupBy(*by).agg(*[
+        F.struct(F.lit(c).alias("_column"), F.count(F.when(x < a, 1)).alias("_below"), F.count(F.when(w, 1)).alias("_in"), F.count(x).alias("_all")).alias(f"_n{i}")
+        for i, (c, x, a, w) in enumerate(zip(columns, v, lo, within))
+    ])
+    counts = counts.select(*by, F.inline(F.array(*[F.col(f"_n{i}") for i in range(len(columns))]))).filter(F.col("_all") > 0)
+    last = F.col("_all") - 1
+    found = (F.floor(last / 2) >= F.col("_below")) & (F.ceil(last / 2) < F.col("_below") + F.col("_in"))
+    counts = written(counts.withColumn("_found", found), "bracket-counts")
+    keys = [*by, "_column"]
+
+    def values(keep: list[Column]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("_column"), x.alias("_v"), k.alias("_k")) for c, x, k in zip(columns, v, keep)])
+        return rows.select(*by, F.inline(F.filter(cells, lambda s: s["_k"]))).drop("_k")
+
+    out = _quantiles_by_chunks(values(within).join(counts.filter("_found").select(*keys), keys), keys, "_v", [0.5], counts.select(*keys, "_below", "_all"))
+    missed = counts.filter("NOT _found").select(*keys)
+    if missed.isEmpty():
+        return out
+    return out.unionByName(_quantiles_by_chunks(values([x.isNotNull() for x in v]).join(missed, keys), keys, "_v", [0.5]))
+
+
 def breakpoints(df, by, value, n_parts: int, **names) -> DataFrame:
     return quantiles(df, by, value, [k / n_parts for k in range(1, n_parts)], **names)
 

@@ -19,13 +19,12 @@ def characteristic_spreads(pool: DataFrame, characteristics: Mapping[str, tuple[
 
     ``characteristics`` maps a factor name to a column of ``pool`` (mi, ret, cap_prev, ...) and a
     sign: 1 for the upper minus the lower half, -1 for the lower minus the upper half (small minus
-    big, losers minus winners). All medians come from one pass over the written pool.
+    big, losers minus winners). Medians are exact, and only the values near them are ordered.
     """
     columns = sorted({c for c, _ in characteristics.values()})
     pool = written(pool.filter(F.col("ret").isNotNull()).select("mi", "ret", *{"cap_prev", *columns}), "factor_pool")
-    long = pool.select("mi", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s"))
-    medians = X.quantiles(long.select("mi", "s.c", "s.v"), ["mi", "c"], "v", [0.5]).groupBy("mi").agg(
-        *[F.max(F.when(F.col("c") == c, F.col("breakpoints")[0])).alias(f"_med_{c}") for c in columns]
+    medians = X.medians(pool, ["mi"], columns).groupBy("mi").agg(
+        *[F.max(F.when(F.col("_column") == c, F.col("breakpoints")[0])).alias(f"_med_{c}") for c in columns]
     )
     rows = pool.join(written(medians, "medians"), "mi")
 

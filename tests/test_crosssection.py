@@ -83,3 +83,30 @@ def test_top_n_is_exact_with_ties(make):
     want = sorted([r for r in rows if r[0] == 1], key=lambda r: (-r[2], r[1]))[:120]
     assert [(r.id, r.rn) for r in sorted(got, key=lambda r: (r.g, r.rn)) if r.g == 1] == [(w[1], i + 1) for i, w in enumerate(want)]
     assert sum(r.g == 2 for r in got) == 3
+
+
+@pytest.mark.parametrize("bracket", [0.01, 0.2])
+def test_medians_order_only_the_values_near_them(spark, monkeypatch, bracket):
+    rng = np.random.default_rng(5)
+    rows = [(g, None if k % 11 == 0 else float(rng.normal()), float(rng.integers(0, 3)), None) for g in (1, 2) for k in range(4000 + g)] + [(3, 1.5, 2.5, None)]
+    df = written(spark.createDataFrame(rows, "mi int, a double, b double, c double"), "medians")
+    ordered, chunks = [], X._chunks
+
+    def spy(counts, by, value):
+        ordered.append(counts.filter("_column = 'a'").agg(F.sum("_c")).first()[0])
+        return chunks(counts, by, value)
+
+    monkeypatch.setattr(X, "_chunks", spy)
+    got = {(r.mi, r._column): (r.breakpoints[0], r.n_values) for r in X.medians(df, ["mi"], ["a", "b", "c"], bracket).collect()}
+    for g in (1, 2, 3):
+        for i, c in enumerate("ab", 1):
+            values = [r[i] for r in rows if r[0] == g and r[i] is not None]
+            assert got[g, c] == (pytest.approx(float(np.median(values)), abs=1e-15), len(values))
+    assert len(got) == 6
+    assert ordered[0] <= 3 * bracket * 7274 and len(ordered) == 1
+
+
+def test_medians_outside_their_bracket_are_found_among_all_values(spark, monkeypatch):
+    df = written(spark.createDataFrame([(1, float(k)) for k in range(10)], "mi int, a double"), "medians")
+    monkeypatch.setattr(X.F, "percentile_approx", lambda *_: F.array(F.lit(0.0), F.max(F.lit(1.0))))
+    assert X.medians(df, ["mi"], ["a"]).first().breakpoints == [4.5]
