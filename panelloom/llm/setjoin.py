@@ -3,14 +3,16 @@
 Documents become sets of word shingles; two link when their Jaccard similarity reaches
 ``num / den``, compared in whole numbers. The result is each document's connected component.
 
-Identical sets are one set from the start. For the others, shingles are ordered from rare to
-frequent by a counting sketch of the whole corpus, and only the first m - ceil(t m) + 1 of a set
-of size m are indexed: two sets that link share one of them. An index list is cut into blocks
-by set size, so a set skips all blocks whose sizes rule a link out, and entries whose positions
-leave too few shingles behind them.
-
-Inside a block answers are derived from a similar set's answers. In each round every block names
-one pivot; a set is compared with one of the pivots of its blocks, the nearest by parity sketch, and a
+Identical sets are one set from the start. The others meet by signatures. Sets of a size class that link
+differ in at most K shingles, so if the range of the shingle hashes is cut into K + 1 parts, one part
+at least holds the same shingles in both. A set names the content of each of its parts, for its own size
+class and, if it is short enough, for the class below. No frequency of any shingle is needed, and sets that
+share a part share all of its shingles, several as a rule, so boilerplate alone brings few sets together.
+A part without shingles says nothing: E parts more than K + 1 leave each set with at most E empty parts a
+part that does; a set with more empty parts names these too, and such sets meet there.
+
+Among the sets of one signature, a block, answers are derived from a similar set's answers. In each round every
+block names one pivot; a set is compared with one of the pivots of its blocks, the nearest by parity sketch, and a
 set that links with a pivot takes over its component, so it needs no comparison with other members.
 Members of one component are never compared, so a group of near copies costs a comparison per copy and
 round instead of one per pair, and each round's comparisons are at most one per set. Rounds go on while they
@@ -22,7 +24,7 @@ Two sets differ in at least as many shingles as their sketches differ in cells,
 far apart is skipped inside the join, before it becomes a row.
 
 Comparisons are exact: both texts meet in one row and their shingle sets are intersected.
-Shingles are compared by 64-bit hashes. Texts move only for sets that share an index entry.
+Shingles are compared by 64-bit hashes. Texts move only for sets that share a signature.
 
 Null text, and texts without words, have empty sets and link with nothing; texts with fewer words than a shingle
 have one shingle, the whole sequence. A null doc_id is not linked and has a null component.
@@ -31,23 +33,26 @@ Rows that share a doc_id are one document. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators.store import written
 
 from .common import fresh, lower_ascii, salted_left_join, whole_text
 
-#: Counters of the frequency sketch and bits of the filters: fixed sizes, whatever the input.
-SKETCH = 1 << 18
+#: Bits of the filters: a fixed size, whatever the input.
 FILTER_BITS = 1 << 25
 BITMAP_BITS = 32_768
 #: Counts of a set's shingles by bucket bound what two sets can share.
@@ -69,13 +74,6 @@ class Rule:
     num: int = 9
     den: int = 10
 
-    def shared_at_least(self, size: Column) -> Column:
-        return F.ceil(F.lit(self.num) * size / F.lit(self.den))
-
-    def size_class(self, size: Column) -> Column:
-        """Sizes that can link lie in the same or neighbouring classes (a little wider than the ratio, for rounding)."""
-        return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(self.den / self.num)) * 1.0001)).cast("int")
-
     def sizes_can_link(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * F.lit(self.den) >= F.greatest(a, b) * F.lit(self.num)
 
@@ -83,10 +81,6 @@ class Rule:
         """Sets with ``sizes`` shingles together link only if at most this many of them are in one set alone."""
         return differ * F.lit(self.num + self.den) <= sizes * F.lit(self.den - self.num)
 
-    def positions_can_link(self, m_a: Column, p_a: Column, m_b: Column, p_b: Column) -> Column:
-        """At the first shared shingle the sets share at most what is left of the shorter rest."""
-        return F.least(m_a - p_a, m_b - p_b) * F.lit(self.num + self.den) >= (m_a + m_b) * F.lit(self.num)
-
 
 def word_hashes(text: str = "text") -> Column:
     """64-bit hashes of the words of a text, in order."""
@@ -139,64 +133,86 @@ def cells_apart(a: str, b: str) -> Column:
     return sum(words[1:], words[0])
 
 
-def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row its set's name, size, bucket counts and parity sketch; at the end of a task its counters (kind 1: doc_id is the cell, m the count)."""
-    total = np.zeros(SKETCH, np.int64)
-    for b in words:
-        sets = shingle_sets(b.column("words"), rule.n)
-        buckets = [np.bincount((t >> np.int64(40)) & (BUCKETS - 1), minlength=BUCKETS) for t in sets]
-        for t in sets:
-            np.add.at(total, t & (SKETCH - 1), 1)
-        yield pa.RecordBatch.from_arrays([
-            b.column("doc_id"), b.column("h"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
-            pa.array([len(t) for t in sets], pa.int64()),
-            pa.array([x.astype(np.int32) for x in buckets], pa.list_(pa.int32())),
-            pa.array([parity(t) for t in sets], pa.list_(pa.int64())), pa.array(np.zeros(len(sets), np.int32)),
-        ], names=["doc_id", "h", "sid", "m", "buckets", "parity", "kind"])
-    cells = np.nonzero(total)[0]
-    for at in range(0, len(cells), 65_536):
-        part = cells[at : at + 65_536]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(total[part]),
-            pa.nulls(len(part), pa.list_(pa.int32())), pa.nulls(len(part), pa.list_(pa.int64())), pa.array(np.ones(len(part), np.int32)),
-        ], names=["doc_id", "h", "sid", "m", "buckets", "parity", "kind"])
+@functools.lru_cache(maxsize=8)
+def size_classes(rule: Rule, size: int) -> list[int]:
+    """The largest size of each class, up to one that holds ``size``. Sizes that can link lie in one class or in neighbours."""
+    tops = [1]
+    while tops[-1] < size:
+        tops.append(max(tops[-1] + 1, (tops[-1] + 1) * rule.den // rule.num))
+    return tops
 
 
-def frequency_levels(cells: DataFrame) -> np.ndarray:
-    """Level of each sketch counter: 0 up to twice the mean, then quarter octaves. 256 kB, whatever the input."""
-    total = np.zeros(SKETCH)
-    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # one row per counter at most
-        total[r["cell"]] = r["n"]
-    mean = max(1.0, total.mean())
-    return np.clip(np.floor(4 * np.log2(np.maximum(total / mean, 1e-9) / 2)) + 1, 0, 255).astype(np.uint8)
+class Parts(NamedTuple):
+    """How the sets of a size class are cut: where parts begin (and end), the salt of each, how many may be empty."""
 
+    edges: np.ndarray
+    salts: np.ndarray
+    empty: int
 
-INDEX = "token long, sid long, m int, pos int"
 
+@functools.lru_cache(maxsize=1024)
+def parts_of(rule: Rule, least: int, most: int) -> Parts | None:
+    """For pairs whose smaller set has ``least`` to ``most`` shingles; None if only equal sets link.
 
-def index_entries(docs: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
-    """(token, sid, m, pos) of the rarest shingles of each set."""
-    num, den = rule.num, rule.den
-    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("m", pa.int32()), ("pos", pa.int32())])
+    Such a pair differs in at most K = most * (den - num) / num shingles. Of K + 1 + E parts at least E + 1 are
+    equal; E is the number of empty parts to be expected, and three deviations more.
+    """
+    differ = most * (rule.den - rule.num) // rule.num
+    if not differ:
+        return None
+    n = differ + 1
+    for _ in range(20):
+        mean = n * math.exp(-least / n)
+        n = max(n, differ + 1 + (math.ceil(mean + 3 * math.sqrt(mean)) if mean > 0.02 else 0))
+    edges = np.array([(j << 64) // n - (1 << 63) for j in range(n)], np.int64)
+    salts = _mixed(np.arange(n, dtype=np.uint64) + np.uint64(most << 32))
+    return Parts(edges, salts, n - differ - 1)
+
+
+def signatures(tokens: np.ndarray, rule: Rule) -> np.ndarray:
+    """Names of the parts of a set: two sets that link and are not equal have one in common."""
+    m, out = len(tokens), [np.zeros(0, np.int64)]
+    tops = size_classes(rule, 1 << max(1, m - 1).bit_length())
+    own = bisect.bisect_left(tops, m)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.view(np.uint64))])
+    for c in (own, own - 1):
+        # In the class below it meets smaller sets, if they are large enough.
+        if c < 0 or m * rule.num > tops[c] * rule.den or not (parts := parts_of(rule, tops[c - 1] + 1 if c else 1, tops[c])):
+            continue
+        at = np.append(np.searchsorted(tokens, parts.edges), m)
+        names = _mixed(np.diff(sums[at]) + parts.salts)
+        held = at[1:] > at[:-1]
+        out.append((names if len(held) - held.sum() > parts.empty else names[held]).view(np.int64))
+    return np.concatenate(out)
+
+
+def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row its set's name, size, bucket counts, parity sketch and signatures (of equal sets in a task only the first has them)."""
+    seen: set[int] = set()
+    for b in words:
+        sets = shingle_sets(b.column("words"), rule.n)
+        sids = [set_id(t) if len(t) else None for t in sets]
+        names = []
+        for t, sid, doc_id in zip(sets, sids, b.column("doc_id").to_pylist()):
+            new = sid is not None and doc_id is not None and sid not in seen
+            names.append(signatures(t, rule) if new else np.zeros(0, np.int64))
+            if new:
+                seen.add(sid)
+        ends = np.cumsum([0, *map(len, names)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id"), b.column("h"), pa.array(sids, pa.int64()), pa.array([len(t) for t in sets], pa.int64()),
+            pa.array([np.bincount((t >> np.int64(40)) & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32) for t in sets], pa.list_(pa.int32())),
+            pa.array([parity(t) for t in sets], pa.list_(pa.int64())),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *names]))),
+        ], names=["doc_id", "h", "sid", "m", "buckets", "parity", "signatures"])
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            token, sid, m, pos = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
-            for t in shingle_sets(b.column("words"), rule.n):
-                if not len(t):
-                    continue
-                k = len(t) + (-num * len(t) // den) + 1
-                token.append(t[np.argsort(levels[t & (SKETCH - 1)], kind="stable")[:k]])
-                pos.append(np.arange(k, dtype=np.int32))
-                sid.append(set_id(t))
-                m.append(len(t))
-            each = [len(x) for x in pos[1:]]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(token)), pa.array(np.repeat(np.array(sid, np.int64), each)),
-                pa.array(np.repeat(np.array(m, np.int32), each)), pa.array(np.concatenate(pos)),
-            ], schema=schema)
 
-    return docs.select(word_hashes().alias("words")).mapInArrow(entries, INDEX)
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """(token, sid) of the signatures that two sets or more have in common."""
+    all_of = Window.partitionBy("token")
+    named = rows.select(F.explode("signatures").alias("token"), "sid")
+    both = named.withColumn("lo", F.min("sid").over(all_of)).withColumn("hi", F.max("sid").over(all_of))
+    return both.where("lo < hi").select("token", "sid").distinct()
 
 
 def keep_listed(df: DataFrame, column: str, listed: DataFrame, key: str) -> DataFrame:
@@ -310,26 +326,18 @@ def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
 def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, m) of every row, and (sid, comp) of every set that links with another set."""
     first = docs.select("doc_id", F.xxhash64(whole_text()).alias("h"), word_hashes().alias("words")).mapInArrow(
-        partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<int>, parity array<long>, kind int"
+        partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<int>, parity array<long>, signatures array<long>"
     )
     first = written(first, "join-keys")
-    keys = first.where("kind = 0").select("doc_id", "sid", "m")
-    levels = frequency_levels(first.where("kind = 1").select(F.col("doc_id").cast("int").alias("cell"), F.col("m").alias("n")))
-    named = docs.where("doc_id is not null")
-    entries = written(index_entries(named, rule, levels), "join-entries")
-    # A token that two sets share lies in a cell with two entries. Counting small cells first keeps most
-    # entries, whose tokens stand alone, out of the exact grouping.
-    cell = F.pmod("token", F.lit(1 << 31)).cast("int")
-    cells = entries.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    likely = keep_listed(entries.withColumn("cell", cell), "cell", written(cells, "join-cells"), "cell").drop("cell")
-    shared = likely.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
-    shared = written(shared, "join-shared")
-    index = keep_listed(likely, "token", shared, "token").join(shared, "token", "left_semi").distinct()
-    index = written(index.withColumn("c", rule.size_class(F.col("m"))), "join-index")
-    sizes = first.where("kind = 0 and sid is not null and doc_id is not null").join(index.select("sid").distinct(), "sid", "left_semi")
-    sizes = written(sizes.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("d"), F.min("m").alias("m"), F.min("buckets").alias("buckets"), F.min("parity").alias("parity")).select("sid", "d.doc_id", "d.h", "m", "buckets", "parity").withColumnRenamed("doc_id", "rep"), "join-sizes")
-    firsts = index.groupBy("sid").agg(F.min("pos").alias("first"))
-    sizes = written(sizes.join(firsts, "sid"), "join-sizes")
+    keys = first.select("doc_id", "sid", "m")
+    index = written(shared_signatures(first), "join-index")
+    sizes = first.where("sid is not null and doc_id is not null").select("doc_id", "h", "sid", "m", "buckets", "parity")
+    # Sets with many shared signatures are the typical ones.
+    sizes = sizes.join(index.groupBy("sid").agg(F.count(F.lit(1)).alias("shared")), "sid")
+    sizes = sizes.groupBy("sid").agg(
+        F.min(F.struct("doc_id", "h")).alias("d"), *[F.min(c).alias(c) for c in ("m", "buckets", "parity", "shared")]
+    ).select("sid", F.col("d.doc_id").alias("rep"), "d.h", "m", "buckets", "parity", "shared")
+    sizes = written(sizes, "join-sizes")
     named_sets = sizes.count()
     labels, tested, last = None, None, False
     for k in range(MAX_ROUNDS + 1):
@@ -359,7 +367,7 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
 def _with_components(index: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Index entries of sets with their component and sketch."""
-    of = sizes.select("sid", "parity", "first")
+    of = sizes.select("sid", "m", "parity", "shared")
     if labels is not None:
         of = of.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     else:
@@ -370,23 +378,19 @@ def _with_components(index: DataFrame, sizes: DataFrame, labels: DataFrame | Non
 def _can_link(rule: Rule) -> Column:
     return (
         (F.col("comp") != F.col("comp_q")) & rule.sizes_can_link(F.col("m"), F.col("m_q"))
-        & rule.positions_can_link(F.col("m"), F.col("pos"), F.col("m_q"), F.col("pos_q"))
         & rule.differences_can_link(cells_apart("parity", "parity_q"), F.col("m") + F.col("m_q"))
     )
 
 
 def _partners(now: DataFrame, tested: DataFrame | None, rule: Rule, k: int) -> DataFrame:
-    """(x, y): each set with the nearest pivot of its own blocks and of the neighbouring sizes.
+    """(x, y): each set with the nearest pivot of its blocks.
 
-    Even rounds take the most typical set of a block as its pivot, that with the fewest shingles of its own; odd rounds any.
+    Even rounds take the most typical set of a block as its pivot, that with the most shared signatures; odd rounds any.
     """
-    order = F.xxhash64("sid", F.lit(k)) if k % 2 else F.struct(F.col("first"), F.xxhash64("sid", F.lit(k)))
-    pick = F.min(F.struct(order, "sid", "m", "pos", "comp", "parity"))
-    pivots = now.groupBy("token", "c").agg(pick.alias("q")).select(
-        "token", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"),
-        *[F.col(f"q.{x}").alias(f"{x}_q") for x in ("sid", "m", "pos", "comp", "parity")],
-    )
-    near = now.join(pivots, ["token", "c"]).where(_can_link(rule))
+    order = F.xxhash64("sid", F.lit(k)) if k % 2 else F.struct(-F.col("shared"), F.xxhash64("sid", F.lit(k)))
+    pick = F.min(F.struct(order, "sid", "m", "comp", "parity"))
+    pivots = now.groupBy("token").agg(pick.alias("q")).select("token", *[F.col(f"q.{x}").alias(f"{x}_q") for x in ("sid", "m", "comp", "parity")])
+    near = now.join(pivots, "token").where(_can_link(rule))
     near = near.select(F.col("sid").alias("x"), F.col("sid_q").alias("y"), (cells_apart("parity", "parity_q") / (F.col("m") + F.col("m_q"))).alias("far"))
     if tested is not None:
         both = tested.select(F.col("a").alias("x"), F.col("b").alias("y")).union(tested.select(F.col("b").alias("x"), F.col("a").alias("y")))
@@ -395,15 +399,15 @@ def _partners(now: DataFrame, tested: DataFrame | None, rule: Rule, k: int) -> D
 
 
 def _all_pairs(now: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs (a, b) of different components in blocks of sizes that can link.
+    """All pairs (a, b) of different components in a block that can link.
 
-    Of two neighbouring size classes the smaller one asks; inside a class the smaller name does.
+    Sets of the block's largest component do not ask; the others ask these and, by name, each other.
     """
-    mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    now = now.join(mixed, "token", "left_semi")
-    asked = now.select("token", "c", *[F.col(x).alias(f"{x}_q") for x in ("sid", "m", "pos", "comp", "parity")])
-    asking = now.withColumnRenamed("c", "own").withColumn("c", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    pairs = asking.join(asked, ["token", "c"]).where((F.col("c") > F.col("own")) | (F.col("sid") < F.col("sid_q"))).where(_can_link(rule))
+    parts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
+    mixed = parts.agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("top"))
+    asking = now.join(mixed, "token").where("comp <> top")
+    asked = now.select("token", *[F.col(x).alias(f"{x}_q") for x in ("sid", "m", "comp", "parity")])
+    pairs = asking.join(asked, "token").where((F.col("comp_q") == F.col("top")) | (F.col("sid") < F.col("sid_q"))).where(_can_link(rule))
     return pairs.select(F.least("sid", "sid_q").alias("a"), F.greatest("sid", "sid_q").alias("b")).distinct()
 
 

@@ -152,3 +152,56 @@ def test_sets_of_forty_thousand_shingles(docs):
         far[k] = "x"
     rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(far))]
     assert answer(docs(rows), J.Rule(3, 9, 10)) == brute(rows, J.Rule(3, 9, 10))
+
+
+def tokens(rng, n):
+    return np.unique(rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64))
+
+
+@pytest.mark.parametrize("rule", [J.Rule(3, 9, 10), J.Rule(5, 4, 5), J.Rule(2, 1, 2)])
+def test_sets_that_link_share_a_signature(rule):
+    """Sets as far apart as the rule allows, of all small sizes and some large ones, in both directions."""
+    rng = np.random.default_rng(11)
+    for m in [*range(2, 130), 500, 3000]:
+        for _ in range(12):
+            a = tokens(rng, m)
+            gone = rng.integers(0, m // 2 + 1)
+            added = 0
+            while gone and rule.den * (m - gone) < rule.num * m:
+                gone -= 1
+            while rule.den * (m - gone) >= rule.num * (m + added + 1):
+                added += 1
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], tokens(rng, added)]))
+            shared = len(np.intersect1d(a, b))
+            assert rule.den * shared >= rule.num * (len(a) + len(b) - shared)
+            if gone or added:
+                assert set(J.signatures(a, rule).tolist()) & set(J.signatures(b, rule).tolist())
+
+
+def test_sets_with_many_empty_parts_share_a_signature():
+    """All shingles lie in a narrow range, so nearly all parts are empty."""
+    rule, rng = J.Rule(3, 9, 10), np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 2**40, 300))
+    b = np.unique(np.concatenate([a[15:], rng.integers(0, 2**40, 10)]))
+    assert set(J.signatures(a, rule).tolist()) & set(J.signatures(b, rule).tolist())
+
+
+def test_common_passages_alone_give_few_candidates(docs):
+    """Texts that share a third of their words hardly meet (a part may hold shared shingles alone); copies of one set are named once."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(k, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(80)])) for k in range(300)] + [(1000 + k, "one text of some words that is copied") for k in range(50)]
+    rule = J.Rule(3, 9, 10)
+    words = docs(rows).coalesce(1).select("doc_id", J.F.xxhash64("text").alias("h"), J.word_hashes().alias("words"))
+    first = words.mapInArrow(lambda b: J.sketch_rows(rule, b), "doc_id long, h long, sid long, m long, buckets array<int>, parity array<long>, signatures array<long>")
+    assert J.shared_signatures(first).count() < 60
+    assert first.where("doc_id >= 1000 and size(signatures) > 0").count() <= 1
+    assert answer(docs(rows), rule) == brute(rows, rule)
+
+
+def test_largest_component_of_a_block_is_not_paired_with_itself(spark):
+    """Of 60 linked sets and two others in a block only the others ask."""
+    rows = [(1, k, 100, 0 if k < 60 else k, [0] * 8) for k in range(62)]
+    now = spark.createDataFrame(rows, "token long, sid long, m long, comp long, parity array<long>")
+    got = sorted(map(tuple, J._all_pairs(now, J.Rule()).collect()))
+    assert got == sorted([(k, x) for x in (60, 61) for k in range(60)] + [(60, 61)])
