@@ -59,6 +59,8 @@ BITMAP_BITS = 32_768
 BUCKETS = 32
 #: Cells of the parity sketch, in words of 64.
 PARITY_BITS = 512
+#: Rows whose sets are held at once.
+SLICE = 512
 #: Sets per block in which pairs are compared.
 BLOCK_SETS = 256
 MAX_ROUNDS = 24
@@ -98,7 +100,8 @@ def shingle_sets(words: pa.ListArray, n: int) -> list[np.ndarray]:
     """The ascending distinct shingle hashes of each row of word hashes."""
     words = words.fill_null([]) if words.null_count else words
     ends = words.offsets.to_numpy().astype(np.int64)
-    h = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    h = words.values.to_numpy(zero_copy_only=False).view(np.uint64)[ends[0] : ends[-1]]  # a slice holds the values of all
+    ends = ends - ends[0]
     size = len(h) - n + 1
     grams = np.zeros(max(0, size), np.uint64)
     with np.errstate(over="ignore"):
@@ -189,7 +192,8 @@ def signatures(tokens: np.ndarray, rule: Rule) -> np.ndarray:
 def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row its set's name, size, bucket counts, parity sketch and signatures (of equal sets in a task only the first has them)."""
     seen: set[int] = set()
-    for b in words:
+    # Few rows at a time: what is made of them takes several times the memory of their words.
+    for b in (whole.slice(at, SLICE) for whole in words for at in range(0, whole.num_rows, SLICE)):
         sets = shingle_sets(b.column("words"), rule.n)
         sids = [set_id(t) if len(t) else None for t in sets]
         names = []

@@ -205,3 +205,16 @@ def test_largest_component_of_a_block_is_not_paired_with_itself(spark):
     now = spark.createDataFrame(rows, "token long, sid long, m long, comp long, parity array<long>")
     got = sorted(map(tuple, J._all_pairs(now, J.Rule()).collect()))
     assert got == sorted([(k, x) for x in (60, 61) for k in range(60)] + [(60, 61)])
+
+
+def test_sketches_are_made_of_few_rows_at_a_time(monkeypatch):
+    """A batch is worked off in slices with the same rows as at once; equal sets of different slices are named once."""
+    rng = np.random.default_rng(8)
+    lists = [rng.integers(0, 2**40, n).tolist() for n in (0, 1, 2, 30, 400, 30, 7)] + [None]
+    lists[5] = lists[3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(range(8)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "h", "words"])
+    whole = [r for b in J.sketch_rows(J.Rule(), iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(J, "SLICE", 3)
+    parts = list(J.sketch_rows(J.Rule(), iter([batch])))
+    assert [b.num_rows for b in parts] == [3, 3, 2] and [r for b in parts for r in b.to_pylist()] == whole
+    assert whole[3]["signatures"] and whole[5]["sid"] == whole[3]["sid"] and not whole[5]["signatures"]
