@@ -6,19 +6,23 @@ forms: written-out or bracketed email signs, letters beyond ASCII in addresses,
 every run of digit groups that could be a card inside a longer run, phone numbers without a plus.
 A candidate carries its span and ``CONTEXT`` characters on either side.
 
-``fit`` takes a bounded sample of candidates (about ``SAMPLE`` distinct ones, a share by hash; a
-fit needs no more). Labels come from the table itself: base spans are 1; so are their rewritings into
+``fit`` learns from all distinct candidates. Labels come from the table itself: base spans are 1; so are their rewritings into
 loose forms in the same place; base spans with a spoilt check digit, octet, length or domain are
 0; so are candidates whose own kind's check fails or whose whole text is a base span of another kind. The kind's check is a feature like the others,
 so the trees weigh it against format and context. Gradient boosting with Newton steps on binned
-features fits them on three quarters of the sample (by a digest of the span's text); the rest
+features fits them on three quarters of the candidates (by a digest of the span's text); the rest
 calibrates scores by a logistic curve and sets, per kind, the lowest threshold (0.5 or more) from which at
 least ``PRECISION`` of the accepted spans of the calibration part are right.
 
+Spark counts equal rows of features once, and adds up the histograms of every tree level, in whole
+numbers, so that the order of rows never changes a tree. A level's histogram, a feature's cuts
+and the calibration part by kind and margin (leaves are multiples of 1 / ``STEPS``) are all that
+reaches the driver, and each is bounded whatever the table's size. ``boost`` is the same fit in memory.
+
 ``redactions`` scores all candidates; accepted ones that overlap no base span and no better
 accepted span are added. Null and empty texts have no spans; repeated rows get equal answers;
-without any base span (an empty table) nothing is added; extra columns are ignored. No shuffle
-but that of distinct candidates; memory per task is one Arrow batch.
+without any base span (an empty table) nothing is added; extra columns are ignored. Only distinct
+candidates, their features and the sums are shuffled; memory per task is one Arrow batch.
 """
 
 from __future__ import annotations
@@ -26,21 +30,23 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators.store import written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
-SAMPLE = 20_000
 PRECISION = 0.98
 TREES, DEPTH, RATE, BINS, PENALTY = 40, 3, 0.2, 32, 1.0
+#: Gradients are added up as multiples of 1 / UNIT; leaves are multiples of 1 / STEPS within +-STEEPEST.
+UNIT, STEPS, STEEPEST = 1 << 20, 256, 4.0
 
 
 class Span(NamedTuple):
@@ -281,69 +287,97 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -50, 50)))
 
 
-def _grow(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One tree of DEPTH levels by gradient histograms; a node without a gain sends all rows left."""
-    inner = 2**DEPTH - 1
-    feature, cut, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(bins), np.int64)
-    for level in range(DEPTH):
-        first, width = 2**level - 1, 2**level
-        best = np.full(width, 1e-9)
-        for f, at in enumerate(cuts):
-            if not len(at):
-                continue
-            place = (node - first) * (BINS + 1) + bins[:, f]
-            sums = [np.bincount(place, weights=w, minlength=width * (BINS + 1)).reshape(width, BINS + 1) for w in (g, h)]
-            left = [s.cumsum(1)[:, : len(at)] for s in sums]
-            whole = [s.sum(1, keepdims=True) for s in sums]
-            part = lambda a, b: a * a / (b + PENALTY)
-            gain = part(left[0], left[1]) + part(whole[0] - left[0], whole[1] - left[1]) - part(whole[0], whole[1])
-            k = gain.argmax(1)
-            better = gain[np.arange(width), k] > best
-            best[better] = gain[np.arange(width), k][better]
-            feature[first : first + width][better] = f
-            cut[first : first + width][better] = at[k[better]]
-        limit = np.array([np.searchsorted(cuts[feature[n]], cut[n]) if np.isfinite(cut[n]) else BINS + 1 for n in range(first, first + width)])
-        at_node = node - first
-        node = 2 * node + 1 + (bins[np.arange(len(bins)), feature[node]] > limit[at_node])
-    leaf = node - inner
-    sums = [np.bincount(leaf, weights=w, minlength=2**DEPTH) for w in (g, h)]
-    return feature, cut, RATE * sums[0] / (sums[1] + PENALTY)
+class Growing(NamedTuple):
+    """Trees by bins: a row goes right where its bin of the feature is above the limit; the last tree may still lack levels and has no leaves."""
 
+    base: float
+    feature: np.ndarray
+    limit: np.ndarray
+    value: np.ndarray
 
-def boost(x: np.ndarray, y: np.ndarray, calibrates: np.ndarray, kinds: np.ndarray) -> Model | None:
-    """Trees on the rows that do not calibrate, curve and thresholds on those that do; None without both labels in both parts."""
-    if any(len(set(y[part])) < 2 for part in (calibrates, ~calibrates)):
-        return None
-    fit_x, fit_y = x[~calibrates], y[~calibrates]
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in fit_x.T]
-    cuts = [c[c < col.max()] for c, col in zip(cuts, fit_x.T)]
-    # A value's bin counts the cuts below it, so "bin > k" says "value > cut k".
-    bins = np.column_stack([np.searchsorted(c, col) for c, col in zip(cuts, fit_x.T)])
-    base = float(np.log(fit_y.mean() / (1 - fit_y.mean())))
-    margin, trees = np.full(len(fit_y), base), []
+    def node(self, tree: int, bins: np.ndarray, levels: int) -> np.ndarray:
+        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        for _ in range(levels):
+            at = 2 * at + 1 + (bins[rows, self.feature[tree][at]] > self.limit[tree][at])
+        return at - (2**levels - 1)
+
+    def histogram(self, bins: np.ndarray, y: np.ndarray, n: np.ndarray, level: int) -> np.ndarray:
+        """Sums of gradients and of curvatures by node of the level, feature and bin; row k counts n[k] times."""
+        margin = np.full(len(bins), self.base)
+        for tree in range(len(self.value)):
+            margin += self.value[tree][self.node(tree, bins, DEPTH)]
+        p = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+        weights = [np.rint(w * UNIT) * n for w in (y - p, p * (1 - p))]
+        first = self.node(len(self.value), bins, level) * bins.shape[1] * (BINS + 1)
+        size = 2**level * bins.shape[1] * (BINS + 1)
+        out = np.zeros((2, size), np.int64)
+        for f in range(bins.shape[1]):
+            place = first + f * (BINS + 1) + bins[:, f]
+            for k, w in enumerate(weights):  # whole numbers below 2 ** 53: exact in any order
+                out[k] += np.bincount(place, weights=w, minlength=size).astype(np.int64)
+        return out
+
+
+def _split(sums: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature and limit of each node of a level and the sums of its two sides; a node without a gain sends all rows left."""
+    width, nodes = sums.shape[1], np.arange(sums.shape[1])
+    feature, limit, best = np.zeros(width, np.int64), np.full(width, BINS), np.full(width, 1e-9)
+    whole = sums[:, :, 0].sum(2)
+    sides = np.stack([whole, np.zeros_like(whole)])
+    part = lambda v: v[0] * v[0] / (v[1] + PENALTY)
+    for f, at in enumerate(cuts):
+        if not len(at):
+            continue
+        left = sums[:, :, f].cumsum(2)[:, :, : len(at)]
+        right = whole[:, :, None] - left
+        gain = part(left) + part(right) - part(whole)[:, None]
+        k = gain.argmax(1)
+        better = gain[nodes, k] > best
+        best[better] = gain[nodes, k][better]
+        feature[better], limit[better] = f, k[better]
+        sides[0][:, better], sides[1][:, better] = left[:, nodes, k][:, better], right[:, nodes, k][:, better]
+    return feature, limit, sides
+
+
+def _grid(value: np.ndarray | float) -> np.ndarray:
+    return np.rint(np.asarray(value) * STEPS) / STEPS
+
+
+def grow(cuts: list[np.ndarray], share: float, histogram: Callable[[Growing, int], np.ndarray]) -> Model:
+    """TREES trees of DEPTH levels; ``histogram`` adds up one level over all rows, of which ``share`` have label 1."""
+    inner, leaves = 2**DEPTH - 1, 2**DEPTH
+    g = Growing(float(_grid(np.log(share / (1 - share)))), np.zeros((0, inner), np.int64), np.zeros((0, inner), np.int64), np.zeros((0, leaves)))
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-margin))
-        trees.append(_grow(bins, cuts, fit_y - p, p * (1 - p)))
-        one = Model(*(np.array([t]) for t in trees[-1]), 0.0, 1.0, 0.0, {})
-        margin = margin + one.margin(fit_x)
-    model = Model(*(np.array(part) for part in zip(*trees)), base, 1.0, 0.0, {})
-    m, t = model.margin(x[calibrates]), y[calibrates]
+        g = g._replace(feature=np.vstack([g.feature, np.zeros((1, inner), np.int64)]), limit=np.vstack([g.limit, np.full((1, inner), BINS)]))
+        for level in range(DEPTH):
+            sums = histogram(g, level).reshape(2, 2**level, len(cuts), BINS + 1) / UNIT
+            nodes = slice(2**level - 1, 2 ** (level + 1) - 1)
+            g.feature[-1][nodes], g.limit[-1][nodes], sides = _split(sums, cuts)
+        gradient, curvature = (sides[:, k].T.ravel() for k in (0, 1))  # leaves from left to right
+        value = _grid(np.clip(RATE * gradient / (curvature + PENALTY), -STEEPEST, STEEPEST))
+        g = g._replace(value=np.vstack([g.value, value]))
+    cut = np.array([[cuts[f][k] if k < BINS else np.inf for f, k in zip(*tree)] for tree in zip(g.feature, g.limit)])
+    return Model(g.feature, cut, g.value, g.base, 1.0, 0.0, {})
+
+
+def calibrated(model: Model, kinds: np.ndarray, m: np.ndarray, right: np.ndarray, n: np.ndarray) -> Model:
+    """The model with curve and thresholds, from numbers of rows and of right ones by kind and margin."""
     slope, shift = 1.0, 0.0
     for _ in range(30):  # Newton steps, with a weak pull to the uncalibrated curve
         p = 1 / (1 + np.exp(-np.clip(slope * m + shift, -50, 50)))
-        g = np.array([(m * (t - p)).sum() - (slope - 1), (t - p).sum() - shift])
-        w = p * (1 - p)
+        g = np.array([(m * (right - n * p)).sum() - (slope - 1), (right - n * p).sum() - shift])
+        w = n * p * (1 - p)
         h = np.array([[(m * m * w).sum() + 1, (m * w).sum()], [(m * w).sum(), w.sum() + 1]])
         slope, shift = np.array([slope, shift]) + np.linalg.solve(h, g)
     model = model._replace(slope=float(slope), shift=float(shift))
-    p, thresholds = model.probability(x[calibrates]), {}
+    p, thresholds = 1 / (1 + np.exp(-np.clip(model.slope * m + model.shift, -50, 50))), {}
     for k in KINDS:
-        of = kinds[calibrates] == k
+        of = kinds == k
         order = np.argsort(-p[of], kind="stable")
-        score, right = p[of][order], t[of][order]
+        score = p[of][order]
         # Equal scores are accepted together, so a threshold lies only where the score changes.
         ends = np.append(score[1:] != score[:-1], True)[: len(score)]
-        good = ends & (right.cumsum() / np.arange(1, len(right) + 1) >= PRECISION) & (score >= 0.5)
+        good = ends & (right[of][order].cumsum() / n[of][order].cumsum() >= PRECISION) & (score >= 0.5)
         if good.any():
             # Half way between the last accepted score and the next lower one, so that unseen spans near the accepted ones are taken.
             last = int(np.flatnonzero(good)[-1])
@@ -352,6 +386,25 @@ def boost(x: np.ndarray, y: np.ndarray, calibrates: np.ndarray, kinds: np.ndarra
     return model._replace(thresholds=thresholds)
 
 
+def _binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """A value's bin counts the cuts below it, so "bin > k" says "value > cut k"."""
+    return np.column_stack([np.searchsorted(c, col) for c, col in zip(cuts, x.T)]).astype(np.uint8)
+
+
+def boost(x: np.ndarray, y: np.ndarray, calibrates: np.ndarray, kinds: np.ndarray) -> Model | None:
+    """Trees on the rows that do not calibrate, curve and thresholds on those that do; None without both labels in both parts."""
+    if any(len(set(y[part])) < 2 for part in (calibrates, ~calibrates)):
+        return None
+    fit_x, fit_y = x[~calibrates], y[~calibrates]
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in fit_x.T]
+    cuts = [c[c < col.max()] for c, col in zip(cuts, fit_x.T)]
+    bins, once = _binned(fit_x, cuts), np.ones(len(fit_y))
+    model = grow(cuts, fit_y.sum() / len(fit_y), lambda g, level: g.histogram(bins, fit_y, once, level))
+    rows = pd.DataFrame({"kind": kinds[calibrates], "margin": model.margin(x[calibrates]), "right": y[calibrates]})
+    sums = rows.groupby(["kind", "margin"], as_index=False)["right"].agg(["sum", "count"]).sort_values(["kind", "margin"])
+    return calibrated(model, *(sums[c].to_numpy() for c in ("kind", "margin", "sum", "count")))
+
+
 # ---------------------------------------------------------------- jobs
 
 CASE = "kind:string,start:long,end:long,base:boolean,left:string,span:string,right:string"
@@ -375,18 +428,97 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return rows.mapInPandas(of_batches, f"doc_id long, candidates array<struct<{CASE}>>")
 
 
-def fit(found: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model, from all distinct candidates or, if there are more, about ``sample`` of them, chosen by a hash of their text and context."""
-    cases = written(found.select(F.inline("candidates")).select("kind", "left", "span", "right", "base").distinct(), "candidate-cases")
-    share = min(1.0, sample / max(1, cases.count()))
-    place = F.pmod(F.xxhash64("kind", "left", "span", "right", F.lit("fit")), F.lit(1 << 30))
-    # Tasks send only what the fit takes; the order makes the fit the same on every run.
-    rows = sorted((r["kind"], r["left"], r["span"], r["right"], r["base"]) for r in cases.where(place < int(share * (1 << 30))).collect())
-    x, y, calibrates = labelled(rows)
-    if not len(y):
+def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, len(NAMES))
+
+
+def feature_rows(cases: DataFrame) -> DataFrame:
+    """Distinct labelled rows of features (as little-endian 32-bit numbers) of all candidates, with the times each comes up."""
+
+    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y, calibrates = labelled(list(batch.itertuples(index=False, name=None)))
+            yield pd.DataFrame({"x": [r.tobytes() for r in x.astype("<i4")], "y": y.astype(int), "calibrates": calibrates})
+
+    rows = cases.select("kind", "left", "span", "right", "base").mapInPandas(of_batches, "x binary, y int, calibrates boolean")
+    return rows.groupBy("x", "y", "calibrates").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cut_values(rows: DataFrame) -> list[np.ndarray]:
+    """Per feature its values at BINS - 1 evenly spaced ranks of all rows, without the highest value."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = _matrix(batch.column("x"), "<i4"), batch.column("n").to_numpy()
+            for f, column in enumerate(x.T):
+                values, at = np.unique(column, return_inverse=True)
+                sums = np.bincount(at, weights=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f, np.int32)), pa.array(values), pa.array(sums)], names=["feature", "value", "n"])
+
+    counts = rows.select("x", "n").mapInArrow(of_batches, "feature int, value int, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("feature")  # one row per distinct value of a feature: lengths and numbers within a span
+    counts = counts.withColumn("all", F.sum("n").over(of)).withColumn("highest", F.max("value").over(of)).withColumn("upto", F.sum("n").over(of.orderBy("value")))
+    ranks = lambda upto: f"least({BINS - 1}, ({BINS} * ({upto}) - 1) div (all - 1))"  # noqa: E731  # ranks k (all - 1) / BINS below ``upto``
+    found = counts.where("value < highest").where(f"{ranks('upto')} > if(upto = n, 0, {ranks('upto - n')})").select("feature", "value").collect()
+    return [np.array(sorted(r["value"] for r in found if r["feature"] == f), np.float64) for f in range(len(NAMES))]
+
+
+def binned_rows(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Distinct rows of bins (a byte for each feature), with the times each comes up."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = pa.array([r.tobytes() for r in _binned(_matrix(batch.column("x"), "<i4"), cuts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([bins, batch.column("y"), batch.column("n")], names=["bins", "y", "n"])
+
+    return rows.select("x", "y", "n").mapInArrow(of_batches, "bins binary, y int, n long").groupBy("bins", "y").agg(F.sum("n").alias("n"))
+
+
+def level_sums(binned: DataFrame, growing: Growing, level: int) -> np.ndarray:
+    """One level's histogram over all rows: a sum per task, added up by Spark."""
+    shape = (2, 2**level * len(NAMES) * (BINS + 1))
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for batch in batches:
+            total += growing.histogram(_matrix(batch.column("bins"), "u1"), batch.column("y").to_numpy(), batch.column("n").to_numpy(), level)
+        place = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (place, *total[:, place])], names=["place", "g", "h"])
+
+    sums = binned.mapInArrow(of_batches, "place long, g long, h long").groupBy("place").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    out = np.zeros(shape, np.int64)
+    out[:, sums["place"].to_numpy()] = sums["g"].to_numpy(), sums["h"].to_numpy()
+    return out
+
+
+def by_margin(rows: DataFrame, model: Model) -> pd.DataFrame:
+    """Numbers of rows (count) and of those with label 1 (sum) by kind and margin, in order."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("x"), "<i4")
+            columns = [x[:, : len(KINDS)].argmax(1), np.rint(model.margin(x) * STEPS).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column("y"), batch.column("n")], names=["kind", "steps", "y", "n"])
+
+    found = rows.select("x", "y", "n").mapInArrow(of_batches, "kind long, steps long, y int, n long").groupBy("kind", "steps")
+    sums = found.agg(F.sum(F.col("y") * F.col("n")).alias("sum"), F.sum("n").alias("count")).toPandas()
+    sums = sums.assign(kind=np.array(KINDS)[sums["kind"].to_numpy(np.int64)], margin=sums["steps"] / STEPS)
+    return sums.sort_values(["kind", "margin"])
+
+
+def fit(found: DataFrame) -> Model | None:
+    """The model, from all distinct candidates; None without both labels in both parts."""
+    cases = found.select(F.inline("candidates")).select("kind", "left", "span", "right", "base").distinct()
+    rows = written(feature_rows(cases), "feature-rows")
+    sizes = {(r["calibrates"], r["y"]): r["n"] for r in rows.groupBy("calibrates", "y").agg(F.sum("n").alias("n")).collect()}
+    if len(sizes) < 4:
         return None
-    kinds = np.array(KINDS)[x[:, : len(KINDS)].argmax(1)]
-    return boost(x, y, calibrates, kinds)
+    fits = rows.where(~F.col("calibrates"))
+    cuts = cut_values(fits)
+    binned = written(binned_rows(fits, cuts), "binned-rows")
+    model = grow(cuts, sizes[False, 1] / (sizes[False, 0] + sizes[False, 1]), lambda g, level: level_sums(binned, g, level))
+    sums = by_margin(rows.where("calibrates"), model)
+    return calibrated(model, *(sums[c].to_numpy() for c in ("kind", "margin", "sum", "count")))
 
 
 def chosen(spans: list[tuple[float, Span]], base: list[Span]) -> list[Span]:
@@ -435,9 +567,9 @@ def redactions(found: DataFrame, model: Model | None) -> DataFrame:
     return found.mapInPandas(of_batches, f"doc_id long, {counts}, base_sha256 string, spans string")
 
 
-def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     found = written(find(docs, doc_id, text), "candidates")
-    return redactions(found, fit(found, sample))
+    return redactions(found, fit(found))
 
 
 def redacted(text: str, spans: str) -> str:

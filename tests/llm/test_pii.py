@@ -126,6 +126,19 @@ def test_held_out_accuracy():
     assert np.mean((p - y) ** 2) < 0.03
 
 
+def test_fit_learns_from_every_candidate(docs):
+    """More than 20,000 distinct candidates: the fit over Spark is the fit in memory on all of them."""
+    rows = [(k, " ".join(f"x{k}y{j}@mail{j}.net 10.{k % 250}.{j}.{k * j % 256} v{k % 300}.{j}.2.{k}" for j in range(30))) for k in range(300)]
+    rows += training_rows()
+    cases = {(s.kind, t[max(0, s.start - M.CONTEXT) : s.start], t[s.start : s.end], t[s.end : s.end + M.CONTEXT], s in b) for _, t in rows for b in [set(M.base_spans(t))] for s in M.candidates(t)}
+    assert len(cases) > 20_000
+    x, y, part = M.labelled(sorted(cases))
+    want = M.boost(x, y, part, np.array(M.KINDS)[x[:, :4].argmax(1)])
+    got = M.fit(M.find(docs(rows)))
+    assert got.thresholds == want.thresholds and (got.base, got.slope, got.shift) == (want.base, want.slope, want.shift)
+    assert all(np.array_equal(a, b) for a, b in zip(got[:3], want[:3]))
+
+
 def test_trees_split_where_labels_do():
     x = np.array([[float(k), 0.0] for k in range(100)])
     y = (x[:, 0] >= 37).astype(float)
