@@ -1,12 +1,14 @@
 """Alignment of two tokenizations by whitespace anchors.
 
-Each document is tokenized whole by A (byte-level BPE, over a space and the text) and by B
-(pieces, which adds that space itself). Bytes of the tokens are checked against the text, so
-running sums of token lengths are byte offsets in it. An anchor is an offset where a token of A
-and a token of B both end and the next token of both is marked with a space. Anchors split the
-document into windows of token ids; the alignment of a window (its groups between shared ends,
-its overlapping pairs) follows from the two id tuples alone, so a window is aligned when a
-Python worker first meets it (those of a document together) and found by these tuples afterwards.
+An anchor is the place before a single space between two characters that are no whitespace. No
+token of either vocabulary holds a space behind such a character, and both tokenizers build tokens
+by merging neighbours, so tokens of A (byte-level BPE, over a space and the text) and of B (pieces,
+which adds that space itself) both end there, whatever stands around. Anchors cut the text into
+windows, whose tokens, groups between shared ends and overlapping pairs follow from the window's
+text alone: a window is tokenized and aligned when a Python worker first meets it (those of a
+document together) and found by its text afterwards. Bytes of the tokens are checked against the
+text; a document with new windows that fail this is tokenized as a whole, as is every document
+if a vocabulary has tokens across anchors.
 
 Counts over the whole table: ``align`` keeps the distinct id pairs of each document with their
 number (written once), ``pair_counts`` adds them up, and ``scored`` looks the sums up again. The
@@ -26,6 +28,7 @@ import functools
 import gc
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -45,20 +48,22 @@ LONGEST_CACHED = 64  # tokens of both sides of a window
 # Fixed value: the pre-token rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "▁"  # the piece vocabulary writes a space like this
+ANCHOR = re.compile(r" (?=\S)(?<=\S )")
+ACROSS = re.compile(r"\S ")
 
 
 class Side(NamedTuple):
-    """One tokenizer: ids of a whole text with its leading space, length and mark of every token."""
+    """One tokenizer: ids of a text with its leading space, length of every token, whether none reaches across an anchor."""
 
     encode: Callable[[str], bytes | None]
     lengths: np.ndarray
-    marked: np.ndarray
+    parts: bool
     names: np.ndarray  # ids in decimal, with a comma and, in the second row, with the mark that ends the side of a group
 
 
 def _side(encode, token_bytes: list[bytes], mark: str) -> Side:
     lengths = np.array([len(b) for b in token_bytes], np.int64)
-    return Side(encode, lengths, np.array([b[:1] == b" " for b in token_bytes]), np.array([[f"{i}{m}" for i in range(len(lengths))] for m in (",", mark)], object))
+    return Side(encode, lengths, not any(ACROSS.search(b.decode(errors="surrogateescape")) for b in token_bytes), np.array([[f"{i}{m}" for i in range(len(lengths))] for m in (",", mark)], object))
 
 
 def _checked(encode: Callable[[str], list[int]], token_bytes: list[bytes]) -> Callable[[str], bytes | None]:
@@ -105,38 +110,41 @@ def piece_side(path: str) -> Side:
     return _side(_checked(lambda text: model.encode(text[1:]), token_bytes), token_bytes, ";")
 
 
-#: Alignment of one window: its groups as text, their number, its links as packed pairs, one for each overlap.
-Window = tuple[str, int, bytes]
+#: Alignment of one window: its groups as text, their number, its links as packed pairs, one for each overlap, its token numbers.
+Window = tuple[str, int, bytes, int, int]
 
 
 class Windows(dict):
-    """Alignments by the two id tuples (as bytes); forgets all when it is full."""
+    """Alignments by the window's text without its first space; forgets all when it is full."""
 
     def __init__(self, left: Side, right: Side):
         self._sides = left, right
 
-    def of(self, a_raw: bytes, b_raw: bytes) -> list[Window]:
-        """The windows of a document, given as the ids of both sides."""
+    def of(self, text: str) -> list[Window]:
+        """The windows of a text; none where a side does not give the text back."""
         left, right = self._sides
-        a, b = np.frombuffer(a_raw, "<u4"), np.frombuffer(b_raw, "<u4")
-        a_ends, b_ends = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
-        a_cuts, b_cuts = anchors(left.marked[a], right.marked[b], a_ends, b_ends)
-        a_at, b_at = (4 * a_cuts).tolist(), (4 * b_cuts).tolist()
-        keys = [(a_raw[i:j], b_raw[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
-        found = list(map(self.get, keys))
+        parts = ANCHOR.split(text) if left.parts and right.parts else [text]
+        found = list(map(self.get, parts))
         if None in found:
             if len(self) >= CACHED_WINDOWS:
                 self.clear()
-            new = [n for n, w in enumerate(found) if w is None]
-            for n, w in zip(new, align_windows(new, a, b, a_ends, b_ends, a_cuts, left, right)):
-                found[n] = w = self.get(keys[n]) or w
-                if len(keys[n][0]) + len(keys[n][1]) <= 4 * LONGEST_CACHED:  # four bytes an id
-                    self[keys[n]] = w
+            new = list(dict.fromkeys([p for p, w in zip(parts, found) if w is None]))
+            aligned = align_windows(new, left, right)
+            if aligned is None:  # what fails in a window may not fail in the text
+                return align_windows([text], left, right) or []
+            made = dict(zip(new, aligned))
+            self.update((p, w) for p, w in made.items() if w[3] + w[4] <= LONGEST_CACHED)
+            found = [w or made[p] for p, w in zip(parts, found)]
         return found
 
 
-def align_windows(wanted: list[int], a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_cuts: np.ndarray, left: Side, right: Side) -> Iterator[Window]:
-    """The wanted windows of a document. Each stretch between neighbouring ends of either side lies in one token of A and one of B: a link."""
+def align_windows(parts: list[str], left: Side, right: Side) -> list[Window] | None:
+    """The windows of these texts, tokenized in a row. Each stretch between neighbouring ends of either side lies in one token of A and one of B: a link."""
+    a_raw, b_raw = (side.encode("".join([" " + p for p in parts])) for side in (left, right))
+    if a_raw is None or b_raw is None:
+        return None
+    a, b = np.frombuffer(a_raw, "<u4"), np.frombuffer(b_raw, "<u4")
+    a_ends, b_ends = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
     ends = np.union1d(a_ends, b_ends)
     in_a, in_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     pairs = (a[in_a].astype(np.int64) << 32 | b[in_b]).tobytes()
@@ -149,22 +157,14 @@ def align_windows(wanted: list[int], a: np.ndarray, b: np.ndarray, a_ends: np.nd
     texts[np.arange(len(a)) + b_to[a_group]] = left.names[(group_ends[a_group] == a_ends).astype(int), a]
     texts[np.arange(len(b)) + a_to[b_group + 1]] = right.names[(group_ends[b_group] == b_ends).astype(int), b]
     texts = texts.tolist()
-    window_ends = a_ends[a_cuts[1:] - 1]
+    window_ends = np.cumsum([len(p.encode()) + 1 for p in parts])
     link_to = [0, *(8 * (np.searchsorted(ends, window_ends) + 1)).tolist()]
     groups = np.concatenate([[0], np.searchsorted(group_ends, window_ends) + 1])
-    group_to, text_to = groups.tolist(), (a_to + b_to)[groups].tolist()
-    for n in wanted:
-        yield "".join(texts[text_to[n] : text_to[n + 1]])[:-1], group_to[n + 1] - group_to[n], pairs[link_to[n] : link_to[n + 1]]
-
-
-def anchors(a_marked: np.ndarray, b_marked: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers in A and in B at which windows begin: 0, those behind a shared end with a space-marked token next on both sides, and the ends."""
-    a_at, b_at = np.flatnonzero(a_marked[1:]), np.flatnonzero(b_marked[1:])  # token k + 1 begins where token k ends
-    a_offsets, b_offsets = a_ends[a_at], b_ends[b_at]
-    place = np.searchsorted(b_offsets, a_offsets)
-    place[place == len(b_offsets)] = 0
-    both = b_offsets[place] == a_offsets if len(b_offsets) else np.zeros(len(a_offsets), bool)
-    return np.concatenate([[0], a_at[both] + 1, [len(a_ends)]]), np.concatenate([[0], b_at[place[both]] + 1, [len(b_ends)]])
+    group_to, a_to, b_to = groups.tolist(), a_to[groups].tolist(), b_to[groups].tolist()
+    return [
+        ("".join(texts[a0 + b0 : a1 + b1])[:-1], g1 - g0, pairs[l0:l1], a1 - a0, b1 - b0)
+        for g0, g1, l0, l1, a0, a1, b0, b1 in zip(group_to, group_to[1:], link_to, link_to[1:], a_to, a_to[1:], b_to, b_to[1:])
+    ]
 
 
 class Aligned(NamedTuple):
@@ -182,10 +182,8 @@ NOTHING = Aligned(0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
 
 def windows_of(text: str, left: Side, right: Side, cache: Windows) -> tuple[int, int, list[Window]]:
     """Token numbers of both sides and the aligned windows of a text; no windows where a side does not give the text back."""
-    a_raw, b_raw = left.encode(" " + text), right.encode(" " + text)
-    if a_raw is None or b_raw is None:
-        return 0, 0, []
-    return len(a_raw) // 4, len(b_raw) // 4, cache.of(a_raw, b_raw)
+    found = cache.of(text)
+    return sum([w[3] for w in found]), sum([w[4] for w in found]), found
 
 
 def align_text(text: str | None, left: Side, right: Side, cache: Windows) -> Aligned:

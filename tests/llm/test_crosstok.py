@@ -105,6 +105,43 @@ def test_windows_begin_at_verified_space_marked_tokens_and_are_aligned_once():
     assert sum(w[1] for w in found) >= 6 and n_a >= 6 and n_b >= 6
 
 
+def test_only_new_words_are_tokenized():
+    seen = []
+
+    def counted(side):
+        return side._replace(encode=lambda t: seen.append(t) or side.encode(t))
+
+    left, right = counted(M.byte_side(A)), counted(M.piece_side(B))
+    cache = M.Windows(left, right)
+    first = M.align_text("some words and some more words", left, right, cache)
+    assert seen == [" some words and more"] * 2
+    again = M.align_text("more words and some some words", left, right, cache)
+    assert len(seen) == 2 and again[:4] == first[:4]
+    M.align_text("more new words", left, right, cache)
+    assert seen[2:] == [" new"] * 2
+
+
+def test_windows_change_nothing():
+    """A text in windows gives what it gives as a whole, also next to texts whose windows are known."""
+    rng = random.Random(2)
+    parts = [*"ab.,'1é漢😀▁\u0301ﬁ½ \t\n\r\xa0\u3000\x1c\x85\u200b\u180e", " ", " ", " ", " the", "'s", "  ", " \xa0 \xa0", "<s>"]
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    left, right = M.byte_side(A), M.piece_side(B)
+    assert left.parts and right.parts
+    whole, cache = left._replace(parts=False), M.Windows(left, right)
+    for t in texts:
+        got, want = M.align_text(t, left, right, cache), M.align_text(t, whole, right, M.Windows(whole, right))
+        assert got[:5] == want[:5] and np.array_equal(got.pairs, want.pairs) and np.array_equal(got.counts, want.counts), t
+    assert len(cache) > 1000
+
+
+def test_tokens_across_anchors_keep_texts_whole():
+    known = [b"a", b" ", b" \xc2\xa0 \xc2\xa0", b"  ", b"\n "]
+    assert M._side(None, known, "|").parts
+    for token in (b"a b", b"\xa9 ", b". "):
+        assert not M._side(None, [*known, token], "|").parts
+
+
 def test_both_libraries_give_the_same_ids():
     """Texts within PLAIN take the faster one: the same words, as far as letters and marks can be mixed."""
     rng = random.Random(1)
