@@ -23,6 +23,9 @@ A parity sketch says of each of ``PARITY_BITS`` cells whether an odd number of a
 Two sets differ in at least as many shingles as their sketches differ in cells, so a pair whose sketches are too
 far apart is skipped inside the join, before it becomes a row.
 
+Signatures are shuffled in a few passes, each with a share of them, and deleted once the shared ones are known;
+rounds move set and block names alone, and sketches once per pair. So the disk in use stays near what the signatures take.
+
 Comparisons are exact: both texts meet in one row and their shingle sets are intersected.
 Shingles are compared by 64-bit hashes. Texts move only for sets that share a signature.
 
@@ -48,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.operators.store import written
+from panelloom.operators.store import new_path, remove, written
 
 from .common import fresh, lower_ascii, salted_left_join, whole_text
 
@@ -61,6 +64,8 @@ BUCKETS = 32
 PARITY_BITS = 512
 #: Rows whose sets are held at once.
 SLICE = 512
+#: Signatures are shuffled in so many goes, each with a share of them and done with before the next.
+PASSES = 4
 #: Sets per block in which pairs are compared.
 BLOCK_SETS = 256
 MAX_ROUNDS = 24
@@ -212,11 +217,17 @@ def sketch_rows(rule: Rule, words: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(token, sid) of the signatures that two sets or more have in common."""
-    all_of = Window.partitionBy("token")
-    named = rows.select(F.explode("signatures").alias("token"), "sid")
-    both = named.withColumn("lo", F.min("sid").over(all_of)).withColumn("hi", F.max("sid").over(all_of))
-    return both.where("lo < hi").select("token", "sid").distinct()
+    """(token, sid) of the signatures that two sets or more have in common.
+
+    Few are, so what is kept of a pass is small, and only a pass's share of the signatures is on disk at once.
+    """
+    all_of, out = Window.partitionBy("token"), None
+    for k in range(PASSES):
+        named = rows.select(F.explode("signatures").alias("token"), "sid").where(F.pmod("token", F.lit(PASSES)) == k)
+        both = named.withColumn("lo", F.min("sid").over(all_of)).withColumn("hi", F.max("sid").over(all_of))
+        part = written(both.where("lo < hi").select("token", "sid").distinct(), "join-index")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def keep_listed(df: DataFrame, column: str, listed: DataFrame, key: str) -> DataFrame:
@@ -332,9 +343,10 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     first = docs.select("doc_id", F.xxhash64(whole_text()).alias("h"), word_hashes().alias("words")).mapInArrow(
         partial(sketch_rows, rule), "doc_id long, h long, sid long, m long, buckets array<int>, parity array<long>, signatures array<long>"
     )
-    first = written(first, "join-keys")
-    keys = first.select("doc_id", "sid", "m")
-    index = written(shared_signatures(first), "join-index")
+    path = new_path(docs.sparkSession, "join-signatures")
+    first = written(first, "join-signatures", path)
+    keys = written(first.select("doc_id", "sid", "m"), "join-keys")
+    index = shared_signatures(first)
     sizes = first.where("sid is not null and doc_id is not null").select("doc_id", "h", "sid", "m", "buckets", "parity")
     # Sets with many shared signatures are the typical ones.
     sizes = sizes.join(index.groupBy("sid").agg(F.count(F.lit(1)).alias("shared")), "sid")
@@ -342,20 +354,22 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct("doc_id", "h")).alias("d"), *[F.min(c).alias(c) for c in ("m", "buckets", "parity", "shared")]
     ).select("sid", F.col("d.doc_id").alias("rep"), "d.h", "m", "buckets", "parity", "shared")
     sizes = written(sizes, "join-sizes")
+    remove(docs.sparkSession, path)  # larger than all that follows
     named_sets = sizes.count()
     labels, tested, last = None, None, False
     for k in range(MAX_ROUNDS + 1):
         last = last or k == MAX_ROUNDS
         now = _with_components(index, sizes, labels)
         if last:
-            pairs = _all_pairs(now, rule)
+            mixed = written(_mixed_blocks(now), "join-mixed")
+            pairs = _all_pairs(mixed.join(sizes.select("sid", "m", "parity"), "sid"), rule)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = written(may_link(pairs, sizes, rule).select("a", "b"), "join-pairs")
             placed = cluster_units(pairs)
         else:
             # One partner per set and round, the nearest: its component's answers are then the set's own.
-            partners = written(_partners(now, tested, rule, k), "join-pairs")
+            partners = written(_partners(now, sizes, tested, rule, k), "join-pairs")
             pairs = partners.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             placed = pivot_units(partners)
         links = written(compare(placed, docs, sizes, rule).distinct(), "join-links")
@@ -370,8 +384,8 @@ def linked_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_components(index: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Index entries of sets with their component and sketch."""
-    of = sizes.select("sid", "m", "parity", "shared")
+    """Index entries of sets with their component."""
+    of = sizes.select("sid", "shared")
     if labels is not None:
         of = of.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     else:
@@ -379,26 +393,31 @@ def _with_components(index: DataFrame, sizes: DataFrame, labels: DataFrame | Non
     return index.join(of, "sid")
 
 
+def _mixed_blocks(now: DataFrame) -> DataFrame:
+    """The entries of blocks that hold several components."""
+    mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return now.select("token", "sid", "comp").join(mixed, "token")
+
+
 def _can_link(rule: Rule) -> Column:
-    return (
-        (F.col("comp") != F.col("comp_q")) & rule.sizes_can_link(F.col("m"), F.col("m_q"))
-        & rule.differences_can_link(cells_apart("parity", "parity_q"), F.col("m") + F.col("m_q"))
-    )
+    return rule.sizes_can_link(F.col("m"), F.col("m_q")) & rule.differences_can_link(cells_apart("parity", "parity_q"), F.col("m") + F.col("m_q"))
 
 
-def _partners(now: DataFrame, tested: DataFrame | None, rule: Rule, k: int) -> DataFrame:
+def _partners(now: DataFrame, sizes: DataFrame, tested: DataFrame | None, rule: Rule, k: int) -> DataFrame:
     """(x, y): each set with the nearest pivot of its blocks.
 
     Even rounds take the most typical set of a block as its pivot, that with the most shared signatures; odd rounds any.
+    Sets that are near share many blocks, so sketches are looked up for distinct pairs, not moved with every entry.
     """
     order = F.xxhash64("sid", F.lit(k)) if k % 2 else F.struct(-F.col("shared"), F.xxhash64("sid", F.lit(k)))
-    pick = F.min(F.struct(order, "sid", "m", "comp", "parity"))
-    pivots = now.groupBy("token").agg(pick.alias("q")).select("token", *[F.col(f"q.{x}").alias(f"{x}_q") for x in ("sid", "m", "comp", "parity")])
-    near = now.join(pivots, "token").where(_can_link(rule))
-    near = near.select(F.col("sid").alias("x"), F.col("sid_q").alias("y"), (cells_apart("parity", "parity_q") / (F.col("m") + F.col("m_q"))).alias("far"))
+    pivots = now.groupBy("token").agg(F.min(F.struct(order, "sid", "comp")).alias("q")).select("token", F.col("q.sid").alias("y"), F.col("q.comp").alias("comp_q"))
+    near = now.select("token", F.col("sid").alias("x"), "comp").join(pivots, "token").where("comp <> comp_q").select("x", "y").distinct()
     if tested is not None:
         both = tested.select(F.col("a").alias("x"), F.col("b").alias("y")).union(tested.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        near = near.distinct().join(both, ["x", "y"], "left_anti")
+        near = near.join(both, ["x", "y"], "left_anti")
+    near = near.join(sizes.select(F.col("sid").alias("x"), "m", "parity"), "x")
+    near = near.join(sizes.select(F.col("sid").alias("y"), F.col("m").alias("m_q"), F.col("parity").alias("parity_q")), "y").where(_can_link(rule))
+    near = near.select("x", "y", (cells_apart("parity", "parity_q") / (F.col("m") + F.col("m_q"))).alias("far"))
     return near.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select("x", "best.y")
 
 
@@ -411,7 +430,7 @@ def _all_pairs(now: DataFrame, rule: Rule) -> DataFrame:
     mixed = parts.agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("top"))
     asking = now.join(mixed, "token").where("comp <> top")
     asked = now.select("token", *[F.col(x).alias(f"{x}_q") for x in ("sid", "m", "comp", "parity")])
-    pairs = asking.join(asked, "token").where((F.col("comp_q") == F.col("top")) | (F.col("sid") < F.col("sid_q"))).where(_can_link(rule))
+    pairs = asking.join(asked, "token").where((F.col("comp_q") == F.col("top")) | (F.col("sid") < F.col("sid_q"))).where("comp <> comp_q").where(_can_link(rule))
     return pairs.select(F.least("sid", "sid_q").alias("a"), F.greatest("sid", "sid_q").alias("b")).distinct()
 
 

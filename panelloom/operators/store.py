@@ -3,7 +3,8 @@
 A table that several later stages read is written once to the folder the cluster names in
 ``spark.checkpoint.dir``. That cuts the lineage in a way that survives lost executors, gives
 the optimizer true sizes (so it broadcasts a side only when the written files are small),
-and makes every reader see the very same floating-point values.
+and makes every reader see the very same floating-point values. What was shuffled for it is
+deleted when it is written, since nothing reads it again.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,14 +39,32 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/panelloom/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query begun inside when it ends, not when the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and return a DataFrame over the files."""
     spark = df.sparkSession
     path = path or new_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a written table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def written_by_key(df: DataFrame, label: str, key: str, order: str, buckets: int | None = None) -> DataFrame:
     """Write ``df`` bucketed by ``key`` and sorted within the buckets.
 
@@ -69,8 +91,4 @@ def drop_written(spark: SparkSession) -> bool:
     for t in spark.catalog.listTables():
         if t.name.startswith("loom_") and t.tableType == "EXTERNAL":
             spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-    app = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/panelloom/{app}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.delete(path, True))
+    return remove(spark, f"{scratch_root(spark)}/panelloom/{spark.sparkContext.applicationId}")

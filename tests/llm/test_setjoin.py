@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from panelloom.llm import setjoin as J
+from panelloom.operators.store import scratch_root
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -218,3 +220,21 @@ def test_sketches_are_made_of_few_rows_at_a_time(monkeypatch):
     parts = list(J.sketch_rows(J.Rule(), iter([batch])))
     assert [b.num_rows for b in parts] == [3, 3, 2] and [r for b in parts for r in b.to_pylist()] == whole
     assert whole[3]["signatures"] and whole[5]["sid"] == whole[3]["sid"] and not whole[5]["signatures"]
+
+
+def test_only_signatures_that_two_sets_share_are_kept(spark):
+    """Whatever pass a signature falls into, of either sign; equal sets share none."""
+    rows = [(1, [-7, -6, -5, -4, 0, 1, 2, 3, 99]), (2, [-7, -5, 0, 3, 98]), (2, [-7, 50]), (3, [-6, -4, 1, 2]), (3, [50]), (4, [97, 97])]
+    first = spark.createDataFrame(rows, "sid long, signatures array<long>")
+    want = {(t, s) for s, ts in rows for t in ts if len({x for x, us in rows if t in us}) > 1}
+    assert sorted(map(tuple, J.shared_signatures(first).collect())) == sorted(want)
+
+
+def test_signatures_do_not_stay_on_disk(docs, spark):
+    """They are larger than the texts' shuffles; once the shared ones are known the written table goes."""
+    folder = f"{scratch_root(spark)}/panelloom/{spark.sparkContext.applicationId}"
+    rows, before = near_copies(5, groups=2, copies=4), set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert answer(docs(rows), J.Rule(5, 4, 5)) == brute(rows, J.Rule(5, 4, 5))
+    new = [x for x in os.listdir(folder) if x not in before]
+    assert any(x.startswith("join-sizes") for x in new)
+    assert not [x for x in new if "signatures" in spark.read.parquet(f"{folder}/{x}").columns]
