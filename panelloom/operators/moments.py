@@ -33,6 +33,8 @@ N_MEMBERS = 30
 RIDGE = 1e-6
 #: Smallest residual that an absolute-loss step divides by; targets are of order 0.01 to 1.
 LEAST_RESIDUAL = 1e-6
+#: An absolute-loss fit has settled when a step lowers its loss by less than this share.
+SETTLED = 1e-4
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:
@@ -70,7 +72,7 @@ def moments(rows: DataFrame, by: Sequence[str], features: Sequence[str] | None =
 
 def summed(month_moments: DataFrame, by: Sequence[str]) -> DataFrame:
     """Moments of groups of months."""
-    return month_moments.groupBy(*by).agg(*[F.sum(c).alias(c) for c in month_moments.columns if c[:2] in ("m_", "y_") or c == "n_rows"])
+    return month_moments.groupBy(*by).agg(*[F.sum(c).alias(c) for c in month_moments.columns if c[:2] in ("m_", "y_") or c in ("n_rows", "loss")])
 
 
 def months_of(spark: SparkSession, periods: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -290,13 +292,14 @@ def cross_validate(samples: DataFrame, n_folds: int = 5, features: Sequence[str]
 
 
 def grid(samples_for, period: tuple[str, str], weightings: Sequence[str] = ("ew", "ewpm", "ewpmvw"),
-         targets: Sequence[str] = ("ret", "ret_std", "ret_rank_norm", "ret_pctl"), losses: Sequence[str] = ("mse", "mae"), steps: int = 10,
+         targets: Sequence[str] = ("ret", "ret_std", "ret_rank_norm", "ret_pctl"), losses: Sequence[str] = ("mse", "mae"), steps: int | None = None,
          n_members: int = N_MEMBERS, **fit_args) -> DataFrame:
     """Held-out rank correlation with the return of every linear configuration.
 
     All targets and weightings are columns of one table, and a task adds up the moments of all
     configurations, so that least squares takes a single pass; so does each step of reweighting for
-    absolute loss. ``samples_for`` gives the samples of a target, or is one table with a column
+    absolute loss, whose steps go on until every configuration's loss has settled, or to ``steps``
+    fits if that is given. ``samples_for`` gives the samples of a target, or is one table with a column
     ``t_<target>`` for each.
     Output: loss, weighting, target, spearman, n_months.
     """
@@ -310,18 +313,25 @@ def grid(samples_for, period: tuple[str, str], weightings: Sequence[str] = ("ew"
     wide = written(wide.filter(C.in_period("mi", *period)), "grid-samples")
     cols, names = feature_names(), [f"t_{k}" for k in targets]
     rows = grid_rows(wide.filter(C.is_fitting_month("mi")), weightings, n_members, cols, names, **fit_args)
+    rows = written(rows, "grid-rows") if "mae" in losses else rows  # read in every step
     keys = ["loss", "weighting", "target", "member"]
 
-    def fitted(loss: str, coef: DataFrame | None = None) -> DataFrame:
+    def fitted(coef: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         sums = written(grid_moments(rows, weightings, targets, n_members, cols, coef), "grid-moments")
-        return coefficients(sums, keys[1:], len(cols)).withColumn("loss", F.lit(loss)).select(*keys, "coef")
+        return coefficients(sums, keys[1:], len(cols)).select(*keys[1:], "coef"), sums
 
-    squared = fitted("mse")
-    found = squared if "mse" in losses else None
+    coef, _ = fitted()
+    found = coef.withColumn("loss", F.lit("mse")) if "mse" in losses else None
     if "mae" in losses:
-        coef = squared
-        for _ in range(steps - 1):
-            coef = fitted("mae", coef)
+        step, before = 1, {}
+        while steps is None or step < steps:
+            coef, sums = fitted(coef)
+            step += 1
+            # The loss of the fit before this step: a number per configuration and member.
+            now = {tuple(r[:3]): r["loss"] for r in sums.select(*keys[1:], "loss").collect()}
+            if steps is None and before and not any(before[c] - now[c] > SETTLED * before[c] for c in now):
+                break
+            before = now
         coef = coef.withColumn("loss", F.lit("mae"))
         found = coef if found is None else found.unionByName(coef)
     # The return is the same under every configuration, so it is ranked once, before the scores.
@@ -350,7 +360,7 @@ def grid_moments(rows: DataFrame, weightings: Sequence[str], targets: Sequence[s
 
     A task keeps one sum per configuration and product and sends them once, whatever its number of
     rows, so no row is repeated or shuffled. With ``coef`` (a row per configuration) a row is weighed by
-    w / max(|residual|, LEAST_RESIDUAL).
+    w / max(|residual|, LEAST_RESIDUAL), and ``loss`` is the sum of w * |residual|.
     """
     k, pairs = len(cols), _pairs(len(cols))
     left, right = (list(side) for side in zip(*pairs))
@@ -365,7 +375,7 @@ def grid_moments(rows: DataFrame, weightings: Sequence[str], targets: Sequence[s
         c = len(weightings) * n_members
         m = np.zeros((len(targets), c, len(pairs)))
         y = np.zeros((len(targets), c, k + 1))
-        n = np.zeros(n_members, np.int64)
+        n, loss = np.zeros(n_members, np.int64), np.zeros((len(targets), c))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -378,17 +388,19 @@ def grid_moments(rows: DataFrame, weightings: Sequence[str], targets: Sequence[s
                 same = w.T @ products if beta is None else None
                 for t in range(len(targets)):
                     goal = goals[:, t : t + 1]
-                    own = w if beta is None else w / np.maximum(np.abs(goal - z @ beta[t]), LEAST_RESIDUAL)
+                    gap = None if beta is None else np.abs(goal - z @ beta[t])
+                    own = w if gap is None else w / np.maximum(gap, LEAST_RESIDUAL)
+                    loss[t] += 0 if gap is None else (w * gap).sum(0)
                     m[t] += own.T @ products if same is None else same
                     y[t] += own.T @ (z * goal)
         config = [(w, t, j) for t in range(len(targets)) for w in weightings for j in range(n_members)]
         columns = [pa.array([w for w, _, _ in config]), pa.array([targets[t] for _, t, _ in config]), pa.array([j for _, _, j in config], pa.int32())]
         columns += [pa.array(col) for col in (*m.reshape(-1, len(pairs)).T, *y.reshape(-1, k + 1).T)]
-        columns.append(pa.array([int(n[j]) for _, _, j in config], pa.int64()))
+        columns += [pa.array([int(n[j]) for _, _, j in config], pa.int64()), pa.array(loss.ravel())]
         yield pa.RecordBatch.from_arrays(columns, schema.replace(" ", ",").split(",")[::2])
 
     sums = [*(f"m_{i}_{j}" for i, j in pairs), *(f"y_{i}_0" for i in range(k + 1))]
-    schema = "weighting string,target string,member int," + ",".join(f"{s} double" for s in sums) + ",n_rows long"
+    schema = "weighting string,target string,member int," + ",".join(f"{s} double" for s in sums) + ",n_rows long,loss double"
     per_task = rows.mapInArrow(of_batches, schema)
     return summed(per_task, ["weighting", "target", "member"]).filter(F.col("n_rows") > 0)
 

@@ -4,6 +4,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from panelloom.functions import calendar as C
 from panelloom.operators import evaluate as E
 from panelloom.operators import features as FT
 from panelloom.operators import learn as L
@@ -11,6 +12,8 @@ from panelloom.operators import moments as M
 from panelloom.operators.crosssection import average_rank
 from panelloom.operators.features import feature_names, rescaled_weights, sample_weights, with_split
 from panelloom.operators.store import new_path, written
+from panelloom.plans import queries as Q
+from panelloom.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -181,3 +184,36 @@ def test_correlation_with_given_ranks(spark):
     assert got["flat"].correlation is None and want["flat"].correlation is None
     assert {g: r.n for g, r in got.items()} == {g: 499 for g in want}
     assert all(got[g].correlation == pytest.approx(want[g].correlation, abs=1e-12) for g in "ab")
+
+
+def test_absolute_loss_in_the_grid_goes_on_until_it_settles(samples, monkeypatch):
+    """Only the last step no longer lowers the loss, which is near that of the best fit."""
+    written_sums, losses = M.written, []
+
+    def spy(df, label, *args):
+        out = written_sums(df, label, *args)
+        if label == "grid-moments":
+            losses.append(out.first()["loss"])
+        return out
+
+    monkeypatch.setattr(M, "written", spy)
+    monkeypatch.setattr(M, "SETTLED", 2e-3)  # fewer steps
+    out = M.grid(lambda _: samples, ("2000-01", "2002-12"), ("ew",), ["ret"], ("mae",), n_members=1, validation=0.0).collect()
+    assert [(r.loss, r.weighting, r.target) for r in out] == [("mae", "ew", "ret")]
+    rows = samples.filter(C.is_fitting_month("mi")).select(*feature_names(), "target", "cap_prev").toPandas()
+    x, y = np.column_stack([np.ones(len(rows)), rows[feature_names()]]), rows["target"].to_numpy()
+    w = np.ones(len(y))
+    for _ in range(3000):
+        b = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+        w = 1 / np.maximum(np.abs(y - x @ b), 1e-9)
+    best = losses[1] / np.abs(y - x @ np.linalg.lstsq(x, y, rcond=None)[0]).mean() * np.abs(y - x @ b).mean()
+    assert losses[0] == 0 and all(a >= c * (1 - 1e-9) for a, c in zip(losses[1:], losses[2:]))
+    assert losses[-2] - losses[-1] <= M.SETTLED * losses[-2] and all(a - c > M.SETTLED * a for a, c in zip(losses[1:-2], losses[2:-1]))
+    assert best * (1 - 1e-6) < losses[-1] < best * 1.02
+
+
+def test_the_absolute_loss_query_names_no_number_of_steps(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(Q.ML, "grid", lambda *args, **options: seen.update(options) or spark.range(1))
+    QUERIES["absolute_loss_grid"](spark, "/root/testdata/sf0.001")
+    assert seen["losses"] == ("mae",) and "steps" not in seen
